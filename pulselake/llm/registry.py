@@ -15,6 +15,24 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.edit_embedding import edited_fingerprints
+
+    return edited_fingerprints(_documents(spark, sf_dir))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.embedding_dedup import embedding_duplicates
+
+    return embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.warc import archive_round_trip
+
+    return archive_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulselake.llm.sharding import shard_slots
 
@@ -40,7 +58,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_sharding, op5_best_fit_packing, op6_minhash, op7_mixing]
+    found = [op1_edit_embedding, op2_embedding_dedup, op3_warc, op4_sharding, op5_best_fit_packing, op6_minhash, op7_mixing]
     return {f.__name__: f for f in found}
 
 
