@@ -120,12 +120,14 @@ def compare_blocks(members: DataFrame, least: float) -> DataFrame:
             links[side == 0] += linked @ (weight * home)[second]
             if block != other:
                 links[second] += linked.T @ (weight * home)[side == 0]
-            root = rep.copy()
-            while True:
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(second)
+            some, with_ = linked.any(axis=1), linked.any(axis=0)
+            left, right, linked = left[some], right[with_], linked[some][:, with_]
+            root, far = rep.copy(), np.iinfo(np.int64).max
+            while len(left):
                 low = root.copy()
-                far = np.iinfo(np.int64).max
-                low[side == 0] = np.minimum(low[side == 0], np.where(linked, root[second][None, :], far).min(axis=1, initial=far))
-                low[second] = np.minimum(low[second], np.where(linked, low[side == 0][:, None], far).min(axis=0, initial=far))
+                low[left] = np.minimum(low[left], np.where(linked, low[right][None, :], far).min(axis=1))
+                low[right] = np.minimum(low[right], np.where(linked, low[left][:, None], far).min(axis=0))
                 if (low == root).all():
                     break
                 root = low

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.html_text import extract_text
+
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.quality import classify_quality
+
+    return classify_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.toxicity import classify_toxicity
+
+    return classify_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_edit_embedding, op2_embedding_dedup, op3_warc, op4_sharding, op5_best_fit_packing, op6_minhash, op7_mixing]
+    found = [op1_edit_embedding, op2_embedding_dedup, op3_warc, op4_sharding, op5_best_fit_packing, op6_minhash, op7_mixing, op8_html_extraction, op9_quality, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
