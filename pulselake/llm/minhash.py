@@ -14,7 +14,7 @@ from pulselake.llm.graph import components
 from pulselake.llm.shingles import MinHasher, Shingler, set_digest
 
 #: Members of an unresolved bucket that are compared with each other at once.
-BLOCK = 256
+BLOCK = 512
 
 
 def _texts(batch: pa.RecordBatch, n: int = 200) -> Iterator[tuple[list, list]]:
@@ -50,16 +50,47 @@ def signatures(docs: DataFrame, width: int, bins: int, rows: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles): the full sets, as sorted 64-bit hashes in a binary column."""
+    """(doc_id, shingles, short): the full sets as sorted 64-bit hashes, and their upper halves, in binary columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
             for ids, texts in _texts(batch):
-                sets = [s.tobytes() for s in shingler(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+                sets = shingler(texts)
+                columns = [pa.array(ids, pa.int64())]
+                columns += [pa.array([x.tobytes() for x in xs], pa.binary()) for xs in (sets, ((s >> np.uint64(32)).astype(np.uint32) for s in sets))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", "short"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary, short binary")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Values that two sorted arrays share."""
+    merged = np.concatenate((x, y))
+    merged.sort(kind="stable")
+    return int((merged[1:] == merged[:-1]).sum())
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary")
+
+def least_agreement(n: np.ndarray, percent: int, bins: int) -> np.ndarray:
+    """Share of equal bins below which two sets, the smaller of ``n``, are no link: five deviations under the threshold."""
+    t = percent / 100
+    return t - 5 * np.sqrt(t * (1 - t) / (bins * (1 - np.exp(-np.maximum(n, 1) / bins))))
+
+
+def plausible(pairs: DataFrame, reps: DataFrame, percent: int, bins: int) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(k).to_numpy() for k in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (4, 5))
+            low, high = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+            keep = (100 * low >= percent * high) & ((a == b).mean(axis=1) >= least_agreement(low, percent, bins))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    of = lambda side: reps.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -67,15 +98,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
             keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
-                both = 0
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    merged = np.concatenate((x, y))
-                    merged.sort(kind="stable")
-                    both = int((merged[1:] == merged[:-1]).sum())
+            for left, right in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+                possible = 100 * min(len(x), len(y)) >= percent * max(len(x), len(y))
+                both = _common(x, y) if possible else 0
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -84,41 +111,50 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, percent: int, bins: int) -> DataFrame:
-    """Pairs (a, b) of members of one bucket and different components that may still be links.
+def cross_links(members: DataFrame, percent: int, bins: int) -> DataFrame:
+    """Links (a, b) that join different components within buckets, as a forest.
 
-    ``members``: key, block, other, side, doc_id, n_shingles, component, signature; one group is
-    a block of a bucket against itself or another. Ruled out are pairs whose sizes cannot
-    reach the threshold and those whose signatures agree in fewer bins than five standard
-    deviations below it. Only the rest is emitted.
+    ``members``: key, block, other, side, doc_id, n_shingles, component, band, bands, signature,
+    short; a group is one block of a bucket against itself or another. A pair is looked at
+    in the first band that it shares, the likeliest first, and only while its two sides are
+    still apart; sizes and signatures rule out most, the sets' short hashes decide. So the
+    rows that come out grow with those that went in, whatever the size of a bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)))
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    yield from zip(*(part.column(k).to_pylist() for k in range(part.num_columns)))
 
-        out: list[tuple[int, int]] = []
         for (_, block, other), group in groupby(rows(), key=lambda r: r[:3]):
             group = list(group)
-            ids, n, comp = (np.array([r[k] for r in group], np.int64) for k in (4, 5, 6))
-            side = np.array([r[3] for r in group])
-            signed = np.frombuffer(b"".join(r[7] for r in group), np.uint16).reshape(len(group), -1)
+            side, ids, n = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5))
+            _, part = np.unique(np.array([r[6] for r in group], np.int64), return_inverse=True)
+            band = group[0][7]
+            bands = np.array([r[8] for r in group], np.int64)
+            signed = np.frombuffer(b"".join(r[9] for r in group), np.uint16).reshape(len(group), -1)
+            short = [np.frombuffer(r[10], np.uint32) for r in group]
             first = np.flatnonzero(side == 0)
             second = first if block == other else np.flatnonzero(side == 1)
+            out: list[tuple[int, int]] = []
             for i in first:
-                js = second[(comp[second] != comp[i]) & ((ids[second] > ids[i]) | (block != other))]
+                js = second[(part[second] != part[i]) & ((second > i) | (block != other))]
                 js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-                if len(js):
-                    alike = (signed[js] == signed[i]).mean(axis=1)
-                    t = percent / 100
-                    known = bins * (1 - np.exp(-np.minimum(n[js], n[i]) / bins))
-                    js = js[alike >= t - 5 * np.sqrt(t * (1 - t) / known)]
-                    out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
-            if len(out) > 5000:
+                js = js[(bands[js] == bands[i]).argmax(axis=1) == band] if len(js) else js
+                if not len(js):
+                    continue
+                alike = (signed[js] == signed[i]).mean(axis=1)
+                order = np.argsort(-alike, kind="stable")
+                for j in js[order][alike[order] >= least_agreement(np.minimum(n[js[order]], n[i]), percent, bins)]:
+                    if part[i] != part[j]:
+                        both = _common(short[i], short[j])
+                        if 100 * both >= percent * (n[i] + n[j] - both):
+                            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                            part[part == part[j]] = part[i]
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-                out = []
-        yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     ordered = members.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
     return ordered.mapInArrow(run, "a long, b long")
@@ -135,9 +171,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
     2. Signatures (one permutation, optimal densification) give ``bins / rows`` band keys.
        In each bucket every member gets one edge, to the bucket's hub, so edges grow with
        the rows and not with the square of a bucket; edges are confirmed on the full sets.
-    3. Buckets whose members are still in different components are compared in blocks by
-       size and signature; what may be a link is confirmed on the full sets, too. With
-       128 bins in bands of 4, a pair at 0.8 shares no band with probability 5e-8.
+    3. Buckets whose members are still in different components are searched in blocks for
+       links between components (``cross_links``), which are confirmed on the full sets, too.
+
+    With 128 bins in bands of 4, a pair at 0.8 shares no band with probability 5e-8.
 
     Null text is empty; documents without words link with nothing. Rows that share a
     ``doc_id`` are one node (a link of one is a link of all) but keep their rows; a null
@@ -151,7 +188,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
     reps = named.join(copies.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["doc_id", "digest"])
     reps = materialise(reps.select("doc_id", "n_shingles", "signature", "bands"))
 
-    banded = reps.select("doc_id", F.explode("bands").alias("key"))
+    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     order = F.struct(F.xxhash64(F.lit(11), "doc_id").alias("p"), F.col("doc_id").alias("hub"))
     hubs = banded.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialise(hubs.select("key", F.col("first.hub").alias("hub"), "n"))
@@ -159,26 +196,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
     stars = materialise(
         spread.filter("doc_id != hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     )
-    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
+    stars = materialise(plausible(stars, reps, percent, bins))
+    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).union(spread.filter("n > 2").select("doc_id")).distinct()
     sets = materialise(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width))
     links = materialise(confirm(stars, sets, percent))
 
     labels = components(links)
     located = materialise(
-        spread.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+        spread.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     )
-    apart = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi and key is not null")
+    apart = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
     # two members have been compared as a star already
     open_ = located.filter("n > 2").join(materialise(apart.select("key")), "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     open_ = open_.withColumn("at", F.pmod(F.xxhash64(F.lit(5), "doc_id"), blocks).cast("int")).withColumn(
         "pair", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("at", k).alias("block"), F.greatest("at", k).alias("other"))))
     )
-    members = open_.join(reps.select("doc_id", "n_shingles", "signature"), "doc_id").select(
-        "key", "pair.block", "pair.other", (F.col("at") != F.col("pair.block")).cast("int").alias("side"), "doc_id", "n_shingles", "component", "signature"
-    )
-    more = cross_pairs(members, percent, bins).distinct().join(stars, ["a", "b"], "left_anti")
-    links = materialise(links.union(confirm(materialise(more), sets, percent)))
+    whole = reps.join(sets.select("doc_id", "short"), "doc_id")
+    members = open_.join(whole, "doc_id").select(
+        "key", "pair.block", "pair.other", (F.col("at") != F.col("pair.block")).cast("int").alias("side"),
+        "doc_id", "n_shingles", "component", "band", "bands", "signature", "short",
+    )
+    more = materialise(cross_links(members, percent, bins).distinct())
+    links = materialise(links.union(confirm(more, sets, percent)))
 
     # a document of two sets (one id, several texts) ties their representatives together
     multiple = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi")
