@@ -25,3 +25,27 @@ def consolidate_daily(events: DataFrame, kinds: list[str], series: str = "user_i
             F.sum(F.when(of_kind, cents("value"))).alias(f"{kind}_sum"),
         ]
     return events.filter(F.col("event_type").isin(kinds)).groupBy(series, day).agg(*columns)
+
+
+def pivot_metrics(long: DataFrame, day: str, metric: str, value: str, metrics: list[str]) -> DataFrame:
+    """Long forecasts to one row per day: one pass for what the reference does in a self-join per metric."""
+    return long.groupBy(day).pivot(metric, metrics).agg(F.max(value))
+
+
+def unified_timeline(actual: DataFrame, forecasts: DataFrame, day: str, metric: str, value: str, metrics: list[str]) -> DataFrame:
+    """Actual rows, and pivoted forecasts of the days that have none, tagged by ``record_type``."""
+    future = pivot_metrics(forecasts, day, metric, value, metrics).join(actual.select(day), day, "left_anti")
+    tag = lambda rows, kind: rows.select(day, F.lit(kind).alias("record_type"), *metrics)
+    return tag(actual, "ACTUAL").unionByName(tag(future, "FORECAST"))
+
+
+def completeness(days: DataFrame) -> DataFrame:
+    """(user_id, day, ok, reason) of days with the number of kinds and the presence of two key metrics."""
+    reason = (
+        F.when(F.col("kinds").isNull(), "no data")
+        .when(F.col("kinds") < 3, "missing files")
+        .when(F.col("clicks") == 0, "no clicks")
+        .when(F.col("views") == 0, "no views")
+        .otherwise("complete")
+    )
+    return days.select("user_id", "day", (reason == "complete").alias("ok"), reason.alias("reason"))
