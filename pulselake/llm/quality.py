@@ -134,7 +134,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tup
 
     sample = labelled_sample(docs, labels, "quality", rows).mapInArrow(run, "doc_id long, label int, features binary").toArrow()
     order = np.argsort(sample["doc_id"].to_numpy(), kind="stable")
-    x = np.array([np.frombuffer(f.as_py(), np.float32) for f in sample["features"]], np.float64).reshape(len(order), -1)[order]
+    x = np.array([np.frombuffer(f.as_py(), np.float32) for f in sample["features"]], np.float64).reshape(len(order), 2 * DIMENSIONS + 12)[order]
     return vectors, Network().fit(x, sample["label"].to_numpy()[order].astype(np.float64))
 
 
