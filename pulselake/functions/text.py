@@ -102,3 +102,11 @@ def approximate_tokens(text: Column) -> tuple[Column, Column]:
 
 def excerpt(text: Column, n: int = 250) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+
+
+def repaired_json(raw: Column) -> Column:
+    """JSON without code fences; an open string and an open object at the end are closed."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    quoted = F.when(text.rlike(r"[^\"}]$"), F.concat(text, F.lit('"'))).otherwise(text)
+    count = lambda c: F.length(quoted) - F.length(F.replace(quoted, F.lit(c), F.lit("")))
+    return F.when(count("{") > count("}"), F.concat(quoted, F.lit("}"))).otherwise(quoted)

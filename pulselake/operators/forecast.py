@@ -138,3 +138,36 @@ def forecast_series(rows: DataFrame, series: str, day: str, value: str, horizon:
 
     schema = f"{series} {kind}, ds date, predicted double, ci_lower double, ci_upper double, is_forecast boolean"
     return rows.select(series, F.col(day).alias("ds"), F.col(value).cast("double").alias("y")).groupBy(series).applyInPandas(fit, schema)
+
+
+#: Bounds of each metric (fixed values). mn, mx: least and greatest value; q1, q9: 1st and 99th
+#: percentile; mu, sd: mean and population deviation. The gap rule applies where cap - floor is less.
+BOUND_RULES = {
+    "resting_heart_rate": ("least(greatest(38, q1 - 3), mn - 0.5)", "greatest(least(115, greatest(mx + 6, q9 + 4)), mx + 0.5)", 5, "floor + 10"),
+    "running_avg_hr": ("greatest(110, least(mn - 5, q1 - 3))", "least(200, greatest(mx + 10, q9 + 8))", 10, "floor + 20"),
+    "gym_avg_hr": ("greatest(80, least(mn - 5, q1 - 3))", "least(175, greatest(mx + 10, q9 + 8))", 10, "floor + 20"),
+    "walking_avg_hr": ("greatest(75, least(mn - 5, q1 - 3))", "least(150, greatest(mx + 8, q9 + 6))", 10, "floor + 15"),
+    "total_sleep_hours": ("greatest(3.5, least(mn - 0.5, q1 - 0.5))", "least(13, greatest(mx + 1, q9 + 1))", 2, "floor + 3"),
+    "active_kilocalories": ("0", "greatest(mx * 1.5, 3000)", None, None),
+    "resting_kilocalories": ("greatest(900, least(mn - 50, 1100))", "least(2800, greatest(mx + 100, 2400))", 100, "floor + 200"),
+    "total_kilocalories": ("greatest(1100, least(mn - 100, 1400))", "greatest(mx * 1.4, 4500)", None, None),
+    "hrv_rmssd": ("least(greatest(15, least(mn * 0.8, q1 - 5)), mn - 0.5)", "greatest(mx * 1.35, q9 + 15)", 10, "floor + 15"),
+    "daily_avg_stress": ("greatest(18, least(mn, round(mu - 1.5 * sd, 1)))", "least(36, greatest(34, round(mu + 1.5 * sd, 1)))", 6, "least(37, floor + 8)"),
+    "sleep_score": ("greatest(30, least(mn - 10, 50))", "100", None, None),
+    "total_steps": ("0", "greatest(mx * 1.5, 30000)", None, None),
+    "fitness_age": ("greatest(28, least(mn - 0.5, 33.5))", "greatest(mx + 1, 41)", None, None),
+    "fitness_age_gap": ("greatest(0, least(mn - 1, 3.5))", "greatest(mx + 1.5, 7.5)", None, None),
+}
+
+
+def metric_bounds(rows: DataFrame, metric: str, value: str) -> DataFrame:
+    """(metric, floor, cap) by each metric's rule; metrics without one get the generic rule."""
+    q = F.percentile(value, F.array(F.lit(0.01), F.lit(0.99)))
+    s = rows.groupBy(metric).agg(F.min(value).alias("mn"), F.max(value).alias("mx"), q.alias("q"), F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd"))
+    s = s.withColumn("q1", F.col("q")[0]).withColumn("q9", F.col("q")[1])
+    generic_floor = "CASE WHEN mn >= 0 THEN least(greatest(0, mn * 0.8), greatest(0, mn - 0.5)) ELSE mn * 1.2 END"
+    case = lambda k, other: "CASE " + " ".join(f"WHEN {metric} = '{m}' THEN CAST({r[k]} AS DOUBLE)" for m, r in BOUND_RULES.items() if r[k] is not None) + f" ELSE {other} END"
+    s = s.withColumn("floor", F.expr(case(0, generic_floor))).withColumn("cap", F.expr(case(1, "greatest(mx * 1.25, floor + 5)")))
+    gap = "CASE " + " ".join(f"WHEN {metric} = '{m}' THEN {r[2]}" for m, r in BOUND_RULES.items() if r[2]) + " ELSE 0 END"
+    s = s.withColumn("cap", F.expr(f"CASE WHEN cap - floor < {gap} THEN {case(3, 'cap')} ELSE cap END"))
+    return s.select(metric, "floor", "cap")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pulselake.functions import fixed_values as fixed
 from pulselake.functions import text as T
@@ -280,3 +280,14 @@ def l6_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f11_call_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which events a budget of one an hour and two a day lets through, per user."""
     return streams.call_budget(table(spark, sf_dir, "events"), "user_id", hour=1, day=2)
+
+
+_LABELS_SQL = """
+SELECT d.source, l.quality, l.toxic, count(*) AS n, rank() OVER (PARTITION BY d.source ORDER BY count(*) DESC) AS place
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1, 2, 3"""
+
+
+def label_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    counts = rows.groupBy("source", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.rank().over(Window.partitionBy("source").orderBy(F.desc("n"))).cast("bigint"))

@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from pulselake.functions import text as T
-from pulselake.operators import anomaly, forecast, retrieval, sft, store, windows
+from pulselake.operators import anomaly, causality, forecast, retrieval, sft, store, windows
 from pulselake.operators.averages import clean_average
 from pulselake.operators.chunk import count_words, split_text
 from pulselake.operators.profile import profile, render
@@ -200,3 +200,41 @@ def test_stream_upsert_is_idempotent(spark, tmp_path):
 def test_cosine_of_zero_vector_is_zero(spark):
     frame = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([3.0, 4.0], [3.0, 4.0])], "a array<double>, b array<double>")
     assert [math.isclose(r[0], x) for r, x in zip(frame.select(retrieval.cosine(F.col("a"), F.col("b"))).collect(), (0.0, 1.0))] == [True, True]
+
+
+def test_f_tail_and_dickey_fuller_values():
+    assert math.isclose(causality.f_tail(4.1028, 2, 10), 0.05, abs_tol=1e-4) and math.isclose(causality.f_tail(4.9646, 1, 10), 0.05, abs_tol=1e-4)
+    rng = np.random.default_rng(3)
+    noise = rng.normal(size=300)
+    assert causality.adf_p(noise) < 0.01 and causality.adf_p(np.cumsum(noise)) > 0.05
+    assert causality.adf_p(np.ones(20)) == 0.0 and causality.adf_p(np.arange(5.0)) == 0.0
+
+
+def test_granger_finds_the_lag_and_needs_variance(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=200)
+    y = 0.9 * np.concatenate(([0, 0], x[:-2])) + 0.1 * rng.normal(size=200)
+    lag, f, p = causality.granger(x, y, 3)
+    assert lag in (2, 3) and p < 1e-6 and f > 10
+    assert causality.granger(np.ones(200), y, 2) == (1, 0.0, 1.0)
+    frame = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "s int, i int, x double, y double")
+    rows = causality.granger_audit(frame, [("x", "y"), ("y", "x"), ("x", "gone")], "s", "i").collect()
+    assert {(r.cause, r.effect): r.significant for r in rows}[("x", "y")] and len(rows) == 2
+
+
+def test_ccf_lag_sign(spark):
+    from pulselake.operators import stats
+
+    x = np.sin(np.arange(60) / 3.0)
+    rows = [(1, i, float(x[i]), float(x[i - 2]) if i >= 2 else 0.0) for i in range(60)]
+    peak = stats.ccf_peak(stats.cross_correlation(spark.createDataFrame(rows, "s int, i int, a double, b double"), "a", "b", ["s"], "i"), ["s"]).first()
+    assert peak.peak_lag == -2 and peak.peak_r > 0.8
+
+
+def test_every_metric_has_ordered_bounds(spark):
+    rng = np.random.default_rng(2)
+    rows = [(m, float(v)) for m in [*forecast.BOUND_RULES, "other"] for v in rng.normal(60, 4, 40)]
+    found = forecast.metric_bounds(spark.createDataFrame(rows, "metric string, v double"), "metric", "v").collect()
+    assert len(found) == 15 and all(r.floor < r.cap for r in found if r.metric not in ("fitness_age_gap",))
+    one = {r.metric: r for r in found}
+    assert one["total_steps"].floor == 0 and one["total_steps"].cap == 30000 and one["sleep_score"].cap == 100
