@@ -15,8 +15,8 @@ from pulselake.llm.graph import components
 
 #: Vectors that the cells are fitted on, at most.
 FIT_ROWS = 20_000
-#: Rows of a cell that are compared at once.
-BLOCK = 1024
+#: Vectors at home in a cell that a task holds, and vectors streamed past them at once.
+BLOCK, STREAM = 2048, 2048
 
 
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -93,13 +93,25 @@ def assign_cells(units: DataFrame, centers: dict[int, np.ndarray], least: float)
     return units.select("rep", "weight", "unit").mapInArrow(run, "rep long, weight long, unit binary, cell long, home boolean")
 
 
-def compare_blocks(members: DataFrame, least: float) -> DataFrame:
-    """Links found in each pair of blocks, as sums and a spanning forest: (rep, links, root).
+def _linked(block: tuple[np.ndarray, np.ndarray], part: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of ``part`` and ``block`` have cosine >= ``least``: single precision finds, double decides."""
+    whole, single = block
+    slack = 1e-6 + 1.2e-7 * whole.shape[1]
+    dots = part.astype(np.float32) @ single.T
+    linked = dots >= least + slack
+    i, j = np.nonzero(np.abs(dots - least) <= slack)
+    linked[i, j] = np.einsum("ij,ij->i", part[i], whole[j]) >= least
+    return linked
 
-    ``members``: cell, block, other, side, rep, weight, unit, home. Every row of a block gets
-    the weight of what it links to there and the smallest member of its component among
-    those rows, so the output grows with the rows and not with the links. A pair counts
-    where the second vector is at home, so once in each direction.
+
+def compare_cells(members: DataFrame, least: float) -> DataFrame:
+    """Links found in each cell, as sums and a spanning forest: (rep, links, root).
+
+    ``members``: cell, block, side, rep, weight, unit, sorted into groups of a cell and block.
+    A group begins with its block of vectors at home (side 0, bounded), which is held; all
+    vectors of the cell (side 1) are streamed past it. A streamed vector gets the weight
+    of what it links to in the block, so each link counts once in each direction, where
+    the partner is at home. The output grows with the rows and not with the links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,45 +119,53 @@ def compare_blocks(members: DataFrame, least: float) -> DataFrame:
             for batch in batches:
                 yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)))
 
-        for (_, block, other), group in groupby(rows(), key=lambda r: r[:3]):
-            group = list(group)
-            side, rep, weight = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5))
-            home = np.array([r[7] for r in group])
-            unit = _matrix([r[6] for r in group])
-            second = side == 0 if block == other else side == 1
-            linked = unit[side == 0] @ unit[second].T >= least
-            if block == other:
-                np.fill_diagonal(linked, False)
-            links = np.zeros(len(group), np.int64)
-            links[side == 0] += linked @ (weight * home)[second]
-            if block != other:
-                links[second] += linked.T @ (weight * home)[side == 0]
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(second)
-            some, with_ = linked.any(axis=1), linked.any(axis=0)
-            left, right, linked = left[some], right[with_], linked[some][:, with_]
-            root, far = rep.copy(), np.iinfo(np.int64).max
-            while len(left):
-                low = root.copy()
-                low[left] = np.minimum(low[left], np.where(linked, low[right][None, :], far).min(axis=1))
-                low[right] = np.minimum(low[right], np.where(linked, low[left][:, None], far).min(axis=0))
-                if (low == root).all():
-                    break
-                root = low
-            keep = (links > 0) | (root != rep)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rep, links, root)], names=["rep", "links", "root"])
-
-    ordered = members.repartition("cell", "block", "other").sortWithinPartitions("cell", "block", "other")
+        for _, group in groupby(rows(), key=lambda r: r[:2]):
+            home: list[tuple] = []
+            part: list[tuple] = []
+
+            def compare() -> pa.RecordBatch:
+                linked = _linked(block, _matrix([r[5] for r in part]), least)
+                rep, mine = np.array([r[3] for r in part], np.int64), np.array([r[3] for r in home], np.int64)
+                linked &= rep[:, None] != mine[None, :]
+                links = linked @ np.array([r[4] for r in home], np.int64)
+                some, near = linked.any(axis=1), linked.any(axis=0)
+                rep, links, mine, linked = rep[some], links[some], mine[near], linked[some][:, near]
+                root, other, far = rep, mine, np.iinfo(np.int64).max
+                while len(rep):
+                    low = np.minimum(root, np.where(linked, other[None, :], far).min(axis=1))
+                    lower = np.minimum(other, np.where(linked, low[:, None], far).min(axis=0))
+                    if (low == root).all() and (lower == other).all():
+                        break
+                    root, other = low, lower
+                columns = (np.concatenate((rep, mine)), np.concatenate((links, np.zeros(len(mine), np.int64))), np.concatenate((root, other)))
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "links", "root"])
+
+            for row in group:
+                if row[2] == 0:
+                    home.append(row)
+                    continue
+                if not part:
+                    whole = _matrix([r[5] for r in home])
+                    block = (whole, whole.astype(np.float32))
+                part.append(row)
+                if len(part) == STREAM:
+                    yield compare()
+                    part = []
+            if part:
+                yield compare()
+
+    ordered = members.repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
     return ordered.mapInArrow(run, "rep long, links long, root long")
 
 
-def embedding_duplicates(vectors: DataFrame, least: float = 0.95, rows_per_cell: int = 2000) -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, least: float = 0.95, rows_per_cell: int = 8192) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
     Equal directions first fall together by their unit vector's bytes. Cells come from
     spherical k-means on a bounded hash sample (``FIT_ROWS``); a vector is compared within
-    its cell and in those where a partner may be at home (``assign_cells``), in blocks of
-    ``BLOCK`` rows spread over tasks, so neither a hot cell nor a large group of copies meets
-    in one task. All links with cosine >= ``least`` in double precision are found and none below.
+    its cell and in those where a partner may be at home (``assign_cells``). A task holds
+    ``BLOCK`` vectors of a cell and the cell's vectors stream past, so neither a hot cell nor a
+    large group of copies is held whole. All links with cosine >= ``least`` in double precision are found and none below.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with
     nothing; vectors of different lengths do not link. Repeated rows of one ``vec_id`` and
@@ -165,15 +185,12 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.95, rows_per_cell:
     cells = max(1, min(4096, n // rows_per_cell))
     centers = {size: fit_cells(_matrix(blobs), cells) for size, blobs in by_length.items()}
     placed = materialise(assign_cells(members, centers, least))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocked = (
-        placed.join(F.broadcast(sizes), "cell")
-        .withColumn("at", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-        .withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("at", k).alias("block"), F.greatest("at", k).alias("other")))))
-    )
-    found = materialise(
-        compare_blocks(blocked.select("cell", "pair.block", "pair.other", (F.col("at") != F.col("pair.block")).cast("int").alias("side"), "rep", "weight", "unit", "home"), least)
-    )
+    sizes = placed.filter("home").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    spread = placed.join(F.broadcast(sizes), "cell")
+    at_home = spread.filter("home").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("side", F.lit(0))
+    passing = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    columns = ["cell", "block", "side", "rep", "weight", "unit"]
+    found = materialise(compare_cells(at_home.select(*columns).union(passing.select(*columns)), least))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.filter("rep != root").select("rep", "root").distinct(), "rep", "root").withColumnRenamed("node", "rep")
     named = materialise(members.join(links, "rep", "left").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
