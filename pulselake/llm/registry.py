@@ -1,7 +1,8 @@
 """The queries of the corpus operators, over whole tables with production parameters.
 
-None of them has SQL: hashing, tokenizing, tree building and training are outside DuckDB's
-reach, so ``tests/llm`` holds each against a brute-force version instead.
+SQL gives the exact answers of embedding dedup, archives and MinHash dedup by all pairs.
+Hashing, tokenizing, tree building and training are outside DuckDB's reach; ``tests/llm``
+holds those against brute-force versions.
 """
 
 from __future__ import annotations
@@ -80,5 +81,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_REACH = """reach AS (
+  SELECT {id} AS node, {id} AS other FROM {nodes}
+  UNION SELECT reach.node, CASE WHEN l.a = reach.other THEN l.b ELSE l.a END FROM reach JOIN l ON l.a = reach.other OR l.b = reach.other)"""
+
+OP2 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+""" + _REACH.format(id="vec_id", nodes="embeddings") + """,
+d AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM l UNION ALL SELECT b FROM l) GROUP BY 1),
+c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(d.n, 0) AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN d ON d.node = vec_id"""
+
+OP3 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM p JOIN f ON f.digest = p.digest"""
+
+OP6 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: hash(array_to_string(words[i:i + 3], ' ')))
+  WHEN len(words) > 0 THEN [hash(array_to_string(words, ' '))] ELSE [] END)) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+k AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.x = y.x AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM k JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+""" + _REACH.format(id="doc_id", nodes="documents") + """,
+c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_embedding_dedup": OP2, "op3_warc": OP3, "op6_minhash": OP6}
