@@ -81,9 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-_REACH = """reach AS (
-  SELECT {id} AS node, {id} AS other FROM {nodes}
-  UNION SELECT reach.node, CASE WHEN l.a = reach.other THEN l.b ELSE l.a END FROM reach JOIN l ON l.a = reach.other OR l.b = reach.other)"""
+_REACH = """m AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT {id} AS node, {id} AS other FROM {nodes} UNION SELECT reach.node, m.b FROM reach JOIN m ON m.a = reach.other)"""
 
 OP2 = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
