@@ -116,3 +116,26 @@ def local_outlier_factor(rows: DataFrame, key: str, features: list[str], series:
     many = Window.partitionBy(*series)
     enough = kept.withColumn("_n", F.count(F.lit(1)).over(many)).filter("_n > 1").drop("_n")
     return enough.groupBy(*series).applyInPandas(per_series, ", ".join(f"{c} {types[c]}" for c in [*series, key]) + ", lof double")
+
+
+#: Words in factor texts that point to a metric (fixed values).
+FACTOR_WORDS = {
+    "daily_avg_stress": ["stress"],
+    "resting_heart_rate": ["resting hr", "heart rate"],
+    "running_avg_hr": ["running", "heart rate"],
+    "gym_avg_hr": ["gym", "heart rate"],
+    "walking_avg_hr": ["walking", "heart rate"],
+    "hrv_rmssd": ["hrv", "rmssd"],
+    "sleep_score": ["sleep"],
+    "total_sleep_hours": ["sleep"],
+    "total_steps": ["step", "activity"],
+    "active_kilocalories": ["calorie", "cals", "activity"],
+    "total_kilocalories": ["calorie", "cals"],
+    "resting_kilocalories": ["calorie", "resting"],
+}
+
+
+def affects(factors: Column, target: str) -> Column:
+    """Whether one of the factor texts points to the target metric."""
+    words = FACTOR_WORDS.get(target, [target.replace("_", " ")])
+    return F.exists(factors, lambda f: F.lower(f).rlike("|".join(words)))

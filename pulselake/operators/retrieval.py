@@ -22,7 +22,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 #: Queries that one block of the exhaustive search holds.
-QUERY_BLOCK = 512
+QUERY_BLOCK = 4096
 
 
 def nearest(queries: DataFrame, collection: DataFrame, k: int, dimensions: int) -> DataFrame:
@@ -46,8 +46,8 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int, dimensions: int)
             query_ids, unit = shared.value
             best_s, best_i = np.full((len(query_ids), 0), 0.0), np.zeros((len(query_ids), 0), np.int64)
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
                     x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dimensions)
                     size = np.linalg.norm(x, axis=1, keepdims=True)
                     s = unit @ np.where(size > 0, x / np.where(size > 0, size, 1), 0).T

@@ -76,3 +76,34 @@ def replace(rows: DataFrame, path: str) -> None:
 
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
+
+
+def missing_files(remote: DataFrame, local: DataFrame) -> DataFrame:
+    """Listed files (path, length) that are not there with the same size."""
+    return remote.join(local.select("path", "length"), ["path", "length"], "left_anti")
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of the files below a folder, by metadata only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "length")
+
+
+def features_or_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The Parquet file of a name without ending, or the CSV beside it."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.parquet")
+    if jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+        return spark.read.parquet(f"{path}.parquet")
+    return spark.read.schema(schema).option("header", True).csv(f"{path}.csv")
+
+
+def catalog(spark: SparkSession) -> DataFrame:
+    """(name, kind) of the session's tables and views; one row each, from the catalog."""
+    rows = [(t.name, "view" if "VIEW" in t.tableType or t.isTemporary else "table") for t in spark.catalog.listTables()]
+    return spark.createDataFrame(rows, "name string, kind string")
+
+
+def purge_days(rows: DataFrame, folder_day: str, as_of) -> DataFrame:
+    """Without folders of days at or after ``as_of``; names that are no dates stay."""
+    day = F.try_to_date(folder_day, "yyyy-MM-dd")
+    return rows.filter(day.isNull() | (day < as_of))

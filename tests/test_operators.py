@@ -239,3 +239,32 @@ def test_every_metric_has_ordered_bounds(spark):
     assert len(found) == 15 and all(r.floor < r.cap for r in found if r.metric not in outside)
     one = {r.metric: r for r in found}
     assert one["total_steps"].floor == 0 and one["total_steps"].cap == 30000 and one["sleep_score"].cap == 100
+
+
+def test_stateful_budget_and_closed_days_on_a_stream(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1, 12)
+    rows = [(k, 1, at + dt.timedelta(minutes=10 * k), "click", 1.5) for k in range(6)] + [(9, 1, at + dt.timedelta(days=40), "view", 2.0)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double")
+    events.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    for name, frame in (("calls", streams.call_budget(stream, "user_id", hour=3, day=5)), ("days", streams.closed_days(stream, "1 day"))):
+        frame.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination(120)
+    accepted = {r.event_id: r.accepted for r in spark.table("calls").collect()}
+    assert accepted == {r.event_id: r.accepted for r in streams.call_budget(events, "user_id", hour=3, day=5).collect()}
+    assert [accepted[k] for k in (0, 1, 2, 3, 9)] == [True, True, True, False, True]
+    assert [(r.day, r.n, r.total) for r in spark.table("days").collect()] == [(dt.date(2024, 1, 1), 6, 9.0)]
+
+
+def test_listings_catalog_and_features(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.bin").write_bytes(b"%PDF-" + b"0" * 2000)
+    (tmp_path / "a" / "y.bin").write_bytes(b"no")
+    files = tables.list_files(spark, f"file://{tmp_path}/a")
+    assert files.count() == 2 and tables.missing_files(files, files.filter("length > 10")).count() == 1
+    assert sorted(r.valid for r in tables.valid_binaries(spark, f"file://{tmp_path}/a").collect()) == [False, True]
+    spark.range(2).createOrReplaceTempView("seen")
+    assert ("seen", "view") in {tuple(r) for r in tables.catalog(spark).collect()}
+    spark.range(3).coalesce(1).write.option("header", True).csv(f"{tmp_path}/f.csv")
+    assert tables.features_or_csv(spark, f"file://{tmp_path}/f", "id long").count() == 3
+    (tmp_path / "t.md").write_text(" \n# T\n")
+    assert tables.whole_texts(spark, f"file://{tmp_path}/t.md").first().text == "# T"
