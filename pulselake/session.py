@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +28,21 @@ def get_session(app: str = "pulselake", cores: str = "*", shuffle_partitions: in
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, read lazily."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send the package to the Python workers, unless they find it by their path anyway."""
+    root = Path(__file__).resolve().parents[1]
+    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    application = spark.sparkContext.applicationId
+    if application in _shipped or any(p and Path(p).resolve() == root for p in seen):
+        return
+    _shipped.add(application)
+    archive = Path(tempfile.mkdtemp(prefix="pulselake-code-")) / "pulselake.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted((root / "pulselake").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
