@@ -10,7 +10,7 @@ import corpus_pipeline
 from pulselake.llm import registry
 from pulselake.llm.learning import Network
 from pulselake.llm.quality import classify_quality
-from pulselake.llm.toxicity import Evidence, character_model, classify_toxicity, plain_word, spaced_out
+from pulselake.llm.toxicity import Evidence, Trie, character_model, classify_toxicity, plain_word, spaced_runs
 
 DATA = "/root/testdata/sf0.01"
 
@@ -29,11 +29,21 @@ def test_disguised_words_are_restored(characters, raw, plain):
 
 
 def test_spaced_out_words_are_found(characters):
-    assert spaced_out("what a s t u p i d thing", characters) and "stupid" in spaced_out("what a s t u p i d thing", characters)[0]
+    assert spaced_runs("what a s t u p i d thing") == ["astupid"] and spaced_runs("a a a a a") == []
     evidence = Evidence(characters, {"stupid": 5.0})
     assert evidence("you are s t u p i d today")[0] == 5.0 and evidence("fine words")[0] == 0.0 and evidence(None)[0] == 0.0
 
 
+@pytest.mark.parametrize("raw", ["!d!ot", "1d107", "id*ot", "i*iot", "iddddiot", "iD1000t", "1.d.1.o.t", "vilk0", "v1lkx"])
+def test_lexicon_entries_are_spelt_from_lattices(raw):
+    assert Trie({"idiot": 4.0, "vilk~": 3.0}).weight(raw.lower()) >= 3.0
+
+
+@pytest.mark.parametrize("raw", ["idiom", "10+", "*****", "i*****", "a1b2c3d4", "x9", ""])
+def test_other_words_do_not_spell_lexicon_entries(raw):
+    assert Trie({"idiot": 4.0, "vilk~": 3.0}).weight(raw) == 0.0
+
+
 def test_network_is_calibrated():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5))
