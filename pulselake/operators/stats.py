@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulselake.operators.quantiles import exact_quantiles
+
 
 def tukey_fences(rows: DataFrame, value: str, k: float, by: list[str]) -> DataFrame:
     """Quartiles, fences at ``k`` interquartile ranges and the number of rows outside, per group.
 
-    Quantiles are linearly interpolated. Two passes, the second a broadcast of one row per group.
+    Quantiles are exact and linearly interpolated; groups may be of any size.
     """
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    fences = rows.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    fences = exact_quantiles(rows, value, by, [0.25, 0.75]).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     fences = fences.withColumn("lo", F.col("q1") - k * (F.col("q3") - F.col("q1"))).withColumn("hi", F.col("q3") + k * (F.col("q3") - F.col("q1")))
     outside = (F.col(value) < F.col("lo")) | (F.col(value) > F.col("hi"))
     return rows.join(fences, by).groupBy(*by).agg(*[F.first(c).alias(c) for c in ("q1", "q3", "lo", "hi")], F.count(F.when(outside, 1)).alias("outliers"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pulselake.operators import forecast
 from pulselake.operators.anomaly import isolation_forest, local_outlier_factor
 from pulselake.operators.consolidate import consolidate_daily
+from pulselake.operators.quantiles import exact_quantiles
 from pulselake.plans.common import ORDERS, order_series
 from pulselake.plans.registry import query
 from pulselake.session import table
@@ -44,7 +45,7 @@ SELECT s.priority, s.day, round(least(greatest(CAST(value AS DOUBLE), lo), hi),
 def c13_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values clamped to their series' 5th and 95th percentile."""
     rows = order_series(spark, sf_dir).withColumn("value", F.col("value").cast("double"))
-    edges = rows.groupBy("priority").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    edges = exact_quantiles(rows, "value", ["priority"], [0.05, 0.95])
     joined = rows.join(edges, "priority")
     return joined.select("priority", "day", F.round(forecast.clamp(F.col("value"), F.col("q")[0], F.col("q")[1]), 6).alias("value"))
 

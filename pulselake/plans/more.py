@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pulselake.functions import text as T
 from pulselake.operators import causality, forecast, sft, store, windows
 from pulselake.operators.consolidate import pivot_metrics
+from pulselake.operators.quantiles import exact_quantiles
 from pulselake.plans.common import DAILY, KINDS, NAIVE, ORDERS, daily, naive, order_series
 from pulselake.plans.documents import _LABELS_SQL, label_chunks
 from pulselake.plans.registry import query
@@ -57,7 +58,7 @@ SELECT priority, day, CASE WHEN odd AND k > 0 AND 2 * k < n THEN NULL ELSE value
 def c12_anomaly_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged values become null, unless half of the series is flagged."""
     rows = order_series(spark, sf_dir).withColumn("value", F.col("value").cast("double"))
-    q = rows.groupBy("priority").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(rows, "value", ["priority"], [0.25, 0.75])
     iqr = F.col("q")[1] - F.col("q")[0]
     odd = (F.col("value") < F.col("q")[0] - 2.5 * iqr) | (F.col("value") > F.col("q")[1] + 2.5 * iqr)
     w = Window.partitionBy("priority")
@@ -355,9 +356,9 @@ SELECT d.doc_id, round((d.n_chars - med) / (mad * 1.4826 + 1e-6), 6) AS robust_z
 def p1_robust_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: z-score from median and median absolute deviation."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    med = docs.groupBy("source").agg(F.percentile("n_chars", F.lit(0.5)).alias("med"))
-    with_med = docs.join(med, "source")
-    mad = with_med.groupBy("source").agg(F.percentile(F.abs(F.col("n_chars") - F.col("med")), F.lit(0.5)).alias("mad"))
+    med = exact_quantiles(docs, "n_chars", ["source"], [0.5]).select("source", F.col("q")[0].alias("med"))
+    with_med = docs.join(med, "source").withColumn("off", F.abs(F.col("n_chars") - F.col("med")))
+    mad = exact_quantiles(with_med, "off", ["source"], [0.5]).select("source", F.col("q")[0].alias("mad"))
     z = (F.col("n_chars") - F.col("med")) / (F.col("mad") * 1.4826 + F.lit(1e-6))
     return with_med.join(mad, "source").select("doc_id", F.round(z, 6).alias("robust_z"))
 

@@ -268,3 +268,16 @@ def test_listings_catalog_and_features(spark, tmp_path):
     assert tables.features_or_csv(spark, f"file://{tmp_path}/f", "id long").count() == 3
     (tmp_path / "t.md").write_text(" \n# T\n")
     assert tables.whole_texts(spark, f"file://{tmp_path}/t.md").first().text == "# T"
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    from pulselake.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=501), "b": np.round(rng.exponential(1e4, 300)), "c": np.full(7, 3.0), "d": np.array([5.0]), "e": np.r_[rng.normal(size=50), 1e12]}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), (None, 1.0), (None, 3.0)]
+    found = {r.g: r.q for r in exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], [0.0, 0.25, 0.5, 0.99, 1.0]).collect()}
+    groups[None] = np.array([1.0, 3.0])
+    assert set(found) == set(groups)
+    for g, xs in groups.items():
+        assert np.allclose(found[g], np.percentile(xs, [0, 25, 50, 99, 100]))
