@@ -93,15 +93,22 @@ def assign_cells(units: DataFrame, centers: dict[int, np.ndarray], least: float)
     return units.select("rep", "weight", "unit").mapInArrow(run, "rep long, weight long, unit binary, cell long, home boolean")
 
 
-def _linked(block: tuple[np.ndarray, np.ndarray], part: np.ndarray, least: float) -> np.ndarray:
-    """Which rows of ``part`` and ``block`` have cosine >= ``least``: single precision finds, double decides."""
+def _linked(block: tuple[np.ndarray, np.ndarray], part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of ``part``, rows of ``block``, which of them have cosine >= ``least``).
+
+    Single precision leaves out all that is clearly below; double precision decides the rest.
+    """
     whole, single = block
     slack = 1e-6 + 1.2e-7 * whole.shape[1]
     dots = part.astype(np.float32) @ single.T
+    likely = dots >= np.float32(least - slack)
+    rows = np.flatnonzero(likely.any(axis=1))
+    columns = np.flatnonzero(likely[rows].any(axis=0))
+    dots = dots[np.ix_(rows, columns)]
     linked = dots >= least + slack
     i, j = np.nonzero(np.abs(dots - least) <= slack)
-    linked[i, j] = np.einsum("ij,ij->i", part[i], whole[j]) >= least
-    return linked
+    linked[i, j] = np.einsum("ij,ij->i", part[rows[i]], whole[columns[j]]) >= least
+    return rows, columns, linked
 
 
 def compare_cells(members: DataFrame, least: float) -> DataFrame:
@@ -124,10 +131,10 @@ def compare_cells(members: DataFrame, least: float) -> DataFrame:
             part: list[tuple] = []
 
             def compare() -> pa.RecordBatch:
-                linked = _linked(block, _matrix([r[5] for r in part]), least)
-                rep, mine = np.array([r[3] for r in part], np.int64), np.array([r[3] for r in home], np.int64)
+                rows, columns, linked = _linked(block, _matrix([r[5] for r in part]), least)
+                rep, mine = np.array([part[i][3] for i in rows], np.int64), np.array([home[j][3] for j in columns], np.int64)
                 linked &= rep[:, None] != mine[None, :]
-                links = linked @ np.array([r[4] for r in home], np.int64)
+                links = linked @ np.array([home[j][4] for j in columns], np.int64)
                 some, near = linked.any(axis=1), linked.any(axis=0)
                 rep, links, mine, linked = rep[some], links[some], mine[near], linked[some][:, near]
                 root, other, far = rep, mine, np.iinfo(np.int64).max
@@ -137,8 +144,8 @@ def compare_cells(members: DataFrame, least: float) -> DataFrame:
                     if (low == root).all() and (lower == other).all():
                         break
                     root, other = low, lower
-                columns = (np.concatenate((rep, mine)), np.concatenate((links, np.zeros(len(mine), np.int64))), np.concatenate((root, other)))
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "links", "root"])
+                out = (np.concatenate((rep, mine)), np.concatenate((links, np.zeros(len(mine), np.int64))), np.concatenate((root, other)))
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["rep", "links", "root"])
 
             for row in group:
                 if row[2] == 0:
