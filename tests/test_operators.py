@@ -281,3 +281,14 @@ def test_exact_quantiles_equal_numpy(spark):
     assert set(found) == set(groups)
     for g, xs in groups.items():
         assert np.allclose(found[g], np.percentile(xs, [0, 25, 50, 99, 100]))
+
+
+def test_sql_functions_and_command_line(spark, tmp_path):
+    from pulselake.__main__ import main
+    from pulselake.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("SELECT clamp(5, 6, 9) AS a, clamp(NULL, 6, 9) AS b, avg(valid_or_null(v)) AS c, band(20, 15, 35) AS d, horizon_end(DATE '2026-09-18') AS e FROM VALUES (100.0), (0.0), (CAST('NaN' AS DOUBLE)), (200.0) t(v)").first()
+    assert tuple(row) == (6.0, None, 150.0, "normal", dt.date(2026, 9, 27))
+    main(["e13_count_per_source", "/root/testdata/sf0.001", "--out", f"{tmp_path}/out"])
+    assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
