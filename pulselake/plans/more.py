@@ -247,6 +247,15 @@ def k6_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.slice(words, 1, 3).alias("words"), F.size(F.array_distinct(words)).cast("bigint").alias("distinct_words"))
 
 
+@query("""
+SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}')[1:3] AS words, len(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS distinct_words FROM documents
+""")
+def k6_arrays_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Array functions over all words of a document; ``k6_arrays`` reads its first 200 characters only."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.slice(words, 1, 3).alias("words"), F.size(F.array_distinct(words)).cast("bigint").alias("distinct_words"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.absent') AS absent, TRY_CAST(json_extract_string(props, '$.k') || CASE WHEN event_id > 50 THEN 'x' ELSE '' END AS DOUBLE) AS coerced FROM events")
 def k8_json_and_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON paths, absent ones too, and casts that give null where they fail."""

@@ -14,6 +14,7 @@ from pulselake.operators import anomaly, causality, forecast, retrieval, sft, st
 from pulselake.operators.averages import clean_average
 from pulselake.operators.chunk import count_words, split_text
 from pulselake.operators.profile import profile, render
+from pulselake.plans import more
 from pulselake.sources import tables
 from pulselake.streaming import events as streams
 
@@ -292,3 +293,10 @@ def test_sql_functions_and_command_line(spark, tmp_path):
     assert tuple(row) == (6.0, None, 150.0, "normal", dt.date(2026, 9, 27))
     main(["e13_count_per_source", "/root/testdata/sf0.001", "--out", f"{tmp_path}/out"])
     assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_words_behind_the_first_200_characters_count(spark, tmp_path):
+    text = "the " * 60 + "late words here"
+    spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.words, r.distinct_words) for r in more.k6_arrays_whole(spark, str(tmp_path)).collect()}
+    assert found == {1: (["the"] * 3, 4), 2: ([], 0)}
