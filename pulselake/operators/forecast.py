@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -72,6 +75,34 @@ def smooth(y: np.ndarray, horizon: int, alpha: float, beta: float, gamma: float,
     return fitted, level + steps * trend + np.array(ahead)
 
 
+def damped_steps(rows: DataFrame, series: str, day: str, value: str, alpha: float, beta: float, phi: float) -> DataFrame:
+    """(series, n, next_value): the damped one-step forecast after each row of a series, to its last row.
+
+    A series is sorted in its partition and folded batch by batch; the state is one level and one trend.
+    After a null value all are null.
+    """
+    kept = rows.select(series, day, F.col(value).cast("double").alias("_y"))
+    kept = kept.repartition(series).sortWithinPartitions(series, day)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, key, n, level, trend = False, None, 0, 0.0, 0.0
+        for batch in batches:
+            counts, values = [], []
+            for k, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                y = np.nan if y is None else y
+                if not begun or k != key:
+                    begun, key, n, level, trend = True, k, 1, y, 0.0
+                else:
+                    before, n = level, n + 1
+                    level = alpha * y + (1 - alpha) * (before + phi * trend)
+                    trend = beta * (level - before) + (1 - beta) * phi * trend
+                counts.append(n)
+                values.append(level + phi * trend)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(values, pa.float64(), from_pandas=True)], names=[series, "n", "next_value"])
+
+    return kept.mapInArrow(run, f"{series} {dict(kept.dtypes)[series]}, n long, next_value double")
+
+
 def ets_forecast(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Smoothing with parameters from a small grid; weekly season from 14 values on. (fitted, forecast, sigma)."""
     season = 7 if len(y) >= 14 else 0

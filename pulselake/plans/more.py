@@ -190,6 +190,13 @@ def g19_ets_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.select("priority", (F.col("n") + 1).cast("bigint").alias("n"), F.round(F.col("s.level") + 0.9 * F.col("s.trend"), 4).alias("next_value"))
 
 
+@query(None)
+def g19_ets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoothing of ``g19_ets_fixed`` over every series to its last row."""
+    steps = forecast.damped_steps(order_series(spark, sf_dir), "priority", "day", "value", 0.3, 0.1, 0.9)
+    return steps.withColumn("next_value", F.round("next_value", 4))
+
+
 @query("""
 SELECT event_id, CASE WHEN value IS NULL THEN 'NULL' WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE 'x' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END AS shown,
   CASE WHEN length(replace(trim(props), chr(10), ' ')) > 42 THEN '''' || substr(replace(trim(props), chr(10), ' '), 1, 39) || '...''' ELSE '''' || replace(trim(props), chr(10), ' ') || '''' END AS quoted FROM events

@@ -300,3 +300,24 @@ def test_words_behind_the_first_200_characters_count(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: (r.words, r.distinct_words) for r in more.k6_arrays_whole(spark, str(tmp_path)).collect()}
     assert found == {1: (["the"] * 3, 4), 2: ([], 0)}
+
+
+def test_smoothing_reaches_the_last_row_of_every_series(spark, tmp_path):
+    day = dt.date(2024, 1, 1)
+    rows = [(f"p{s}", day + dt.timedelta(days=i), float((37 * i + 11 * s) % 101)) for i in range(200) for s in range(2)]
+    orders = spark.createDataFrame(rows, "o_orderpriority string, o_orderdate date, o_totalprice double")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    expected = {}
+    for s in ("p0", "p1"):
+        ys = [v for p, _, v in rows if p == s]
+        level, trend = ys[0], 0.0
+        for n, y in enumerate(ys, 1):
+            if n > 1:
+                last = level
+                level = 0.3 * y + 0.7 * (last + 0.9 * trend)
+                trend = 0.1 * (level - last) + 0.9 * 0.9 * trend
+            expected[s, n] = level + 0.9 * trend
+    found = {(r.priority, r.n): r.next_value for r in more.g19_ets_whole(spark, str(tmp_path)).collect()}
+    assert found.keys() == expected.keys() and all(abs(found[k] - v) < 1e-3 for k, v in expected.items())
+    first = {(r.priority, r.n): r.next_value for r in more.g19_ets_fixed(spark, str(tmp_path)).collect()}
+    assert len(first) == 120 and all(abs(found[k] - v) < 1e-3 for k, v in first.items())
