@@ -8,7 +8,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulselake.operators.quantiles import exact_quantiles
 from pulselake.operators.stats import z_score
+from pulselake.operators.windows import fill_both
+
+
+def impute(rows: DataFrame, features: list[str], series: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """All rows, with every feature known (as double): filled forward and then backward within the
+    series, then by the feature's median, and by 0 where no row has a value."""
+    number = {c: F.col(c).cast("double") for c in features}
+    filled = rows.withColumns({c: F.when(~F.isnan(v), v) for c, v in number.items()})
+    medians = [exact_quantiles(filled, c, [], [0.5]).select(F.get("q", F.lit(0)).alias(f"_m{k}")) for k, c in enumerate(features)]
+    if series and order:
+        filled = filled.withColumns({c: fill_both(c, series, order) for c in features})
+    for m in medians:
+        filled = filled.join(F.broadcast(m))
+    whole = {c: F.coalesce(c, f"_m{k}", F.lit(0.0)) for k, c in enumerate(features)}
+    return filled.withColumns(whole).drop(*[f"_m{k}" for k in range(len(features))])
 
 
 def rule_factors(rows: DataFrame, rules: list[tuple[str, str, float, str]], series: list[str]) -> DataFrame:
@@ -71,9 +87,10 @@ def forest_scores(forest: list[list[tuple]], x: np.ndarray, size: int = 256) ->
 def isolation_forest(rows: DataFrame, features: list[str], contamination: float = 0.15, sample_rows: int = 10_000, seed: int = 42) -> DataFrame:
     """Adds ``iforest_score`` and ``iforest_flag``: the ``contamination`` share of greatest scores.
 
-    Trees grow on a bounded hash sample; every row is scored in Arrow batches.
+    Trees grow on a bounded hash sample; every row is scored in Arrow batches. Missing
+    features take the feature's median; ``impute`` fills within series before.
     """
-    complete = rows.dropna(subset=features)
+    complete = impute(rows, features)
     share = min(1.0, sample_rows / max(1, complete.count()))
     drawn = complete.filter(F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(1_000_000)) < int(share * 1_000_000))
     sample = drawn.select(*[F.col(c).cast("double") for c in features]).orderBy(*features).limit(sample_rows).toPandas().to_numpy()
@@ -89,17 +106,21 @@ def isolation_forest(rows: DataFrame, features: list[str], contamination: float
     return scored.join(F.broadcast(cut)).withColumn("iforest_flag", F.col("iforest_score") > F.col("cut")).drop("cut")
 
 
-def local_outlier_factor(rows: DataFrame, key: str, features: list[str], series: list[str], k: int = 5) -> DataFrame:
-    """(series, key, lof) with each row scored as a new point, so it is its own nearest neighbour.
+def local_outlier_factor(rows: DataFrame, key: str, features: list[str], series: list[str], k: int = 5, contamination: float = 0.15) -> DataFrame:
+    """(series, key, lof, lof_flag) with each row scored as a new point, so it is its own nearest neighbour.
 
-    Neighbours are sought within a series only, in Arrow groups; a series is a bounded
-    stretch of days.
+    Every row is scored, missing features are imputed. A row is flagged if its factor is
+    above the (1 - ``contamination``) quantile of the factors that the series' rows have as
+    neighbours of each other; the only row of a series has factor 1 and no flag. Neighbours
+    are sought within a series only, in Arrow groups; a series is a bounded stretch of days.
     """
     names = [*series, key, *features]
 
     def per_series(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key)
         x = frame[features].to_numpy(float)
+        if len(x) == 1:
+            return frame[[*series, key]].assign(lof=1.0, lof_flag=False)
         near = min(k, max(2, len(x) - 1), max(1, len(x) - 1))
         distance = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
         others = distance + np.where(np.eye(len(x), dtype=bool), np.inf, 0)
@@ -109,13 +130,27 @@ def local_outlier_factor(rows: DataFrame, key: str, features: list[str], series:
         own = np.argsort(distance, axis=1, kind="stable")[:, :near]
         reach = np.maximum(k_distance[own], np.take_along_axis(distance, own, axis=1))
         new = 1 / (reach.mean(axis=1) + 1e-10)
-        return frame[[*series, key]].assign(lof=(density[own] / new[:, None]).mean(axis=1))
+        factor = (density[own] / new[:, None]).mean(axis=1)
+        cut = np.percentile((density[order] / density[:, None]).mean(axis=1), 100 * (1 - contamination))
+        return frame[[*series, key]].assign(lof=factor, lof_flag=factor > cut)
 
-    kept = rows.dropna(subset=features).select(*names)
+    kept = impute(rows, features, series, key).select(*names)
     types = dict(kept.dtypes)
-    many = Window.partitionBy(*series)
-    enough = kept.withColumn("_n", F.count(F.lit(1)).over(many)).filter("_n > 1").drop("_n")
-    return enough.groupBy(*series).applyInPandas(per_series, ", ".join(f"{c} {types[c]}" for c in [*series, key]) + ", lof double")
+    return kept.groupBy(*series).applyInPandas(per_series, ", ".join(f"{c} {types[c]}" for c in [*series, key]) + ", lof double, lof_flag boolean")
+
+
+def severities(rows: DataFrame, key: str, rules: list[tuple[str, str, float, str]], series: list[str]) -> DataFrame:
+    """(series, key, iforest_flag, lof_flag, factors, severity) of every row from both detectors and the rules.
+
+    ``rows`` have no missing features and one row a (series, key).
+    """
+    features = list(dict.fromkeys(r[0] for r in rules))
+    forest = rule_factors(isolation_forest(rows, features), rules, series).select(*series, key, "iforest_flag", "factors")
+    outliers = local_outlier_factor(rows, key, features, series).drop("lof")
+    same = [forest[c].eqNullSafe(outliers[c]) for c in [*series, key]]
+    found = forest.join(outliers, same).select(*[forest[c] for c in [*series, key]], "iforest_flag", "lof_flag", "factors")
+    detectors = F.col("iforest_flag").cast("int") + F.col("lof_flag").cast("int")
+    return found.withColumn("severity", severity(F.size("factors"), detectors))
 
 
 #: Words in factor texts that point to a metric (fixed values).

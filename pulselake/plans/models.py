@@ -8,12 +8,12 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulselake.operators import forecast
-from pulselake.operators.anomaly import isolation_forest, local_outlier_factor
-from pulselake.operators.consolidate import consolidate_daily
+from pulselake.operators.anomaly import impute, isolation_forest, local_outlier_factor, severities
 from pulselake.operators.quantiles import exact_quantiles
-from pulselake.plans.common import ORDERS, order_series
+from pulselake.plans.common import ORDERS, daily, order_series
 from pulselake.plans.registry import query
 from pulselake.session import table
+from pulselake.sources.tables import scratch
 
 
 @query("""
@@ -83,14 +83,30 @@ def g12_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation_forest(rows, ["n", "value"])
 
 
+def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, day, click, view): every day on which a user has events, of any kind."""
+    of = lambda k: F.sum(F.when(F.col("metric") == k, F.col("value"))).cast("double").alias(k)
+    return daily(spark, sf_dir).groupBy("user_id", "day").agg(of("click"), of("view"))
+
+
 @query(None)
 def g13_local_outlier_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local outlier factor of each user's days."""
-    wide = consolidate_daily(table(spark, sf_dir, "events"), ["click", "view"])
-    rows = wide.select("user_id", "day", F.col("click_sum").cast("double").alias("click"), F.col("view_sum").cast("double").alias("view"))
+    rows = user_days(spark, sf_dir)
     return local_outlier_factor(rows, "day", ["click", "view"], ["user_id"])
 
 
+@query(None)
+def g15_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of each user's days from both detectors and the rule factors."""
+    rows = user_days(spark, sf_dir).withColumnsRenamed({"click": "hrv", "view": "rhr"})
+    path = scratch(spark, "imputed")
+    impute(rows, ["hrv", "rhr"], ["user_id"], "day").write.parquet(path)
+    rules = [("hrv", "<", -1.5, "low HRV"), ("rhr", ">", 1.5, "high RHR")]
+    found = severities(spark.read.parquet(path), "day", rules, ["user_id"])
+    return found.withColumn("factors", F.concat_ws("; ", "factors"))
+
+
 @query(None)
 def g22_recovery_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature importances of a random forest that predicts an order's value from its lines."""

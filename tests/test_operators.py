@@ -14,7 +14,7 @@ from pulselake.operators import anomaly, causality, forecast, retrieval, sft, st
 from pulselake.operators.averages import clean_average
 from pulselake.operators.chunk import count_words, split_text
 from pulselake.operators.profile import profile, render
-from pulselake.plans import more
+from pulselake.plans import models, more
 from pulselake.sources import tables
 from pulselake.streaming import events as streams
 
@@ -321,3 +321,27 @@ def test_smoothing_reaches_the_last_row_of_every_series(spark, tmp_path):
     assert found.keys() == expected.keys() and all(abs(found[k] - v) < 1e-3 for k, v in expected.items())
     first = {(r.priority, r.n): r.next_value for r in more.g19_ets_fixed(spark, str(tmp_path)).collect()}
     assert len(first) == 120 and all(abs(found[k] - v) < 1e-3 for k, v in first.items())
+
+
+def test_every_user_day_is_scored_by_both_detectors(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows, day = [], dt.datetime(2024, 1, 1, 12)
+    for user in (1, 2):
+        for i in range(30):
+            both = [("click", float(rng.normal(50, 1))), ("view", float(rng.normal(50, 1)))]
+            if i == 20:
+                both = [("click", 5.0), ("view", 95.0)]
+            rows += [(user, day + dt.timedelta(days=i), kind, round(v, 2)) for kind, v in (both if i % 3 == 2 else both[: 1 + (user == 2)])]
+    rows += [(3, day, "click", 50.0), (4, day, "error", 50.0)]
+    frame = spark.createDataFrame([(k, *r, "{}") for k, r in enumerate(rows)], "event_id long, user_id long, ts timestamp, event_type string, value double, props string")
+    frame.write.parquet(f"{tmp_path}/events.parquet")
+    days = {(r[1], r[2].date()) for r in [(0, *r) for r in rows]}
+    lof = models.g13_local_outlier_factor(spark, str(tmp_path)).collect()
+    assert {(r.user_id, r.day) for r in lof} == days and len(lof) == len(days) and all(math.isfinite(r.lof) for r in lof)
+    assert {(r.lof, r.lof_flag) for r in lof if r.user_id > 2} == {(1.0, False)}
+    found = {(r.user_id, r.day): r for r in models.g15_severity(spark, str(tmp_path)).collect()}
+    odd = found[1, (day + dt.timedelta(days=20)).date()]
+    assert found.keys() == days and odd.iforest_flag and odd.lof_flag and odd.severity == "ACUTE_ALERT"
+    for r in found.values():
+        n, k = r.iforest_flag + r.lof_flag, len([f for f in r.factors.split("; ") if f])
+        assert r.severity == ("ACUTE_ALERT" if n == 2 or k >= 2 else "MILD_ANOMALY" if n or k else "NORMAL")
