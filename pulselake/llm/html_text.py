@@ -9,14 +9,19 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_HIDDEN_ATTRIBUTE = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|style\s*=\s*(?:"[^"]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*(?:display\s*:\s*none|visibility\s*:\s*hidden)))""", re.I)
+#: Quotes count only right after '=', so an apostrophe in a name or an unquoted value is a sign like others.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_MAY_HIDE = re.compile("hidden|style", re.I)
+_HIDDEN_STYLE = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _START = re.compile(r"""\bstart\s*=\s*["']?(-?\d+)""", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template noscript iframe object video audio canvas datalist title noembed noframes".split())
+#: What may stand in a head; text and other tags end it.
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Blocks by the number of empty lines around them.
 BLOCK = dict.fromkeys("address article aside body center dd details dialog div dt fieldset figcaption figure footer form header hgroup html legend li main menu nav option optgroup section select summary tbody td tfoot th thead tr caption".split(), 0)
 BLOCK |= dict.fromkeys("blockquote dl h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split(), 1)
@@ -39,6 +44,16 @@ _IMPLIED = {
 _PARENT = {"td": "tr", "th": "tr"}
 
 
+def hides(attributes: str) -> bool:
+    """Whether a tag's attributes hide its element: ``hidden``, or a style that says so; the first of a name counts."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return "hidden" in found or bool(_HIDDEN_STYLE.search(html.unescape(found.get("style", ""))))
+
+
 class Node:
     __slots__ = ("tag", "attributes", "children")
 
@@ -67,7 +82,10 @@ def build_tree(source: str) -> Node:
         found = _TOKEN.search(source, at)
         text = source[at : found.start() if found else len(source)]
         if text:
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
+            text = html.unescape(text) if "&" in text else text
+            if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+                stack.pop()
+            stack[-1].children.append(text)
         if not found:
             break
         at = found.end()
@@ -84,10 +102,10 @@ def build_tree(source: str) -> Node:
             continue
         if tag in ("html", "body"):
             close({"head"}, set())
-            if any(_HIDDEN_ATTRIBUTE.search(x) for x in (attributes,)):
+            if hides(attributes):
                 root.attributes = attributes
             continue
-        if tag in BLOCK and stack[-1].tag == "head":
+        if stack[-1].tag == "head" and tag not in _IN_HEAD:
             stack.pop()
         if tag in _ENDS_P:
             close({"p"}, {"td", "th", "table", "li", "div", "button", "object"})
@@ -182,7 +200,7 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if enter:
-            if tag in HIDDEN or (node.attributes and (_HIDDEN_ATTRIBUTE.search(node.attributes) or tag == "input")):
+            if tag in HIDDEN or (node.attributes and (hides(node.attributes) or tag == "input")):
                 continue
             if tag == "br":
                 page.line(force=True)

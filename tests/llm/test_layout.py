@@ -206,6 +206,23 @@ def test_page_text(source):
     assert page_text(source) == PAGES[source]
 
 
+VISIBLE = {
+    "<div title=\"the hidden cost\">yes</div>": "yes",
+    "<body class='a hidden b'><p class=\"a hidden b\">yes": "yes",
+    "<a title=don't>Visible text. It's fine</a>": "Visible text. It's fine",
+    "<a href=/x?q=\"a>yes</a> \"more\"": 'yes "more"',
+    "<head><title>no</title><meta charset=x>yes <b>too</b>": "yes too",
+    "<head><style>no</style><a href=x>yes</a>": "yes",
+    "<div style=display:none>no</div><div data-style='display:none' HIDDEN=''>no</div>yes": "yes",
+    "<div title='style=\"display:none\"'>yes</div>": "yes",
+}
+
+
+@pytest.mark.parametrize("source", VISIBLE)
+def test_visible_text_is_kept(source):
+    assert page_text(source) == VISIBLE[source]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "<li>", "<ul>", "</ul>", "<table>", "<td>", "<tr>", "</table>", "<b>", "</b>", "<pre>", "</pre>", "<div hidden>", "</div>", "x", " y\n", "<", "&amp;", "<script>", "</script>"]), max_size=30))
 def test_broken_markup_never_fails(parts):
