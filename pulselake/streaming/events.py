@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulselake.operators.store import merge_latest
@@ -54,22 +55,49 @@ def budget_fold(times: list[float], hour: int, day: int, accepted: list[float])
     return out, accepted
 
 
+def _fold_stretches(rows: DataFrame, user: str, hour: int, day: int, schema: str) -> DataFrame:
+    second = 1_000_000
+    ts = F.col("ts").cast("timestamp")
+    rows = rows.select(F.col(user).cast("long").alias(user), F.col("event_id").cast("long").alias("event_id"), ts.alias("ts"), F.unix_micros(ts).alias("_at"))
+    rows = rows.withColumn("_date", F.floor(F.col("_at") / (86400 * second)))
+    # a gap of a day lies between two dates, so dates and their ends tell where stretches begin
+    dates = rows.filter("_at is not null").groupBy(user, "_date").agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"))
+    by_date = Window.partitionBy(user).orderBy("_date")
+    begins = F.when(F.col("lo") - F.lag("hi").over(by_date) >= 86400 * second, F.col("_date"))
+    first = F.last(F.col("_begins"), ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, 0))
+    cut = dates.withColumn("_begins", begins).select(F.col(user).alias("_user"), F.col("_date").alias("_on"), first.alias("_stretch"))
+    placed = rows.join(cut, F.col(user).eqNullSafe(F.col("_user")) & (F.col("_date") == F.col("_on")), "left").select(user, "event_id", "ts", "_at", "_stretch")
+    placed = placed.repartition(user, "_stretch").sortWithinPartitions(user, "_stretch", F.col("_at").asc_nulls_last(), "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, accepted = None, []
+        for batch in batches:
+            out = []
+            for u, at, stretch in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4))):
+                if key != (u, stretch):
+                    key, accepted = (u, stretch), []
+                if at is None:  # no time, no limit
+                    out.append(True)
+                    continue
+                ok, accepted = budget_fold([at / second], hour, day, accepted)
+                out += ok
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.bool_())], names=[user, "event_id", "ts", "accepted"])
+
+    return placed.mapInArrow(run, schema)
+
+
 def call_budget(calls: DataFrame, user: str, hour: int = 60, day: int = 100) -> DataFrame:
     """(user, event_id, ts, accepted): rejected calls do not count, so each user's calls are folded in order.
 
-    On a stream the accepted times of the last day are the state, kept per user.
+    On a stream the accepted times of the last day are the state, kept per user. A table is
+    cut into stretches of a user's calls that lie a day or more apart, which do not depend on
+    each other; a stretch is sorted in its partition and folded batch by batch with the same state.
     """
     names = [user, "event_id", "ts"]
     schema = f"{user} long, event_id long, ts timestamp, accepted boolean"
     rows = calls.select(*names)
     if not calls.isStreaming:
-
-        def whole(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(["ts", "event_id"])
-            ok, _ = budget_fold([t.timestamp() for t in frame["ts"]], hour, day, [])
-            return frame.assign(accepted=ok)
-
-        return rows.groupBy(user).applyInPandas(whole, schema)
+        return _fold_stretches(rows, user, hour, day, schema)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         accepted = list(state.get[0]) if state.exists else []

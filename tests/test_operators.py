@@ -345,3 +345,22 @@ def test_every_user_day_is_scored_by_both_detectors(spark, tmp_path):
     for r in found.values():
         n, k = r.iforest_flag + r.lof_flag, len([f for f in r.factors.split("; ") if f])
         assert r.severity == ("ACUTE_ALERT" if n == 2 or k >= 2 else "MILD_ANOMALY" if n or k else "NORMAL")
+
+
+def test_budget_of_a_table_is_folded_in_stretches(spark):
+    rng = np.random.default_rng(5)
+    at, rows = dt.datetime(2024, 1, 1), []
+    for user in (1, 2, None):
+        seconds = np.cumsum(rng.choice([0, 60, 1800, 3600, 40_000, 86_399, 86_400, 200_000], 300))
+        rows += [(k, user, at + dt.timedelta(seconds=int(s))) for k, s in enumerate(seconds)]
+    calls = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+    found = streams.call_budget(calls, "user_id", hour=2, day=4)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    got = {(r.user_id, r.event_id): r.accepted for r in found.collect()}
+    for user in (1, 2, None):
+        mine = sorted((t, k) for k, u, t in rows if u == user)
+        ok, _ = streams.budget_fold([(t - at).total_seconds() for t, _ in mine], 2, 4, [])
+        assert [got[user, k] for _, k in mine] == ok
+    assert len(got) == len(rows) and not all(got.values())
+    local = calls.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert {(r.user_id, r.event_id): r.accepted for r in streams.call_budget(local, "user_id", hour=2, day=4).collect()} == got
