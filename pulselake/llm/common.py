@@ -11,9 +11,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``), or one of our own where that is unset."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); in local mode, where that is unset, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="pulselake-"))
     return base.rstrip("/")
@@ -35,26 +37,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _bucket(order: list[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")
-
-
-def ranked(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 64) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int | Column = 64) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... without gaps inside each group, in no particular order.
 
-    A group is split into ``buckets`` hash buckets; a bucket's first number is the size
-    of the buckets before it, so no task ever holds a whole group. ``group`` must take a
-    bounded number of values: its (group, bucket) sizes are broadcast. ``df`` is read
-    twice, so it should be a materialised table. Repeated rows get different numbers.
+    A group is split into ``buckets`` hash buckets (a number, or a column that is constant
+    within a group); a bucket's first number is the size of the buckets before it, so no task
+    ever holds a whole group. ``df`` is read twice, so it should be a materialised table.
+    Repeated rows get different numbers.
     """
-    parted = df.withColumn("_bucket", _bucket(order, buckets))
+    count = buckets if isinstance(buckets, Column) else F.lit(buckets)
+    parted = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), count).cast("int"))
     sizes = parted.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
     numbered = parted.withColumn("_inside", F.row_number().over(inside))
-    return (
-        numbered.join(F.broadcast(offsets), [*group, "_bucket"])
-        .withColumn(name, F.col("_before") + F.col("_inside") - 1)
-        .drop("_bucket", "_before", "_inside")
-    )
+    return numbered.join(offsets, [*group, "_bucket"]).withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_bucket", "_before", "_inside")

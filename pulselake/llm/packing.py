@@ -2,59 +2,79 @@
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pulselake.llm.common import materialise, ranked
 
-#: Distinct words whose ids a task remembers before it forgets them all.
-MEMORY = 400_000
+#: Bytes of remembered words, about, after which a worker forgets them all; longer words are not remembered.
+MEMORY_BYTES, LONGEST = 128 << 20, 48
+#: Pieces of one length that a task ranks, about.
+RANK_ROWS = 1 << 18
+_INNER = re.compile(r"\s (?!\S)")
+_BEFORE_SPACE = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
 
 class WordTokenizer:
-    """Token ids of whole texts, from a byte-level BPE vocabulary, with a memory of words.
+    """Token ids of whole texts by a byte-level BPE tokenizer, with a memory of words.
 
-    The vocabulary's pre-tokens never cross a single space between two words, so a text
-    without double spaces splits there and each word's ids are looked up; the rest goes
-    through the tokenizer as it is. The ids are those of the tokenizer on the whole text.
+    Pre-tokens of such a vocabulary never reach over a space that has a visible sign on
+    either side, so a text may be cut in front of every such space and each part is looked
+    up or encoded alone. Texts that hold an added token's content are encoded whole. The
+    ids are those of ``encode(text, add_special_tokens=False)``.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        tokenizer = self
-
-        class Memory(dict):
-            def __missing__(self, word: str) -> bytes:
-                found = tokenizer.plain(word)
-                if len(self) < MEMORY:
-                    self[word] = found
-                return found
-
-        self._memory = Memory()
-
-    def plain(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self._encode(text))
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        if "  " in text:
-            return self.plain(text)
-        if len(self._memory) >= MEMORY:
-            self._memory.clear()
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._memory: dict[str, bytes] = {}
+        self._bytes = 0
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as they are, as little-endian unsigned 32-bit numbers."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, text: str) -> list[str]:
+        if any(a in text for a in self._added):
+            return [text]
+        if _INNER.search(text):
+            return _BEFORE_SPACE.split(text)
         first, *rest = text.split(" ")
-        get = self._memory.__getitem__
-        return get(first) * bool(first) + b"".join([get(" " + word) for word in rest])
+        return [first, *[" " + word for word in rest]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if self._bytes > MEMORY_BYTES:
+            self._memory, self._bytes = {}, 0
+        memory, parts = self._memory, [self._parts(t) for t in texts]
+        new = [w for w in {w for words in parts for w in words} if w not in memory]
+        found = dict(zip(new, self.encode(new)))
+        for word, ids in found.items():
+            if len(word) <= LONGEST:
+                memory[word] = ids
+                self._bytes += 200 + len(word) + len(ids)
+        long = {w: ids for w, ids in found.items() if len(w) > LONGEST}
+        get = (lambda w: long[w] if w in long else memory[w]) if long else memory.__getitem__
+        return [b"".join(map(get, words)) for words in parts]
+
+
+@lru_cache(maxsize=1)
+def word_tokenizer(vocabulary: str) -> WordTokenizer:
+    """The tokenizer of a worker process, which keeps its memory from task to task."""
+    import os
+
+    import public_tokenizers
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core already
+    return WordTokenizer(public_tokenizers.path(vocabulary))
 
 
 def piece_bounds(length: int, window: int) -> list[tuple[int, int]]:
@@ -66,35 +86,35 @@ def piece_bounds(length: int, window: int) -> list[tuple[int, int]]:
     return [(s, (first if first and s == 0 else window)) for s in starts]
 
 
-def tokenize_pieces(docs: DataFrame, window: int = 1024, end_id: int = 2, vocabulary: str = "byte_bpe_50k.tiktoken", with_ids: bool = False) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, window: int = 1024, end_id: int = 2, vocabulary: str = "byte_bpe_50k.json", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32[, ids]) of every document; null text is empty.
 
-    ``vocabulary`` names the ranks file of the tokenizer (the same ids as its
-    ``byte_bpe_50k.json``), which every executor finds through ``public_tokenizers``.
+    ``vocabulary`` names the tokenizer's file, which every executor finds through
+    ``public_tokenizers``. ``keep`` names integer columns to carry along.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        encode = WordTokenizer(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
-        end = end_id.to_bytes(4, "little")
+        encode, end = word_tokenizer(vocabulary), end_id.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out: dict[str, list] = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encode(text or "") + end
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                out: dict[str, list] = {n: [] for n in ("row", "piece", "start", "length", "ids_crc32", "ids")}
+                for row, ids in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
+                    ids += end
                     for piece, (start, length) in enumerate(piece_bounds(len(ids) // 4, window)):
                         part_ids = ids[4 * start : 4 * (start + length)]
-                        for name, value in zip(out, (doc, piece, start, length, zlib.crc32(part_ids), part_ids)):
+                        for name, value in zip(out, (row, piece, start, length, zlib.crc32(part_ids), part_ids)):
                             out[name].append(value)
-                columns = [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), pa.array(out["start"], pa.int64()), pa.array(out["length"], pa.int64()), pa.array(out["ids_crc32"], pa.int64())]
+                rows = pa.array(out["row"], pa.int64())
+                columns = [part.column(0).take(rows), pa.array(out["piece"], pa.int32()), pa.array(out["start"], pa.int64()), pa.array(out["length"], pa.int64()), pa.array(out["ids_crc32"], pa.int64())]
+                columns += [part.column(2 + k).take(rows) for k in range(len(keep))]
                 if with_ids:
                     columns.append(pa.array(out["ids"], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=list(out)[: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *keep] + ["ids"] * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + "".join(f", {c} long" for c in keep) + ", ids binary" * with_ids
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).cast("long") for c in keep]).mapInArrow(run, schema)
 
 
 def plan_best_fit(counts: dict[int, int], window: int = 1024) -> list[tuple[int, int, int, int, int]]:
@@ -147,26 +167,39 @@ def plan_best_fit(counts: dict[int, int], window: int = 1024) -> list[tuple[int,
     return plan
 
 
-def pack(docs: DataFrame, window: int = 1024, end_id: int = 2, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, end_id: int = 2, vocabulary: str = "byte_bpe_50k.json", keep: tuple[str, ...] = ()) -> DataFrame:
     """Pieces of all documents with the sequence and offset that each is packed at.
 
     One pass tokenizes and keeps only the pieces' lengths and checksums. The histogram
     of lengths (at most ``window`` rows) is planned on the driver; pieces take the planned
-    slots by their rank within their length, which is counted in hash buckets, so that the
-    many pieces of one length are spread over tasks. The plan's size is bounded by the
-    window alone, so it is broadcast.
+    slots by their rank within their length. A length is ranked in as many hash buckets as
+    its count asks for (``RANK_ROWS`` a bucket), so a length that most pieces have is spread
+    over many tasks. The plan has a number of rows that the window bounds; every task looks
+    its pieces up in it by binary search.
 
     Null or empty text is the end id alone; equal or null ``doc_id`` and repeated rows are
-    documents of their own; empty input gives an empty result; other columns are ignored.
+    documents of their own; very long texts are cut into pieces like others; empty input
+    gives an empty result; other columns are ignored, whatever their names, but integer
+    columns named in ``keep`` come along.
     """
     spark = docs.sparkSession
-    pieces = materialise(tokenize_pieces(docs, window, end_id, vocabulary))
+    pieces = materialise(tokenize_pieces(docs, window, end_id, vocabulary, keep=keep))
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
-    plan = spark.createDataFrame(plan_best_fit(counts, window), "p_length long, first_rank long, n long, first_sequence long, offset long")
-    placed = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", buckets=64)
-    slot = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n"))
-    return placed.join(F.broadcast(plan), slot).select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"),
-        "offset",
-    )
+    plan = np.array(plan_best_fit(counts, window), np.int64).reshape(-1, 5)
+    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
+    buckets = spark.createDataFrame([(n, 1 + c // RANK_ROWS) for n, c in counts.items()], "length long, _buckets long")
+    placed = ranked(pieces.join(F.broadcast(buckets), "length"), ["length"], ["doc_id", "piece", "ids_crc32"], "rank", buckets=F.col("_buckets"))
+    shared = spark.sparkContext.broadcast(plan)
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shared.value
+        first_of = plan[:, 0] * (1 << 48) + plan[:, 1]
+        for batch in batches:
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            at = np.searchsorted(first_of, length * (1 << 48) + rank, side="right") - 1
+            sequence, offset = plan[at, 3] + rank - plan[at, 1], plan[at, 4]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in columns], pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
+
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *keep]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + "".join(f", {c} long" for c in keep) + ", sequence_id long, offset long"
+    return placed.select(*columns, F.col("rank").cast("long")).mapInArrow(seat, schema)

@@ -109,16 +109,22 @@ def tokenizers():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    return whole, WordTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return Tokenizer.from_file(path), WordTokenizer(path)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="abE é's'll12 \n\t.,!漢  <|endoftext|>", max_size=60))
+_WORDS = st.sampled_from(["a", "b", "'s", "12", "漢字", "é", ".", "!", " ", "  ", "\n", "\t", "\x1c", "\xa0", "\u2003", "\r", "<|endoftext|>", "<|", "|>", "endoftext", "x" * 60])
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.one_of(_WORDS, st.text(max_size=3)), max_size=25).map("".join))
 def test_word_memory_gives_the_tokenizers_ids(tokenizers, text):
     whole, mine = tokenizers
-    assert mine(text) == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids)
+    assert mine([text, "other " + text]) == [b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids) for t in (text, "other " + text)]
+
+
+def test_added_tokens_are_one_id(tokenizers):
+    assert len(tokenizers[1](["a <|endoftext|> b"])[0]) == 4 * 4
 
 
 def test_packing_round_trip(spark, tokenizers, edge_docs, no_docs):
