@@ -21,14 +21,16 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, text, label) of labelled documents outside the held-out fold, about ``rows`` at most.
 
-    The labels of an id are reduced to the greatest; null ids and labels are dropped. Only
-    ids and labels of the bounded sample are broadcast, so the documents are not shuffled.
+    The labels of an id are reduced to the greatest, and its texts to the least; null ids and
+    labels are dropped. Only ids and labels of the bounded sample are broadcast, and only its
+    texts are shuffled.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(~held_out(F.col("doc_id")))
     share = min(1.0, rows / max(1, known.count()))
     drawn = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
     picked = known.filter(drawn).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def sum_blocks(partials: DataFrame, shape: tuple[int, int], salts: int = 64) -> np.ndarray:

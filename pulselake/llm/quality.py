@@ -89,7 +89,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                             for k in range(_SPARSE):
                                 place, sign = _PLACES[context, k], _SIGNS[context, k]
                                 for row in here:
-                                    total += np.bincount(row * DIMENSIONS + place, sign, len(total))
+                                    np.add.at(total, row * DIMENSIONS + place, sign)
         yield emit_blocks(np.rint(total).astype(np.int64).reshape(_IDS, DIMENSIONS))
 
     partials = docs.select(F.col("text").cast("string")).mapInArrow(run, "block int, values binary")

@@ -10,7 +10,7 @@ import corpus_pipeline
 from pulselake.llm import registry
 from pulselake.llm.learning import Network
 from pulselake.llm.quality import classify_quality
-from pulselake.llm.toxicity import Evidence, Trie, character_model, classify_toxicity, plain_word, spaced_runs
+from pulselake.llm.toxicity import STRETCH, CharacterModel, Evidence, Trie, character_model, classify_toxicity, found_splits, lattice, plain_word, plain_words, spaced_runs, split_words
 
 DATA = "/root/testdata/sf0.01"
 
@@ -29,16 +29,103 @@ def test_disguised_words_are_restored(characters, raw, plain):
 
 
 def test_spaced_out_words_are_found(characters):
-    assert spaced_runs("what a s t u p i d thing") == ["astupid"] and spaced_runs("a a a a a") == []
+    assert spaced_runs("what a s t u p i d thing".split()) == ["astupid"] and spaced_runs("a a a a a".split()) == []
+    assert spaced_runs("s  t\tu\np i d".split()) == ["stupid"] and spaced_runs(["x", "y"]) == []
     evidence = Evidence(characters, {"stupid": 5.0})
-    assert evidence("you are s t u p i d today")[0] == 5.0 and evidence("fine words")[0] == 0.0 and evidence(None)[0] == 0.0
+    assert evidence("you are s t u p i d today")[0] == 5.0 and evidence("you are s   t  u\np\ti d today")[0] == 5.0 and evidence("fine words")[0] == 0.0 and evidence(None)[0] == 0.0
 
 
-@pytest.mark.parametrize("raw", ["!d!ot", "1d107", "id*ot", "i*iot", "iddddiot", "iD1000t", "1.d.1.o.t", "vilk0", "v1lkx"])
+@pytest.mark.parametrize("raw", ["!d!ot", "1d107", "id*ot", "i*iot", "iddddiot", "iD1000t", "1.d.1.o.t", "vilk0", "v1lkx", "1.d.1.0.7", "1-d-1-0-7", "111d111000777", "i****diot", "\u0456di\u043et"])
 def test_lexicon_entries_are_spelt_from_lattices(raw):
     assert Trie({"idiot": 4.0, "vilk~": 3.0}).weight(raw.lower()) >= 3.0
 
 
+@pytest.fixture(scope="module")
+def reader(characters):
+    return Evidence(characters, {"idiot": 4.0, "loser": 5.0, "vilk~": 3.0, "привет": 6.0}, split_words({"loser": 5.0}))
+
+
+@pytest.mark.parametrize(
+    "text,weight",
+    [
+        ("id1" + "0" * 90 + "t", 4.0),
+        ("l0" + "o" * 45 + "ser", 5.0),
+        ("1" + "-" * 40 + "d1ot", 4.0),
+        ("some.words.and.idiot.glued.by.signs.into.one.token.that.is.long", 4.0),
+        ("x/idiot_word", 4.0),
+        ("joined-l0ser", 5.0),
+        ("_".join(f"word{k}" for k in range(400)) + "_1d10t_" + "_".join(f"more{k}" for k in range(400)), 4.0),
+        ("zzqj" * 30 + "1d10t" + "kwv" * 30 + "9", 4.0),
+        ("a lo ser!", 5.0),
+        ("l.o.s.3.r", 5.0),
+        ("i\u0434 п-р-и-в-е-т", 6.0),
+        ("п р и в е т", 6.0),
+        ("ｉｄｉｏｔ", 4.0),
+        ("i\u200bd\u200bi\u200bo\u200bt", 4.0),
+        ("plain words-and_others/of 12-34 x9 no k1nd", 0.0),
+        ("a" * 5000 + "1" * 5000 + "-" * 5000, 0.0),
+    ],
+)
+def test_evidence_in_long_glued_split_and_foreign_words(reader, text, weight):
+    assert reader(text)[0] == weight
+
+
+def test_words_cut_in_two():
+    splits = split_words({"loser": 5.0, "idio~": 3.0, "bad": 4.0})
+    assert splits == {"lo": {"ser": 5.0}, "los": {"er": 5.0}}
+    assert found_splits("a lo ser. los. er los er".split(), splits) == [("lo", "ser", 5.0), ("los", "er", 5.0)]
+
+
+@pytest.mark.parametrize("raw", ["1d10t", "s*up!d", "l**er", "+r4sh", "a-b*c", "ooops", "пр1т", "x"])
+def test_viterbi_finds_the_best_of_all_paths(characters, raw):
+    model, best = CharacterModel(characters), None
+    from pulselake.llm.toxicity import _fold
+
+    def walk(k, text, cost):
+        nonlocal best
+        if k == len(units):
+            letters = [0, 0, *map(_fold, text), 0]
+            total = cost + sum(characters[a, b, c] for a, b, c in zip(letters, letters[1:], letters[2:]))
+            if best is None or total < best - 1e-9:
+                best = total
+            return
+        for reading, price in units[k]:
+            walk(k + 1, text + reading, cost + price)
+
+    units = lattice(raw)
+    walk(0, "", 0.0)
+    text = model.restore(units)
+    letters = [0, 0, *map(_fold, text), 0]
+    model_cost = sum(characters[a, b, c] for a, b, c in zip(letters, letters[1:], letters[2:]))
+    prices: dict = {"": 0.0}
+    for unit in units:
+        following: dict = {}
+        for t, cost in prices.items():
+            for reading, price in unit:
+                if text.startswith(t + reading):
+                    following[t + reading] = min(cost + price, following.get(t + reading, 1e9))
+        prices = following
+    assert abs(model_cost + prices[text] - best) < 1e-6
+
+
+def test_trie_agrees_with_all_readings():
+    rng = random.Random(6)
+    words = {"".join(rng.choice("abio") for _ in range(rng.choice([3, 4, 5]))): 2.0 + k for k, _ in enumerate(range(30))}
+    trie = Trie(words)
+    for _ in range(300):
+        raw = "".join(rng.choice("abio140-*") for _ in range(rng.choice([2, 4, 6])))
+        reachable = {("", 0.0)}
+        for unit in lattice(raw):
+            reachable = {(t + r, c + p) for t, c in reachable for r, p in unit if any(w.startswith(t + r) for w in words)}
+        want = max((words[t] for t, c in reachable if t in words and c <= 1.4 * len(t) + 1e-9), default=0.0)
+        assert abs(trie.weight(raw) - want) < 1e-9 or any(t in words and abs(c - 1.4 * len(t)) < 1e-6 for t, c in reachable)
+
+
+def test_long_tokens_are_restored_in_stretches(characters):
+    found = plain_words("x" + "1oser" * 40, CharacterModel(characters))
+    assert len(found) > 4 and all(len(w) <= 2 * STRETCH for w in found)
+
+
 @pytest.mark.parametrize("raw", ["idiom", "10+", "*****", "i*****", "a1b2c3d4", "x9", ""])
 def test_other_words_do_not_spell_lexicon_entries(raw):
     assert Trie({"idiot": 4.0, "vilk~": 3.0}).weight(raw) == 0.0
