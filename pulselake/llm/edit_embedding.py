@@ -8,22 +8,32 @@ few places. A fingerprint keeps a fixed sample of those places.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pulselake.llm.common import materialise
-from pulselake.llm.graph import components
+from pulselake.llm.graph import block_pairs, components
+from pulselake.llm.shingles import scramble
 
-SAMPLES = 128
+#: Independent walks, nibbles sampled from each, and bands of each.
+WALKS, SAMPLES, BANDS = 3, 64, 5
+#: Symbols of a band, this many steps apart.
+_SYMBOLS, _APART = 12, 3
 _PERIOD = 4096
 _STEPS = 512
 #: With fewer texts than this still walking, a plain loop over each beats array steps.
 _FEW = 24
+#: Texts that walk together, by characters.
+_TOGETHER = 8 << 20
+#: Members of an unresolved bucket that are compared with each other at once.
+BLOCK = 512
 
 
 def embedding_length(n: np.ndarray | int):
@@ -31,31 +41,64 @@ def embedding_length(n: np.ndarray | int):
     return np.maximum(1, 2 * np.asarray(n) + np.ceil(2 * np.sqrt(2 * np.asarray(n)))).astype(np.int64)
 
 
-class EditFingerprinter:
-    """Fingerprints (``samples`` nibbles in hex) of texts; the walk and the sample depend on the seed alone."""
+class _Walk:
+    """One shared random walk with its sampled places; everything depends on the seed alone."""
 
-    def __init__(self, samples: int = SAMPLES, seed: int = 1717):
+    def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.samples = samples
-        self._coins = rng.integers(0, 2, (_PERIOD, 256), dtype=np.uint8)
-        self._coins[:, 0] = 0  # past the end the pointer stays
-        self._rows = [row.tobytes() for row in self._coins]
-        self._nibble = rng.integers(0, 16, (_PERIOD, 256), dtype=np.uint8)
+        self.coins = rng.integers(0, 2, (_PERIOD, 256), dtype=np.uint8)
+        self.coins[:, 0] = 0  # past the end the pointer stays
+        self.rows = [row.tobytes() for row in self.coins]
+        self.nibble = rng.integers(0, 16, (_PERIOD, 256), dtype=np.uint8)
         # Place sampled by slot k in an embedding of length N: the last of its records below N.
         # Records thin out as 1/j, so each place is equally likely and close lengths share most.
         self._records = []
-        for _ in range(samples):
+        for _ in range(SAMPLES + BANDS):
             places = [0]
             while places[-1] < 1 << 44:
                 places.append(int((places[-1] + 1) / max(rng.random(), 1e-6)))
             self._records.append(np.unique(np.array(places, np.int64)))
 
-    def _places(self, lengths: np.ndarray) -> np.ndarray:
-        return np.stack([r[np.searchsorted(r, lengths - 1, side="right") - 1] for r in self._records], axis=1)
+    def places(self, steps: np.ndarray) -> np.ndarray:
+        """(texts, SAMPLES + BANDS * _SYMBOLS): single places, then the stretches of the bands."""
+        last = lambda r, below: r[np.searchsorted(r, np.maximum(below, 1) - 1, side="right") - 1]
+        single = [last(r, steps) for r in self._records[:SAMPLES]]
+        for r in self._records[SAMPLES:]:
+            begin = last(r, steps * 9 // 10 - _SYMBOLS * _APART)  # walks seldom end before that
+            single += [np.minimum(begin + k * _APART, steps - 1) for k in range(_SYMBOLS)]
+        return np.stack(single, axis=1)
+
+
+class EditFingerprinter:
+    """Fingerprints of texts: ``WALKS`` times ``SAMPLES`` nibbles in hex, and band keys.
+
+    A walk that has fallen out of step may stay so for long, so several independent ones are
+    taken. A band is a short stretch of a walk at a place that depends on the length alone:
+    two texts share it if they are in step there. The key is 0 where the walk is past the end.
+    """
+
+    def __init__(self, seed: int = 1717):
+        self._walks = [_Walk(seed + k) for k in range(WALKS)]
 
     def __call__(self, texts: list[str]) -> list[str]:
-        if not texts:
-            return []
+        return self.fingerprints_and_bands(texts)[0]
+
+    def fingerprints_and_bands(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """(hex fingerprints, band keys as (texts, WALKS * BANDS) signed 64-bit numbers)."""
+        prints, keys, at = [], [], 0
+        while at < len(texts):
+            end, room = at + 1, _TOGETHER - len(texts[at])
+            while end < len(texts) and len(texts[end]) <= room:
+                room -= len(texts[end])
+                end += 1
+            nibbles, bands = zip(*(self._walk(w, texts[at:end], k) for k, w in enumerate(self._walks)))
+            packed = np.concatenate([x[:, 0::2] << 4 | x[:, 1::2] for x in nibbles], axis=1)
+            prints += [row.tobytes().hex() for row in packed]
+            keys.append(np.concatenate(bands, axis=1))
+            at = end
+        return prints, np.concatenate(keys) if keys else np.zeros((0, WALKS * BANDS), np.int64)
+
+    def _walk(self, walk: _Walk, texts: list[str], number: int) -> tuple[np.ndarray, np.ndarray]:
         codes = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass") + b"\0" * 4, "<u4")
         flat = ((codes ^ ((codes >> 8) * 157)) & 0xFF).astype(np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -67,7 +110,8 @@ class EditFingerprinter:
 
         order = np.argsort(-sizes, kind="stable")
         steps, pointer = embedding_length(sizes[order]), starts[order].copy()
-        places = self._places(steps)
+        places = walk.places(steps)
+        slots = places.shape[1]
         by_place = np.argsort(places, axis=None, kind="stable")
         sorted_places = places.ravel()[by_place]
         seen = np.zeros(places.size, np.uint8)
@@ -81,11 +125,11 @@ class EditFingerprinter:
             for t in range(_STEPS):
                 row = history[t, :m]
                 np.take(flat, pointer[:m], out=row, mode="clip")
-                np.take(self._coins[(at + t) % _PERIOD], row, out=moves[:m], mode="clip")
+                np.take(walk.coins[(at + t) % _PERIOD], row, out=moves[:m], mode="clip")
                 pointer[:m] += moves[:m]
             lo, hi = np.searchsorted(sorted_places, (at, at + _STEPS))
             where = by_place[lo:hi]
-            seen[where] = history[sorted_places[lo:hi] - at, where // self.samples]
+            seen[where] = history[sorted_places[lo:hi] - at, where // slots]
             at += _STEPS
         for d in range(m):
             begin = int(starts[order[d]])
@@ -96,64 +140,140 @@ class EditFingerprinter:
                 place = int(places[d, slot])
                 while j < place:
                     stop = min(place, j - j % _PERIOD + _PERIOD)
-                    for row in self._rows[j % _PERIOD : (stop - 1) % _PERIOD + 1]:
+                    for row in walk.rows[j % _PERIOD : (stop - 1) % _PERIOD + 1]:
                         i += row[body[i]]
                     j = stop
-                seen[d * self.samples + slot] = body[i]
-        nibbles = np.empty(places.shape, np.uint8)
-        nibbles[order] = self._nibble[places % _PERIOD, seen.reshape(places.shape)]
-        return [(row[0::2] << 4 | row[1::2]).tobytes().hex() for row in nibbles]
+                seen[d * slots + slot] = body[i]
+        seen = seen.reshape(places.shape)
+        nibbles, bands = np.empty((len(texts), SAMPLES), np.uint8), np.empty((len(texts), BANDS), np.uint64)
+        nibbles[order] = walk.nibble[places[:, :SAMPLES] % _PERIOD, seen[:, :SAMPLES]]
+        stretch = seen[:, SAMPLES:].reshape(len(texts), BANDS, _SYMBOLS)
+        keys = np.zeros((len(texts), BANDS), np.uint64)
+        for k in range(_SYMBOLS):
+            keys = scramble(keys * np.uint64(0x9E3779B97F4A7C15) + stretch[:, :, k].astype(np.uint64) + np.uint64(1))
+        begin = places[:, SAMPLES :: _SYMBOLS].astype(np.uint64)
+        keys = scramble(keys + begin * np.uint64(2 * BANDS * WALKS + 1) + (np.arange(BANDS) + number * BANDS).astype(np.uint64))
+        bands[order] = np.where(stretch[:, :, 0] > 0, keys, np.uint64(0))
+        return nibbles, bands.view(np.int64)
+
+
+def nibbles(prints: list[str]) -> np.ndarray:
+    """(fingerprints, WALKS, SAMPLES) from hex."""
+    packed = np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(len(prints), -1)
+    return np.stack((packed >> 4, packed & 15), axis=2).reshape(len(prints), WALKS, -1)
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of equal nibbles in the walk that stayed in step best, less what chance gives; 1 for equal ones, at least 0."""
+    equal = (x == y).mean(axis=-1).max(axis=-1)
+    return np.maximum(0.0, (equal - 1 / 16) / (15 / 16))
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of equal nibbles of two fingerprints, less what chance gives; 1 for equal ones, at least 0."""
-    x, y = (np.frombuffer(bytes.fromhex(f), np.uint8) for f in (a, b))
-    d = x ^ y
-    equal = ((d & 15) == 0).sum() + ((d >> 4) == 0).sum()
-    return float(max(0.0, (equal / (2 * len(x)) - 1 / 16) / (15 / 16)))
+    return float(alike(nibbles([a]), nibbles([b]))[0])
+
+
+def likenesses(a: list[str], b: list[str]) -> np.ndarray:
+    return alike(nibbles(a), nibbles(b)) if a else np.zeros(0)
+
 
+def least_likeness(n: np.ndarray) -> np.ndarray:
+    """Likeness from which texts of n characters count as near: unrelated short texts agree more by chance."""
+    return 0.36 + 0.4 * np.exp(-np.asarray(n) / 450)
 
-def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """(doc_id, n_chars, fingerprint) of every whole text; null text counts as empty. No shuffle."""
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, fingerprint, bands) of every whole text; null text counts as empty. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        printer = EditFingerprinter(samples)
+        printer = EditFingerprinter()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
+            prints, bands = printer.fingerprints_and_bands(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(printer(texts), pa.string())], names=["doc_id", "n_chars", "fingerprint"]
+                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(prints, pa.string()), pa.array(bands.tolist(), pa.list_(pa.int64()))],
+                names=["doc_id", "n_chars", "fingerprint", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string, bands array<long>")
 
 
-def near_documents(docs: DataFrame, at_least: float = 0.8, band: int = 8, samples: int = SAMPLES) -> DataFrame:
-    """(doc_id, component_id, kept) by fingerprints that agree.
+def near_groups(printed: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of a materialised table of fingerprints.
 
-    Bands of ``band`` sampled nibbles are bucket keys; each distinct fingerprint of a bucket
-    is verified (likeness >= ``at_least``) against the bucket's first one, so pairs grow with
-    the rows. Different bands have different first fingerprints. Equal fingerprints always
-    share a component. Null ``doc_id`` is left out; empty input gives an empty result.
+    1. Equal fingerprints fall together.
+    2. Each fingerprint of a bucket of equal band keys is verified against the bucket's hub,
+       so pairs grow with the rows; different bands have different hubs.
+    3. Buckets whose members are still in different components are searched in blocks.
+
+    Two texts are near if their likeness reaches ``least_likeness`` of the longer one's length.
     """
-    printed = materialise(fingerprints(docs, samples).filter("doc_id is not null"))
-    reps = materialise(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
-    bands = [F.concat(F.lit(f"{k}:"), F.substring("fingerprint", k * band + 1, band)) for k in range(samples // band)]
-    keyed = materialise(reps.select("rep", "fingerprint", F.posexplode(F.array(*bands)).alias("band", "key")))
-    first = F.min(F.struct(F.xxhash64("band", "rep"), "rep", "fingerprint"))
-    hubs = materialise(keyed.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("first.rep").alias("hub"), F.col("first.fingerprint").alias("hub_print")))
-    pairs = keyed.join(hubs, "key").filter("rep != hub").select("rep", "hub", "fingerprint", "hub_print").dropDuplicates(["rep", "hub"])
+    known = printed.filter("doc_id is not null")
+    reps = materialise(known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_chars").alias("n_chars"), F.first("bands").alias("bands")))
+    keyed = reps.select("rep", F.explode(F.array_distinct("bands")).alias("key")).filter("key != 0")
+    first = F.min(F.struct(F.xxhash64("key", "rep"), "rep"))
+    hubs = materialise(keyed.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("first.rep").alias("hub"), "n"))
+    spread = materialise(keyed.join(hubs, "key"))
+    pairs = spread.filter("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    of = lambda side: reps.select(F.col("rep").alias(side), F.col("n_chars").alias(f"n_{side}"), F.col("fingerprint").alias(f"f_{side}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [likeness(x, y) >= at_least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["rep", "hub"]).filter(pa.array(keep, pa.bool_()))
-
-    labels = components(pairs.mapInArrow(verify, "rep long, hub long"), "rep", "hub").withColumnRenamed("node", "rep")
+            near = likenesses(batch.column("f_a").to_pylist(), batch.column("f_b").to_pylist()) >= least_likeness(np.maximum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "f_a", "f_b")
+    links = materialise(joined.mapInArrow(verify, "a long, b long"))
+    labels = components(links).withColumnRenamed("node", "rep")
+
+    located = materialise(spread.filter("n > 2").join(labels, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    apart = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
+    members = block_pairs(located.join(apart, "key"), "rep", "n", BLOCK).join(reps.select("rep", "n_chars", "fingerprint"), "rep")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)))
+
+        for (_, block, other), group in groupby(rows(), key=lambda r: r[:3]):
+            side, ids, part, n, prints = zip(*(r[3:] for r in group))
+            side, ids, n, x = np.array(side), np.array(ids, np.int64), np.array(n), nibbles(list(prints))
+            _, part = np.unique(np.array(part, np.int64), return_inverse=True)
+            opposite = np.flatnonzero(side == (0 if block == other else 1))
+            out = []
+            for i in np.flatnonzero(side == 0):
+                js = opposite[part[opposite] != part[i]]
+                for j in js[alike(x[i][None], x[js]) >= least_likeness(np.maximum(n[i], n[js]))]:
+                    if part[i] != part[j]:
+                        out.append((int(ids[i]), int(ids[j])))
+                        part[part == part[j]] = part[i]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    columns = ["key", "block", "other", "side", "rep", "component", "n_chars", "fingerprint"]
+    ordered = members.select(*columns).repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
+    more = ordered.mapInArrow(search, "a long, b long")
+    labels = components(materialise(links.union(more))).withColumnRenamed("node", "rep")
     named = reps.join(labels, "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    return printed.join(materialise(named), "fingerprint").select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return known.select("doc_id", "fingerprint").join(named, "fingerprint").select("doc_id", "component_id")
+
+
+def near_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id, kept) by fingerprints that agree: the smallest ``doc_id`` that near texts reach.
+
+    Measured on random edits (insertions, deletions, substitutions), pairs are found with a
+    recall of 0.9 or more at an edit similarity of 0.99 up to 20,000 characters, and of 0.995
+    up to 120,000 (20,000 words). Equal texts always share a component. A null ``doc_id`` is
+    left out; null text is empty; rows that share a ``doc_id`` are rows of their own; other
+    columns are ignored; empty input gives an empty result.
+    """
+    printed = materialise(fingerprints(docs))
+    return near_groups(printed).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-_EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands array<long>"
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+_NAMES = [c.split()[0] for c in _EDITED.split(", ")]
 
 
 def edit(text: str, following: str) -> str:
@@ -162,16 +282,30 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in compressed form, as they are about to be shuffled."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            packed = [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["doc_id", "tie", "packed"])
+
+
+def _unpack(packed: list[bytes]) -> list[str]:
+    return [zlib.decompress(p).decode("utf-8", "surrogatepass") for p in packed]
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edit with the next document's beginning.
+    """Fingerprints of every text and of its edit with the next document's beginning, and near groups.
 
-    Documents are range-partitioned by ``doc_id`` once; inside a partition the next document
-    is the next row. The last row of each partition finds its successor, the first row of the
-    next one, in a join of one row per partition; the last document is followed by the first.
+    Documents are range-partitioned by ``doc_id`` once, in compressed form; inside a partition
+    the next document is the next row. The last row of each partition finds its successor, the
+    first row of the next one, in a join of one row per partition; the last document is followed
+    by the first. ``component_id`` names the group of near documents (``near_groups``).
 
     Null text is empty. Rows with equal ``doc_id`` follow each other by a hash of the text;
-    null ``doc_id`` comes first. A single document follows itself; empty input gives an empty
-    result; other columns are ignored.
+    null ``doc_id`` comes first and has a null component. A single document follows itself;
+    empty input gives an empty result; very long texts are walked whole; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,60 +315,56 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         head, begun = None, False
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+            kinds = [*_KINDS, pa.int32(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[*_NAMES, "part", "head", "tail"])
 
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "head", "tail"]
         for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), (t or "" for t in batch.column(1).to_pylist())))
-            if not rows:
-                continue
-            prints = printer([t for _, t in rows])
-            every = ([held] if held else []) + [(i, t, f) for (i, t), f in zip(rows, prints)]
-            edits = [edit(a[1], b[1]) for a, b in zip(every, every[1:])]
-            done = []
-            for (i, text, f), (_, _, g), changed, h in zip(every, every[1:], edits, printer(edits)):
-                digest = sha256(changed.encode("utf-8", "replace")).hexdigest()
-                done.append((i, len(text), digest, f, h, likeness(f, h), likeness(f, g), part, None, None))
-            if head is None:
-                head = every[0][1]
-            if done:
-                if not begun:
-                    done[0] = (*done[0][:8], head, None)
-                begun = True
-                yield out(done)
-            held = every[-1]
+            for at in range(0, batch.num_rows, 4000):
+                piece = batch.slice(at, 4000)
+                texts = _unpack(piece.column(1).to_pylist())
+                prints, bands = printer.fingerprints_and_bands(texts)
+                every = ([held] if held else []) + list(zip(piece.column(0).to_pylist(), texts, prints, bands.tolist()))
+                edits = [edit(a[1], b[1]) for a, b in zip(every, every[1:])]
+                changed = printer(edits)
+                near, after = likenesses([a[2] for a in every[:-1]], changed), likenesses([a[2] for a in every[:-1]], [b[2] for b in every[1:]])
+                done = [
+                    (i, len(text), sha256(e.encode("utf-8", "replace")).hexdigest(), f, h, x, y, keys, part, None, None)
+                    for (i, text, f, keys), e, h, x, y in zip(every, edits, changed, near.tolist(), after.tolist())
+                ]
+                if head is None:
+                    head = every[0][1]
+                if done:
+                    if not begun:
+                        done[0] = (*done[0][:9], head, None)
+                    begun = True
+                    yield out(done)
+                held = every[-1]
         if held:
-            i, text, f = held
-            yield out([(i, len(text), None, f, None, None, None, part, None if begun else head, text)])
+            i, text, f, keys = held
+            yield out([(i, len(text), None, f, None, None, None, keys, part, None if begun else head, text)])
 
     schema = _EDITED + ", part int, head string, tail string"
-    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    placed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    packed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), F.col("text").cast("string")).mapInArrow(_pack, "doc_id long, tie long, packed binary")
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    placed = packed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "packed")
     printed = materialise(placed.mapInArrow(run, schema))
 
-    firsts = printed.filter("head is not null").select("part", F.col("head").alias("following"), F.col("fingerprint").alias("next_print"))
-    by_part = Window.orderBy("part")
-    lasts = printed.filter("tail is not null").select("doc_id", "tail", "fingerprint", F.lead("part").over(by_part).alias("next_part"))
-    begin = printed.filter("head is not null").agg(F.min("part")).first()[0]
-    joined = lasts.withColumn("part", F.coalesce("next_part", F.lit(begin).cast("int"))).join(firsts, "part").select("doc_id", "tail", "fingerprint", "following", "next_print")
+    firsts = printed.filter("head is not null").select(F.col("part").alias("next_part"), F.col("head").alias("following"), F.col("fingerprint").alias("next_print"))
+    parts = sorted(r.part for r in printed.filter("head is not null").select("part").collect())  # one number per task
+    after = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next_part int")
+    lasts = printed.filter("tail is not null").select("doc_id", "tail", "fingerprint", "bands", "part")
+    joined = lasts.join(F.broadcast(after), "part").join(firsts, "next_part").select("doc_id", "tail", "fingerprint", "bands", "following", "next_print")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         printer = EditFingerprinter()
         for batch in batches:
-            ids, tails, prints, following, nexts = (c.to_pylist() for c in batch.columns)
+            ids, tails, prints, bands, following, nexts = (c.to_pylist() for c in batch.columns)
             edits = [edit(a, b) for a, b in zip(tails, following)]
             changed = printer(edits)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()), pa.array([len(t) for t in tails], pa.int64()),
-                    pa.array([sha256(e.encode("utf-8", "replace")).hexdigest() for e in edits], pa.string()),
-                    pa.array(prints, pa.string()), pa.array(changed, pa.string()),
-                    pa.array([likeness(f, h) for f, h in zip(prints, changed)], pa.float64()),
-                    pa.array([likeness(f, g) for f, g in zip(prints, nexts)], pa.float64()),
-                ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
-
-    inner = printed.filter("tail is null").drop("part", "head", "tail")
-    return inner.union(joined.mapInArrow(finish, _EDITED))
+            columns = [ids, [len(t) for t in tails], [sha256(e.encode("utf-8", "replace")).hexdigest() for e in edits], prints, changed, likenesses(prints, changed).tolist(), likenesses(prints, nexts).tolist(), bands]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS)], names=_NAMES)
+
+    whole = printed.filter("tail is null").select(*_NAMES).union(joined.mapInArrow(finish, _EDITED))
+    # rows that share a doc_id share their component as well
+    groups = near_groups(printed.select("doc_id", "n_chars", "fingerprint", "bands")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return whole.drop("bands").join(groups, "doc_id", "left")

@@ -7,7 +7,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from pulselake.llm.edit_embedding import EditFingerprinter, edit, edited_fingerprints, likeness, near_documents
+from pulselake.llm.edit_embedding import EditFingerprinter, edit, edited_fingerprints, least_likeness, likeness, likenesses, near_documents, nibbles
 from pulselake.llm.embedding_dedup import embedding_duplicates
 from pulselake.llm.graph import components
 from pulselake.llm.minhash import near_duplicates
@@ -126,7 +126,10 @@ def test_fingerprints_follow_the_edits(spark):
     changed = printer([edit(a, b) for a, b in zip(texts, texts[1:])])
     near = [likeness(a, b) for a, b in zip(prints, changed)]
     far = [likeness(a, b) for a, b in zip(prints, prints[1:])]
-    assert min(near) > 0.35 and np.mean(near) > 0.5 and np.mean(far) < 0.2
+    assert min(near) > 0.35 and np.mean(near) > 0.5 and np.mean(far) < 0.25
+    for a, b, x in zip(prints, changed, near):  # equal nibbles of the best walk, counted one by one
+        walks = [sum(p == q for p, q in zip(a[k : k + 64], b[k : k + 64])) / 64 for k in (0, 64, 128)]
+        assert len(a) == 192 and abs(x - max(0.0, (max(walks) - 1 / 16) / (15 / 16))) < 1e-12
     one = printer([t[: len(t) // 2] + "X" + t[len(t) // 2 + 1 :] for t in texts])
     assert np.median([likeness(a, b) for a, b in zip(prints, one)]) > 0.9
 
@@ -143,10 +146,52 @@ def test_edited_fingerprints_edges(spark, edge_docs, no_docs):
     assert single.edited_sha256 == sha256(b"abab").hexdigest() and single.near_next == 1.0
 
 
-def test_near_documents_group_copies(spark):
+def edited_at_random(rng, text, share):
+    out = []
+    for c in text:
+        if rng.random() < share:
+            kind = rng.randrange(3)
+            out += [[], [rng.choice("abcdefgh "), c], [rng.choice("abcdefgh ")]][kind]
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("n,share,pairs", [(100, 0.01, 120), (900, 0.01, 120), (5_000, 0.01, 120), (20_000, 0.01, 60), (120_000, 0.005, 40)])
+def test_recall_of_fingerprints_on_random_edits(n, share, pairs):
+    rng = random.Random(n)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    texts = [(" ".join(rng.choice(words) for _ in range(n // 3)))[:n] for _ in range(pairs)]
+    printer = EditFingerprinter()
+    prints, bands = printer.fingerprints_and_bands(texts)
+    others, keys = printer.fingerprints_and_bands([edited_at_random(rng, t, share) for t in texts])
+    found = (likenesses(prints, others) >= least_likeness(n)) & ((bands == keys) & (bands != 0)).any(axis=1)
+    assert found.mean() >= 0.9
+    far = likenesses(prints, prints[1:] + prints[:1])
+    assert (far < least_likeness(n)).all() and ((bands == np.roll(bands, -1, axis=0)) & (bands != 0)).any(axis=1).mean() < 0.1
+
+
+def test_near_documents_equal_all_pairs_of_their_buckets(spark):
     rng = random.Random(2)
-    base = ["".join(rng.choice("abcdefghij klmn") for _ in range(900)) for _ in range(8)]
-    rows = [(k, b) for k, b in enumerate(base)] + [(100 + k, b[:450] + "Z" + b[451:]) for k, b in enumerate(base)] + [(200, base[0])]
-    found = {r.doc_id: r.component_id for r in near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found[200] == 0 and [found[k] for k in range(8)] == list(range(8))
-    assert sum(found[100 + k] == k for k in range(8)) >= 6
+    base = ["".join(rng.choice("abcdefghij klmn") for _ in range(rng.choice([200, 900, 2500]))) for _ in range(8)]
+    rows = [(k, b) for k, b in enumerate(base)] + [(100 + k, b[:150] + "Z" + b[151:]) for k, b in enumerate(base)] + [(200, base[0])]
+    rows += [(300 + 20 * k + j, edited_at_random(rng, b, 0.03 * j / 20)) for k, b in enumerate(base) for j in range(20)]
+    printer = EditFingerprinter()
+    prints, bands = printer.fingerprints_and_bands([t for _, t in rows])
+    linked = []
+    for i in range(len(rows)):
+        near = likenesses([prints[i]] * i, prints[:i]) >= least_likeness(np.maximum(len(rows[i][1]), [len(t) for _, t in rows[:i]])) if i else []
+        shared = ((bands[i] == bands[:i]) | (np.array([[p == prints[i]] for p in prints[:i]]) if i else np.zeros((0, 1), bool))).any(axis=1)
+        linked += [(rows[i][0], rows[j][0]) for j in range(i) if near[j] and shared[j]]
+    root = brute_components([i for i, _ in rows], linked)
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fingerprint string, key int")
+    found = {r.doc_id: (r.component_id, r.kept) for r in near_documents(docs).collect()}
+    assert found == {i: (c, i == c) for i, c in root.items()}
+    assert all(found[100 + k][0] == k for k in range(8)) and found[200][0] == 0
+
+
+def test_near_documents_edges(spark, edge_docs, no_docs):
+    assert near_documents(no_docs).count() == 0
+    found = sorted((r.doc_id, r.component_id) for r in near_documents(edge_docs).collect())
+    assert found == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7), (8, 8), (9, 9), (9, 9)]
+    assert {r.doc_id: r.component_id for r in edited_fingerprints(edge_docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9, None: None}
