@@ -32,63 +32,85 @@ def fair_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIG
     return {s: max(0.0, t) for s, t in target.items()}
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, limit: int = 2, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Take documents (up to ``limit`` times each) so that sources meet their targets.
+#: Rows of a source that one task sums up, about.
+RANGE_ROWS = 1 << 17
 
-    Within a source, documents stand in a hash order of (doc_id, text length). The p-th
-    copy of a document begins when (words before it + (p-1) * source words) / target of
-    virtual time has passed and finishes its own words / target later. All copies of all
-    sources are served in order of finish, and the mix ends when the total budget (the sum
-    of the targets) is spent. Every source is served in proportion to its target, so that
-    is at virtual time 1: copies that have finished are taken whole, the one in service in
-    each source is cut there. ``mixed_copies`` gives the global order.
-
-    Adds ``size`` (words), ``source_size``, ``target``, ``taken`` (words, repeats counted)
-    and ``finish`` (of each copy) to (doc_id, source) and the columns named in ``keep``.
-    Running sums are kept per (source, hash range), so a source of any share of the rows is
-    spread over 256 tasks; the driver sees one row per source only.
 
-    Null text or text without words has size 0 and is never taken; null source is a source
-    of its own; repeated rows are documents of their own; empty input gives an empty result.
-    """
+def _queue(docs: DataFrame, weights: tuple[float, ...], share: float, limit: int, seed: int, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, sources, copies) of the mix; copies: _row, copy, at, words, in (_part, at, ...) order."""
     spark = docs.sparkSession
     base = materialise(
         docs.select(
+            F.monotonically_increasing_id().alias("_row"),
             "doc_id",
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
             F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.length("text")), 1).alias("_h"),
+            F.xxhash64("text").alias("_tie"),
             *[F.col(c) for c in keep],
-        )
-        .withColumn("_source", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")))
-        .withColumn("_range", F.shiftright("_h", 55).cast("int"))
+        ).withColumn("_source", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")))
     )
-    ranges = materialise(base.groupBy("_source", "_range").agg(F.sum("size").alias("_n")))
+    bits = min(24, max(1, (base.count() // RANGE_ROWS).bit_length()))
+    queued = base.select("_row", "_source", "size", "_h", "doc_id", "_tie", F.shiftright("_h", 63 - bits).cast("int").alias("_range"))
+    ranges = materialise(queued.groupBy("_source", "_range").agg(F.sum("size").alias("_n")))
     sizes = {r["_source"]: r["n"] for r in ranges.groupBy("_source").agg(F.sum("_n").alias("n")).collect()}
     named = {None if s == "n" else s[1:]: n for s, n in sizes.items()}
     targets = fair_targets(named, weights, share, limit)
-    rows = [("n" if s is None else "s" + s, named[s], float(targets[s])) for s in named]
-    per_source = spark.createDataFrame(rows, "_source string, source_size long, target double")
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").join(per_source, "_source")
-    inside = Window.partitionBy("_source", "_range").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    queued = base.withColumn("_inside", F.sum("size").over(inside)).join(offsets, ["_source", "_range"])
-    taken, finish = F.lit(0).cast("long"), []
-    for p in range(limit):
-        end = F.col("_before") + F.col("_inside") + F.col("source_size") * p
-        start = end - F.col("size")
-        taken = taken + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.round("target").cast("long") - start))
-        finish.append(F.when(F.col("target") > 0, end / F.col("target")))
-    return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.array(*finish).alias("finish"), *keep)
-
-
-def mixed_copies(mixed: DataFrame) -> DataFrame:
-    """One row per copy that is taken, range-sorted by virtual finish time over the whole mix.
-
-    ``copy`` counts from 0 and ``words`` is the copy's length; the last copy of a source may
-    be cut, and comes with fewer words than ``size``.
+    sources = spark.createDataFrame([("n" if s is None else "s" + s, named[s], float(targets[s])) for s in named], "_source string, source_size long, target double")
+
+    upto = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.withColumn("_offset", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n").join(sources, "_source")
+    inside = Window.partitionBy("_source", "_range").orderBy("_h", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = queued.filter("size > 0").withColumn("_end", F.sum("size").over(inside)).join(offsets, ["_source", "_range"]).filter("target > 0")
+    copies = ended.select("_row", "size", "target", "_h", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda p: F.col("_offset") + F.col("_end") + F.col("source_size") * p)).alias("copy", "end"))
+    # the mix ends at virtual time 1; what a source has in service then is cut there
+    words = F.least(F.col("size"), F.round("target").cast("long") - F.col("end") + F.col("size"))
+    copies = copies.select("_row", "copy", "_h", F.least(F.lit(1.0), F.col("end") / F.col("target")).alias("at"), words.alias("words")).filter("words > 0")
+    order = ["at", "_h", "_row", "copy"]
+    ordered = materialise(copies.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+
+    # truncate the global order at the whole budget
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    parts = ordered.groupBy("_part").agg(F.sum("words").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_spent"))
+    running = F.col("_spent") + F.sum("words").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    budget = F.lit(round(sum(targets.values()))).cast("long")
+    left = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), budget - F.col("_upto") + F.col("words")))
+    cut = ordered.join(parts, "_part").withColumn("_upto", running).withColumn("words", left).filter("words > 0")
+    return base, sources, cut.select("_row", "copy", "at", "_h", "words")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, limit: int = 2, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Take documents (up to ``limit`` times each) so that sources meet their targets.
+
+    Within a source, documents stand in a hash order of (doc_id, text length). The p-th
+    copy of a document begins when (words before it + (p-1) * source words) / target of
+    virtual time has passed and finishes its own words / target later. All copies of all
+    sources are range-sorted by virtual finish time, and the mix is truncated where the
+    total budget (the sum of the targets) is spent. Every source is served in proportion to
+    its target, so that is at virtual time 1: copies that have finished are taken whole, the
+    one in service in each source is cut there.
+
+    Adds ``size`` (words), ``source_size``, ``target`` and ``taken`` (words, repeats counted)
+    to (doc_id, source) and the columns named in ``keep``. Running sums are kept per (source,
+    hash range) with about ``RANGE_ROWS`` rows a range, so a source of any share of the rows is
+    spread over many tasks; the driver sees one row per source only.
+
+    Null text or text without words has size 0 and is never taken; null source is a source
+    of its own; repeated rows are documents of their own; very long texts are cut like others;
+    empty input gives an empty result; other columns are ignored, whatever their names.
+    """
+    base, sources, copies = _queue(docs, weights, share, limit, seed, keep)
+    taken = copies.groupBy("_row").agg(F.sum("words").alias("taken"))
+    found = base.join(taken, "_row", "left").join(sources, "_source")
+    return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), *keep)
+
+
+def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, limit: int = 2, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per copy that the mix takes (see ``mix``), range-sorted by virtual finish time over all sources.
+
+    (doc_id, source, size, copy, at, words, ...): ``copy`` counts from 0 and ``words`` is what
+    is taken of it; the last copy of a source may be cut, with fewer words than ``size``.
     """
-    copies = mixed.select("*", F.posexplode("finish").alias("copy", "at")).drop("finish")
-    words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("taken") - F.col("size") * F.col("copy")))
-    copies = copies.withColumn("words", words).filter("words > 0")
-    return copies.repartitionByRange("at", "doc_id").sortWithinPartitions("at", "doc_id")
+    base, _, copies = _queue(docs, weights, share, limit, seed, keep)
+    found = copies.drop("_h").join(base, "_row").repartitionByRange("at", "_h", "_row", "copy").sortWithinPartitions("at", "_h", "_row", "copy")
+    return found.select("doc_id", "source", "size", "copy", "at", "words", *keep)

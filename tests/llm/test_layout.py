@@ -1,6 +1,7 @@
 """Sharding, mixing, packing, archives and HTML against brute force and round trips."""
 
 import io
+import random
 import re
 import time
 import zipfile
@@ -68,11 +69,43 @@ def test_mix_meets_targets_and_repeats(spark, edge_docs, no_docs):
     assert all(abs(taken[s] - t) <= 1 for s, t in targets.items())
     again = mix(edge_docs).collect()
     assert Counter((r.doc_id, r.taken) for r in found) == Counter((r.doc_id, r.taken) for r in again)
-    copies = mixed_copies(mix(edge_docs, keep=("text",))).collect()
+    copies = mixed_copies(edge_docs, keep=("text",)).collect()
     assert sum(r.words for r in copies) == sum(taken.values())
     assert [r["at"] for r in copies] == sorted(r["at"] for r in copies)
 
 
+def test_mix_serves_copies_as_a_queue_would(spark):
+    rng = random.Random(11)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 1, 3, 10, 200])), rng.choice("aaaab") if k % 7 else None) for k in range(400)] + [(7, "w w", "a"), (7, "w w", "a"), (None, "w", "b")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, _row int, words int")
+    hashed = docs.select("doc_id", "text", "source", F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", F.length("text")), 1).alias("h"), F.xxhash64("text").alias("tie")).collect()
+    size = lambda t: len(t.split())
+    waiting, served, total = {}, Counter(), Counter()
+    for r in sorted(hashed, key=lambda r: (r.h, r.doc_id or 0, size(r.text), r.tie)):
+        waiting.setdefault(r.source, []).append((r.doc_id, size(r.text)))
+        total[r.source] += size(r.text)
+    targets = fair_targets(dict(total))
+    line = []
+    for source, queue in waiting.items():
+        passed = 0
+        for copy in range(2):
+            for doc, words in queue:
+                passed += words
+                if words:
+                    line.append((passed / targets[source], source or "", -1 if doc is None else doc, copy, words, source))
+    taken, budget = Counter(), round(sum(targets.values()))
+    for _, _, doc, copy, words, source in sorted(line):
+        gets = max(0, min(words, round(targets[source]) - served[source], budget - sum(served.values())))
+        served[source] += gets
+        taken[doc] += gets
+    found = Counter()
+    for r in mix(docs).collect():
+        found[-1 if r.doc_id is None else r.doc_id] += r.taken
+    assert sum(found.values()) == sum(taken.values()) and sum(abs(found[k] - taken[k]) for k in found) <= len(targets)
+    copies = mixed_copies(docs).collect()
+    assert sum(r.words for r in copies) == sum(found.values()) and max(r["at"] for r in copies) <= 1.0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_plan_places_every_item_once_without_overlap(counts):
