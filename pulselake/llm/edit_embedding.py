@@ -228,7 +228,7 @@ def near_groups(printed: DataFrame) -> DataFrame:
 
     located = materialise(spread.filter("n > 2").join(labels, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")))
     apart = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    members = block_pairs(located.join(apart, "key"), "rep", "n", BLOCK).join(reps.select("rep", "n_chars", "fingerprint"), "rep")
+    members = block_pairs(located.join(apart, "key"), "rep", F.ceil(F.col("n") / BLOCK)).join(reps.select("rep", "n_chars", "fingerprint"), "rep")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulselake.llm.common import materialise
 
@@ -27,13 +27,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def block_pairs(members: DataFrame, node: str, count: str, size: int, key: tuple[str, ...] = ("key",)) -> DataFrame:
-    """Deals the members of each group into blocks of about ``size`` and repeats a member once for
-    every other block: adds (block, other, side). Rows of one (key, block, other) are compared
+def block_pairs(members: DataFrame, node: str, blocks: Column) -> DataFrame:
+    """Deals the members of each group into ``blocks`` (constant in a group) and repeats a member once
+    for every other block: adds (block, other, side). Rows of one (group, block, other) are compared
     with each other, side 0 with side 1, or all if ``block`` equals ``other``; so every pair of
-    members meets once, and no task holds a group. ``count`` is the group's number of members.
+    members meets once, and no task holds a group.
     """
-    blocks = F.ceil(F.col(count) / size).cast("int")
+    blocks = blocks.cast("int")
     placed = members.withColumn("_at", F.pmod(F.xxhash64(F.lit(5), node), blocks).cast("int")).withColumn(
         "_pair", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("_at", k).alias("block"), F.greatest("_at", k).alias("other"))))
     )

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pulselake.llm.common import materialise
-from pulselake.llm.graph import components
+from pulselake.llm.graph import block_pairs, components
 from pulselake.llm.shingles import MinHasher, Shingler, set_digest
 
-#: Members of an unresolved bucket that are compared with each other at once.
-BLOCK = 512
+#: Members of an unresolved bucket, and bytes of their sets, that are compared with each other at once.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 
 def _texts(batch: pa.RecordBatch, n: int = 200) -> Iterator[tuple[list, list]]:
@@ -50,18 +50,15 @@ def signatures(docs: DataFrame, width: int, bins: int, rows: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles, short): the full sets as sorted 64-bit hashes, and their upper halves, in binary columns."""
+    """(doc_id, shingles): the full sets as sorted 64-bit hashes in a binary column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
             for ids, texts in _texts(batch):
-                sets = shingler(texts)
-                columns = [pa.array(ids, pa.int64())]
-                columns += [pa.array([x.tobytes() for x in xs], pa.binary()) for xs in (sets, ((s >> np.uint64(32)).astype(np.uint32) for s in sets))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingler(texts)], pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary, short binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -111,53 +108,92 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+_MEMBER = ["key", "block", "other", "side", "doc_id", "n_shingles", "component", "band", "bands", "signature"]
+
+
+class _Block:
+    """One block of an unresolved bucket against itself or another: arrays of the ``_MEMBER`` columns."""
+
+    def __init__(self, rows: list[tuple], percent: int, bins: int):
+        self.rows, self.percent, self.bins = rows, percent, bins
+        _, self.block, self.other = rows[0][:3]
+        self.side, self.ids, self.n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        _, self.part = np.unique(np.array([r[6] for r in rows], np.int64), return_inverse=True)
+        self.band = rows[0][7]
+        self.bands = np.array([r[8] for r in rows], np.int64)
+        self.signed = np.frombuffer(b"".join(r[9] for r in rows), np.uint16).reshape(len(rows), -1)
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, rows of other components that sizes and signatures do not rule out, the likeliest first).
+
+        A pair is looked at in the first band that it shares.
+        """
+        first = np.flatnonzero(self.side == 0)
+        second = first if self.block == self.other else np.flatnonzero(self.side == 1)
+        for i in first:
+            js = second[(self.part[second] != self.part[i]) & ((second > i) | (self.block != self.other))]
+            js = js[100 * np.minimum(self.n[js], self.n[i]) >= self.percent * np.maximum(self.n[js], self.n[i])]
+            js = js[(self.bands[js] == self.bands[i]).argmax(axis=1) == self.band] if len(js) else js
+            if len(js):
+                alike = (self.signed[js] == self.signed[i]).mean(axis=1)
+                order = np.argsort(-alike, kind="stable")
+                js = js[order][alike[order] >= least_agreement(np.minimum(self.n[js[order]], self.n[i]), self.percent, self.bins)]
+            if len(js):
+                yield i, js
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], percent: int, bins: int) -> Iterator[_Block]:
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield from zip(*(part.column(k).to_pylist() for k in range(part.num_columns)))
+
+    for _, group in groupby(rows(), key=lambda r: r[:3]):
+        yield _Block(list(group), percent, bins)
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    return members.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
+
+
+def cross_members(members: DataFrame, percent: int, bins: int) -> DataFrame:
+    """(key, doc_id) of the members that have a candidate in another component, by sizes and signatures alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, percent, bins):
+            some = np.zeros(len(block.rows), bool)
+            for i, js in block.candidates():
+                some[i] = some[js] = True
+            if some.any():
+                ids = np.unique(block.ids[some])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block.rows[0][0])), pa.array(ids)], names=["key", "doc_id"])
+
+    return _dealt(members.select(*_MEMBER)).mapInArrow(run, "key long, doc_id long").distinct()
+
+
 def cross_links(members: DataFrame, percent: int, bins: int) -> DataFrame:
     """Links (a, b) that join different components within buckets, as a forest.
 
-    ``members``: key, block, other, side, doc_id, n_shingles, component, band, bands, signature,
-    short; a group is one block of a bucket against itself or another. A pair is looked at
-    in the first band that it shares, the likeliest first, and only while its two sides are
-    still apart; sizes and signatures rule out most, the sets' short hashes decide. So the
+    The full sets (column ``shingles``) decide, before two sides are taken for one; so the
     rows that come out grow with those that went in, whatever the size of a bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    yield from zip(*(part.column(k).to_pylist() for k in range(part.num_columns)))
-
-        for (_, block, other), group in groupby(rows(), key=lambda r: r[:3]):
-            group = list(group)
-            side, ids, n = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5))
-            _, part = np.unique(np.array([r[6] for r in group], np.int64), return_inverse=True)
-            band = group[0][7]
-            bands = np.array([r[8] for r in group], np.int64)
-            signed = np.frombuffer(b"".join(r[9] for r in group), np.uint16).reshape(len(group), -1)
-            short = [np.frombuffer(r[10], np.uint32) for r in group]
-            first = np.flatnonzero(side == 0)
-            second = first if block == other else np.flatnonzero(side == 1)
-            out: list[tuple[int, int]] = []
-            for i in first:
-                js = second[(part[second] != part[i]) & ((second > i) | (block != other))]
-                js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-                js = js[(bands[js] == bands[i]).argmax(axis=1) == band] if len(js) else js
-                if not len(js):
-                    continue
-                alike = (signed[js] == signed[i]).mean(axis=1)
-                order = np.argsort(-alike, kind="stable")
-                for j in js[order][alike[order] >= least_agreement(np.minimum(n[js[order]], n[i]), percent, bins)]:
+        for block in _blocks(batches, percent, bins):
+            sets = [np.frombuffer(r[len(_MEMBER)], np.uint64) for r in block.rows]
+            part, out = block.part, []
+            for i, js in block.candidates():
+                for j in js:
                     if part[i] != part[j]:
-                        both = _common(short[i], short[j])
-                        if 100 * both >= percent * (n[i] + n[j] - both):
-                            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                        both = _common(sets[i], sets[j])
+                        if 100 * both >= percent * (block.n[i] + block.n[j] - both):
+                            out.append((int(min(block.ids[i], block.ids[j])), int(max(block.ids[i], block.ids[j]))))
                             part[part == part[j]] = part[i]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    ordered = members.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
-    return ordered.mapInArrow(run, "a long, b long")
+    return _dealt(members.select(*_MEMBER, "shingles")).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = 128, rows: int = 4) -> DataFrame:
@@ -172,11 +208,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
        In each bucket every member gets one edge, to the bucket's hub, so edges grow with
        the rows and not with the square of a bucket; edges are confirmed on the full sets.
     3. Buckets whose members are still in different components are searched in blocks for
-       links between components (``cross_links``), which are confirmed on the full sets, too.
+       links between components, first by signatures (``cross_members``), then, for the members
+       that have a candidate, on the full sets (``cross_links``). Blocks are bounded by members
+       and by bytes of their sets.
 
-    With 128 bins in bands of 4, a pair at 0.8 shares no band with probability 5e-8.
+    A link is missed only if it shares no band (5e-8 at similarity 0.8 with 128 bins in bands
+    of 4) or if its signatures agree five deviations less than expected (about 3e-7).
 
-    Null text is empty; documents without words link with nothing. Rows that share a
+    Null text is empty; documents without words link with nothing; very long texts are
+    shingled whole; equal sets are one group. Rows that share a
     ``doc_id`` are one node (a link of one is a link of all) but keep their rows; a null
     ``doc_id`` never links, has a null component and is kept. Empty input gives an empty
     result; other columns are ignored.
@@ -197,28 +237,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
         spread.filter("doc_id != hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     )
     stars = materialise(plausible(stars, reps, percent, bins))
-    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).union(spread.filter("n > 2").select("doc_id")).distinct()
-    sets = materialise(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width))
-    links = materialise(confirm(stars, sets, percent))
+    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
+    sets_of = lambda ids: materialise(shingle_sets(docs.join(ids, "doc_id", "left_semi"), width))
+    links = materialise(confirm(stars, sets_of(wanted), percent))
 
     labels = components(links)
-    located = materialise(
-        spread.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    )
-    apart = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
     # two members have been compared as a star already
-    open_ = located.filter("n > 2").join(materialise(apart.select("key")), "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = open_.withColumn("at", F.pmod(F.xxhash64(F.lit(5), "doc_id"), blocks).cast("int")).withColumn(
-        "pair", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("at", k).alias("block"), F.greatest("at", k).alias("other"))))
+    located = materialise(
+        spread.filter("n > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     )
-    whole = reps.join(sets.select("doc_id", "short"), "doc_id")
-    members = open_.join(whole, "doc_id").select(
-        "key", "pair.block", "pair.other", (F.col("at") != F.col("pair.block")).cast("int").alias("side"),
-        "doc_id", "n_shingles", "component", "band", "bands", "signature", "short",
-    )
-    more = materialise(cross_links(members, percent, bins).distinct())
-    links = materialise(links.union(confirm(more, sets, percent)))
+    apart = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
+    open_ = located.join(materialise(apart), "key")
+    members = block_pairs(open_, "doc_id", F.ceil(F.col("n") / BLOCK)).join(reps, "doc_id")
+    left = materialise(cross_members(members, percent, bins))
+    sets = sets_of(left.select("doc_id").distinct())
+    open_ = left.join(open_.drop("n"), ["key", "doc_id"]).join(reps, "doc_id")
+    room = open_.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("blocks"))
+    members = block_pairs(open_.join(room, "key"), "doc_id", F.col("blocks")).join(sets, "doc_id")
+    links = materialise(links.union(cross_links(members, percent, bins)))
 
     # a document of two sets (one id, several texts) ties their representatives together
     multiple = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi")

@@ -61,6 +61,47 @@ def test_minhash_equals_all_pairs(spark, width):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
 
 
+@pytest.mark.parametrize("n", [10, 60, 300, 2000])
+def test_pairs_at_the_threshold_are_candidates(n):
+    """Pairs at similarity 0.8 share a band and agree in signature as the search asks for."""
+    from pulselake.llm.minhash import least_agreement
+
+    rng, hasher, missed = np.random.default_rng(n), MinHasher(), 0
+    for _ in range(400):
+        both = round(n * 0.8 / 0.9)  # |A| = |B| = n, overlap / union = 0.8
+        pool = np.unique(rng.integers(0, 2**63, 4 * n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 4 * n, dtype=np.uint64))
+        pool = rng.permutation(pool)
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[:both], pool[n : 2 * n - both])))
+        signed = np.array([hasher.signature(a), hasher.signature(b)])
+        keys = hasher.bands(signed)
+        short = (signed & np.uint64(0xFFFF)).astype(np.uint16)
+        share = (short[0] == short[1]).mean()
+        if 10 * both >= 8 * (2 * n - both):
+            missed += not (keys[0] == keys[1]).any() or share < least_agreement(np.array([n]), 80, 128)[0]
+    assert missed == 0
+
+
+def test_minhash_in_small_blocks_equals_all_pairs(spark, monkeypatch):
+    """Buckets of many components, searched in several blocks by members and by bytes."""
+    from pulselake.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 4096)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(90)]
+    docs = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(90), k % 7):
+            words[at] = f"x{rng.randrange(4)}"
+        docs.append((k, " ".join(words[k % 5 :])))
+    sets = {i: shingles(t, 5) for i, t in docs}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = brute_components(sets, linked)
+    found = near_duplicates(spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, digest string, blocks int")).collect()
+    assert {r.doc_id: r.component_id for r in found} == root
+
+
 def test_minhash_edges(spark, edge_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
     found = near_duplicates(edge_docs, width=4).collect()
