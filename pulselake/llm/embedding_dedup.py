@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,10 @@ from pulselake.llm.graph import components
 
 #: Vectors that the cells are fitted on, at most.
 FIT_ROWS = 20_000
-#: Vectors at home in a cell that a task holds, and vectors streamed past them at once.
-BLOCK, STREAM = 2048, 2048
+#: Vectors at home in a cell that a task holds at most, fewest of a cell, and vectors streamed past at once.
+BLOCK, SMALLEST, STREAM = 32_768, 512, 1024
+#: Cells at least, as long as none gets smaller than ``SMALLEST``, and at most.
+CELLS, MOST_CELLS = 24, 4096
 
 
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -66,27 +67,30 @@ def assign_cells(units: DataFrame, centers: dict[int, np.ndarray], least: float)
     (x.c - x.d) / |c - d|, is at most sin(acos(``least``)). So no link is lost.
     """
     reach = math.sqrt(1 - least * least) + 1e-9
+    apart = {size: np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) for size, c in centers.items()}
+    shared = units.sparkSession.sparkContext.broadcast((centers, apart))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers, apart = shared.value
         for batch in batches:
-            blobs = batch.column(2).to_pylist()
-            rows, cells, homes = [], [], []
-            for size in {len(b) for b in blobs}:
-                at = np.array([i for i, b in enumerate(blobs) if len(b) == size])
-                c = centers[size // 8] if size // 8 in centers else np.eye(1, size // 8)
-                apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-                dots = _matrix([blobs[i] for i in at]) @ c.T
-                home = dots.argmax(axis=1)
-                near = dots[np.arange(len(at)), home][:, None] - dots <= reach * apart[home] + 1e-9
-                near[np.arange(len(at)), home] = True
-                i, k = np.nonzero(near)
-                rows.append(at[i])
-                cells.append(k + size * 1_000_000)
-                homes.append(home[i] == k)
-            if rows:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                blobs = part.column(2).to_pylist()
+                rows, cells, homes = [], [], []
+                for size in {len(b) for b in blobs}:
+                    at = np.array([i for i, b in enumerate(blobs) if len(b) == size])
+                    c, gaps = (centers[size // 8], apart[size // 8]) if size // 8 in centers else (np.eye(1, size // 8), np.zeros((1, 1)))
+                    dots = _matrix([blobs[i] for i in at]) @ c.T
+                    home = dots.argmax(axis=1)
+                    near = dots[np.arange(len(at)), home][:, None] - dots <= reach * gaps[home] + 1e-9
+                    near[np.arange(len(at)), home] = True
+                    i, k = np.nonzero(near)
+                    rows.append(at[i])
+                    cells.append(k + size * 1_000_000)
+                    homes.append(home[i] == k)
                 take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(np.concatenate(cells)), pa.array(np.concatenate(homes))],
+                    [part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(np.concatenate(cells)), pa.array(np.concatenate(homes))],
                     names=["rep", "weight", "unit", "cell", "home"],
                 )
 
@@ -121,58 +125,62 @@ def compare_cells(members: DataFrame, least: float) -> DataFrame:
     the partner is at home. The output grows with the rows and not with the links.
     """
 
+    def compare(home: list, rep: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        mine, weights, block = home
+        rows, columns, linked = _linked(block, part, least)
+        rep, mine = rep[rows], mine[columns]
+        linked &= rep[:, None] != mine[None, :]
+        links = linked @ weights[columns]
+        some, near = linked.any(axis=1), linked.any(axis=0)
+        rep, links, mine, linked = rep[some], links[some], mine[near], linked[some][:, near]
+        root, other, far = rep, mine, np.iinfo(np.int64).max
+        while len(rep):
+            low = np.minimum(root, np.where(linked, other[None, :], far).min(axis=1))
+            lower = np.minimum(other, np.where(linked, low[:, None], far).min(axis=0))
+            if (low == root).all() and (lower == other).all():
+                break
+            root, other = low, lower
+        out = (np.concatenate((rep, mine)), np.concatenate((links, np.zeros(len(mine), np.int64))), np.concatenate((root, other)))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["rep", "links", "root"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)))
-
-        for _, group in groupby(rows(), key=lambda r: r[:2]):
-            home: list[tuple] = []
-            part: list[tuple] = []
-
-            def compare() -> pa.RecordBatch:
-                rows, columns, linked = _linked(block, _matrix([r[5] for r in part]), least)
-                rep, mine = np.array([part[i][3] for i in rows], np.int64), np.array([home[j][3] for j in columns], np.int64)
-                linked &= rep[:, None] != mine[None, :]
-                links = linked @ np.array([home[j][4] for j in columns], np.int64)
-                some, near = linked.any(axis=1), linked.any(axis=0)
-                rep, links, mine, linked = rep[some], links[some], mine[near], linked[some][:, near]
-                root, other, far = rep, mine, np.iinfo(np.int64).max
-                while len(rep):
-                    low = np.minimum(root, np.where(linked, other[None, :], far).min(axis=1))
-                    lower = np.minimum(other, np.where(linked, low[:, None], far).min(axis=0))
-                    if (low == root).all() and (lower == other).all():
-                        break
-                    root, other = low, lower
-                out = (np.concatenate((rep, mine)), np.concatenate((links, np.zeros(len(mine), np.int64))), np.concatenate((root, other)))
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["rep", "links", "root"])
-
-            for row in group:
-                if row[2] == 0:
-                    home.append(row)
+        now, parts, home = None, [], None
+        for batch in batches:
+            cell, block, side, rep, weight = (batch.column(k).to_numpy() for k in range(5))
+            edges = np.flatnonzero(np.diff(cell) | np.diff(block) | np.diff(side)) + 1
+            for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
+                if hi == lo:
                     continue
-                if not part:
-                    whole = _matrix([r[5] for r in home])
-                    block = (whole, whole.astype(np.float32))
-                part.append(row)
-                if len(part) == STREAM:
-                    yield compare()
-                    part = []
-            if part:
-                yield compare()
+                if now != (cell[lo], block[lo]):
+                    now, parts, home = (cell[lo], block[lo]), [], None
+                if side[lo] == 0:
+                    parts.append((rep[lo:hi].copy(), weight[lo:hi].copy(), _matrix(batch.column(5).slice(lo, hi - lo).to_pylist())))
+                    continue
+                if home is None:
+                    whole = np.concatenate([p[2] for p in parts])
+                    home = [np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), (whole, whole.astype(np.float32))]
+                    parts = []
+                for at in range(lo, hi, STREAM):
+                    end = min(hi, at + STREAM)
+                    yield compare(home, rep[at:end], _matrix(batch.column(5).slice(at, end - at).to_pylist()))
 
     ordered = members.repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
     return ordered.mapInArrow(run, "rep long, links long, root long")
 
 
-def embedding_duplicates(vectors: DataFrame, least: float = 0.95, rows_per_cell: int = 8192) -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, least: float = 0.95, rows_per_cell: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
     Equal directions first fall together by their unit vector's bytes. Cells come from
     spherical k-means on a bounded hash sample (``FIT_ROWS``); a vector is compared within
-    its cell and in those where a partner may be at home (``assign_cells``). A task holds
-    ``BLOCK`` vectors of a cell and the cell's vectors stream past, so neither a hot cell nor a
-    large group of copies is held whole. All links with cosine >= ``least`` in double precision are found and none below.
+    its cell and in those where a partner may be at home (``assign_cells``). Cells are as large
+    as a task can hold (``BLOCK``), or smaller where that would make fewer than ``CELLS`` of
+    them; a task holds the vectors at home in a cell, and those placed in it stream past once.
+    A larger cell is dealt into blocks, so neither a hot cell nor a large group of copies is
+    held whole. All links with cosine >= ``least`` in double precision are found and none below.
+
+    Where vectors are clustered, one is placed in few cells. Where they are scattered, no exact
+    bound keeps it out of most: rows that stream then grow with rows * rows / ``BLOCK``.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with
     nothing; vectors of different lengths do not link. Repeated rows of one ``vec_id`` and
@@ -189,10 +197,11 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.95, rows_per_cell:
     by_length: dict[int, list[bytes]] = {}
     for row in sample:
         by_length.setdefault(len(row.unit) // 8, []).append(bytes(row.unit))
-    cells = max(1, min(4096, n // rows_per_cell))
+    held = rows_per_cell or min(BLOCK, max(SMALLEST, n // CELLS))
+    cells = max(1, min(MOST_CELLS, n // held))
     centers = {size: fit_cells(_matrix(blobs), cells) for size, blobs in by_length.items()}
     placed = materialise(assign_cells(members, centers, least))
-    sizes = placed.filter("home").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = placed.filter("home").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / min(BLOCK, 2 * held)).cast("int").alias("blocks"))
     spread = placed.join(F.broadcast(sizes), "cell")
     at_home = spread.filter("home").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("side", F.lit(0))
     passing = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
