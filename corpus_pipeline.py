@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulselake.llm.common import materialise
 from pulselake.llm.minhash import near_duplicates
-from pulselake.llm.mixing import mix, mixed_copies
+from pulselake.llm.mixing import mixed_copies
 from pulselake.llm.packing import pack
 from pulselake.llm.quality import fit_quality, score_quality
 from pulselake.llm.toxicity import fit_toxicity, score_toxicity
@@ -30,7 +30,10 @@ def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity classifier rejects (score of 0.5 or more).
 
-    A document is judged by all rows of its ``doc_id``; rows without one are kept.
+    A document is judged by all rows of its ``doc_id``, so repeated rows go or stay together;
+    rows without an id are kept. Null and empty texts have no evidence and stay; texts of any
+    length are read whole; a score of exactly 0.5 rejects; an empty table stays empty; columns
+    other than those of ``documents`` are left out, whatever their names.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = materialise(score_toxicity(docs, fit_toxicity(docs, labels)).select("doc_id", "predicted"))
@@ -40,7 +43,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects (score under 0.3).
 
-    A document is judged by all rows of its ``doc_id``; rows without one are kept.
+    A document is judged by all rows of its ``doc_id``, so repeated rows go or stay together;
+    rows without an id are kept. Null and empty texts get the score of no words; texts of any
+    length are read whole; a score of exactly 0.3 keeps; an empty table stays empty; columns
+    other than those of ``documents`` are left out, whatever their names.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = materialise(score_quality(docs, fit_quality(docs, labels)).select("doc_id", "predicted"))
@@ -55,7 +61,10 @@ def _drop(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its five-word shingles, the smallest ``doc_id``.
 
-    Rows that repeat a kept ``doc_id`` stay one row; rows without an id are kept.
+    Rows that repeat a kept ``doc_id`` stay one row; rows without an id are kept. Null, empty
+    and blank texts have no shingles and are kept; texts with fewer words are one shingle;
+    texts of any length are shingled whole; an empty table stays empty; columns other than
+    those of ``documents`` are left out, whatever their names.
     """
     kept = near_duplicates(docs, width=5).filter("kept and doc_id is not null")
     one = _keep(docs, kept)
@@ -63,14 +72,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in its order; a cut last copy counts if half of it is taken."""
-    mixed = mix(docs.select(*COLUMNS), keep=("text", "lang", "n_chars"))
-    return mixed_copies(mixed).filter(2 * F.col("words") >= F.col("size")).select(*COLUMNS)
+    """Documents as often as the mix takes them (up to twice), in its order; a cut last copy counts if half of it is taken.
+
+    Texts that are null or without words have no size and are never taken; a null source is a
+    source of its own; repeated rows and rows without an id are documents of their own; ties
+    in the order fall by hash; an empty table stays empty; columns other than those of
+    ``documents`` are left out, whatever their names.
+    """
+    mixed = mixed_copies(docs.select(*COLUMNS), keep=("text", "lang", "n_chars"))
+    return mixed.filter(2 * F.col("words") >= F.col("size")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of 1024 tokens."""
-    return pack(docs)
+    """Pieces of the mixed documents in sequences of 1024 tokens.
+
+    ``row_id`` tells the copies of a document apart. Null and empty texts are the end id
+    alone; longer texts than a sequence are cut into pieces; repeated rows and rows without
+    an id are documents of their own; an empty table stays empty; other columns are ignored.
+    """
+    return pack(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id")), keep=("row_id",))
 
 
 STAGES = [
@@ -81,7 +101,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Scores, hashes and tokens are outside SQL; ``tests/llm`` checks the stages by brute force.
+#: Scores, hashes and tokens are outside SQL; ``tests/llm`` holds each stage against a plain version of its decisions.
 ORACLE_SQL = None
 
 
