@@ -1,7 +1,9 @@
 """Held-out accuracy of the classifiers, restoration of disguised words, and the pipeline."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ import pytest
 import corpus_pipeline
 from pulselake.llm import registry
 from pulselake.llm.learning import Network
+from pulselake.llm.mixing import mixed_copies
 from pulselake.llm.quality import classify_quality
 from pulselake.llm.toxicity import STRETCH, CharacterModel, Evidence, Trie, character_model, classify_toxicity, found_splits, lattice, plain_word, plain_words, spaced_runs, split_words
 
@@ -211,11 +214,62 @@ def test_pipeline_stages_on_small_tables(spark):
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in at.select("doc_id").collect()}
 
 
-def test_pipeline_stages_keep_odd_rows(spark, edge_docs, tmp_path, labels):
+def _rows(df):
+    return Counter(tuple(r) for r in df.select(*corpus_pipeline.COLUMNS).collect())
+
+
+def test_pipeline_stages_equal_plain_versions(spark, edge_docs, tmp_path, labels):
+    """Each stage against its decisions made row by row, over nulls, odd and very long texts, repeats and clashing columns."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    folder, stages = str(tmp_path), dict(corpus_pipeline.STAGES)
+    near = " ".join(f"near{k}" for k in range(60))
+    extra = [(20, near, "en", "a", 1), (21, near + " more", "en", "b", 2), (22, "L0ng " * 9 + near, None, "b", 3), (None, near, "en", None, 4), (23, near.upper(), "en", "a", None)]
+    columns = [c for c in edge_docs.columns if c not in corpus_pipeline.COLUMNS]
+    more = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"null as {c}" for c in columns])
+    docs = corpus_pipeline.materialise(edge_docs.union(more))
+    rows = [tuple(r) for r in docs.select(*corpus_pipeline.COLUMNS).collect()]
+
+    for name, classify in (("toxicity", classify_toxicity), ("quality", classify_quality)):
+        rejected = {r.doc_id for r in classify(docs, labels).collect() if r.predicted == (name == "toxicity")} - {None}
+        assert _rows(stages[name](spark, docs, folder)) == Counter(r for r in rows if r[0] not in rejected)
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+    sets = {}
+    for i, text, *_ in rows:
+        sets.setdefault(i, []).append(shingles(text))
+    ids = sorted(k for k in sets if k is not None)
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a in ids:
+            for b in ids:
+                if any(x and y and 5 * len(x & y) >= 4 * len(x | y) for x in sets[a] for y in sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    kept = stages["near_duplicates"](spark, docs, folder)
+    assert _rows(kept) == Counter({r: 1 for r in rows if r[0] is not None and root[r[0]] == r[0]}) + Counter(r for r in rows if r[0] is None)
+
+    mixed = corpus_pipeline.materialise(stages["mixing"](spark, docs, folder))
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    taken = Counter()
+    for r in mixed_copies(docs).collect():
+        taken[r.doc_id] += 2 * r.words >= r["size"]
+    found = _rows(mixed)
+    assert set(found) <= set(rows) and all(n <= 2 * rows.count(r) and size(r[1]) for r, n in found.items())
+    copies = Counter()
+    for r, n in found.items():
+        copies[r[0]] += n
+    assert copies == +taken
+
+    packed = stages["packing"](spark, mixed, folder).collect()
+    pieces = Counter((r.row_id, r.piece) for r in packed)
+    assert max(pieces.values()) == 1 and len({r.row_id for r in packed}) == sum(found.values())
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == copies
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_keep_empty_tables_empty(spark, edge_docs, tmp_path, labels, name):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    docs = edge_docs
-    for name, stage in corpus_pipeline.STAGES:
-        empty = stage(spark, docs.limit(0), str(tmp_path))
-        assert empty.count() == 0
-        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)))
-    assert docs.count() > 0
+    empty = dict(corpus_pipeline.STAGES)[name](spark, edge_docs.limit(0), str(tmp_path))
+    assert empty.count() == 0 and (name == "packing" or empty.columns == corpus_pipeline.COLUMNS)
