@@ -19,6 +19,7 @@ MEMORY_BYTES, LONGEST = 128 << 20, 48
 #: Pieces of one length that a task ranks, about.
 RANK_ROWS = 1 << 18
 _INNER = re.compile(r"\s (?!\S)")
+_WORD = re.compile(r" ?\S+")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
 
@@ -36,6 +37,7 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        [self._line_end] = self._tokenizer.encode("\n", add_special_tokens=False).ids
         self._memory: dict[str, bytes] = {}
         self._bytes = 0
 
@@ -43,6 +45,21 @@ class WordTokenizer:
         """Ids of texts as they are, as little-endian unsigned 32-bit numbers."""
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words; those without blanks are encoded many at a time, one a line, where a line's end is a token of its own."""
+        plain = [w for w in words if _WORD.fullmatch(w) and not any(a in w for a in self._added)]
+        found: dict[str, bytes] = {}
+        lines = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+        for line, joined in zip(lines, self._tokenizer.encode_batch_fast(["\n".join(line) + "\n" for line in lines], add_special_tokens=False)):
+            ids = np.array(joined.ids, "<u4")
+            ends = np.flatnonzero(ids == self._line_end)
+            data, last = ids.tobytes(), 0
+            for word, end in zip(line, (4 * ends).tolist()):
+                found[word] = data[last:end]
+                last = end + 4
+        others = [w for w in words if w not in found]
+        return found | dict(zip(others, self.encode(others)))
+
     def _parts(self, text: str) -> list[str]:
         if any(a in text for a in self._added):
             return [text]
@@ -56,7 +73,7 @@ class WordTokenizer:
             self._memory, self._bytes = {}, 0
         memory, parts = self._memory, [self._parts(t) for t in texts]
         new = [w for w in {w for words in parts for w in words} if w not in memory]
-        found = dict(zip(new, self.encode(new)))
+        found = self.encode_words(new)
         for word, ids in found.items():
             if len(word) <= LONGEST:
                 memory[word] = ids
