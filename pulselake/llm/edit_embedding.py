@@ -203,7 +203,7 @@ def near_groups(printed: DataFrame) -> DataFrame:
 
     1. Equal fingerprints fall together.
     2. Each fingerprint of a bucket of equal band keys is verified against the bucket's hub,
-       so pairs grow with the rows; different bands have different hubs.
+       so pairs grow with the rows.
     3. Buckets whose members are still in different components are searched in blocks.
 
     Two texts are near if their likeness reaches ``least_likeness`` of the longer one's length.
@@ -211,7 +211,7 @@ def near_groups(printed: DataFrame) -> DataFrame:
     known = printed.filter("doc_id is not null")
     reps = materialise(known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_chars").alias("n_chars"), F.first("bands").alias("bands")))
     keyed = reps.select("rep", F.explode(F.array_distinct("bands")).alias("key")).filter("key != 0")
-    first = F.min(F.struct(F.xxhash64("key", "rep"), "rep"))
+    first = F.min(F.struct(F.xxhash64(F.lit(11), "rep"), "rep"))  # near copies mostly have one hub in all their buckets
     hubs = materialise(keyed.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("first.rep").alias("hub"), "n"))
     spread = materialise(keyed.join(hubs, "key"))
     pairs = spread.filter("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
