@@ -18,18 +18,19 @@ from pulselake.llm.common import materialise, ranked
 MEMORY_BYTES, LONGEST = 128 << 20, 48
 #: Pieces of one length that a task ranks, about.
 RANK_ROWS = 1 << 18
-_INNER = re.compile(r"\s (?!\S)")
-_WORD = re.compile(r" ?\S+")
-_BEFORE_SPACE = re.compile(r"(?<=\S)(?= )|(?= \S)")
+#: A word with the space before it, or blanks up to the one that a word follows.
+_PARTS = re.compile(r" ?\S+|\s+?(?=\s\S|\Z)|\s")
+#: Signs that are blanks in Python only.
+_ODD = re.compile("[\x1c-\x1f]")
 
 
 class WordTokenizer:
     """Token ids of whole texts by a byte-level BPE tokenizer, with a memory of words.
 
-    Pre-tokens of such a vocabulary never reach over a space that has a visible sign on
-    either side, so a text may be cut in front of every such space and each part is looked
-    up or encoded alone. Texts that hold an added token's content are encoded whole. The
-    ids are those of ``encode(text, add_special_tokens=False)``.
+    Pre-tokens of such a vocabulary never reach from a visible sign to a blank, nor from a
+    blank other than a space to a visible sign, so a text may be cut there, and each part is
+    looked up or encoded alone. Texts that hold an added token's content are encoded whole.
+    The ids are those of ``encode(text, add_special_tokens=False)``.
     """
 
     def __init__(self, path: str):
@@ -46,41 +47,34 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words; those without blanks are encoded many at a time, one a line, where a line's end is a token of its own."""
-        plain = [w for w in words if _WORD.fullmatch(w) and not any(a in w for a in self._added)]
+        """Ids of words and blanks; words are encoded many at a time, one a line, where a line's end is a token of its own."""
         found: dict[str, bytes] = {}
+        plain, blank = [w for w in words if not w.isspace()], [w for w in words if w.isspace()]
         lines = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
         for line, joined in zip(lines, self._tokenizer.encode_batch_fast(["\n".join(line) + "\n" for line in lines], add_special_tokens=False)):
             ids = np.array(joined.ids, "<u4")
-            ends = np.flatnonzero(ids == self._line_end)
             data, last = ids.tobytes(), 0
-            for word, end in zip(line, (4 * ends).tolist()):
+            for word, end in zip(line, (4 * np.flatnonzero(ids == self._line_end)).tolist()):
                 found[word] = data[last:end]
                 last = end + 4
-        others = [w for w in words if w not in found]
-        return found | dict(zip(others, self.encode(others)))
-
-    def _parts(self, text: str) -> list[str]:
-        if any(a in text for a in self._added):
-            return [text]
-        if _INNER.search(text):
-            return _BEFORE_SPACE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + word for word in rest]]
+        return found | dict(zip(blank, self.encode(blank)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self._bytes > MEMORY_BYTES:
             self._memory, self._bytes = {}, 0
-        memory, parts = self._memory, [self._parts(t) for t in texts]
-        new = [w for w in {w for words in parts for w in words} if w not in memory]
-        found = self.encode_words(new)
-        for word, ids in found.items():
+        memory = self._memory
+        parts = [None if any(a in t for a in self._added) or _ODD.search(t) else _PARTS.findall(t) for t in texts]
+        new = [w for w in {w for words in parts if words for w in words} if w not in memory]
+        long = {}
+        for word, ids in self.encode_words(new).items():
             if len(word) <= LONGEST:
                 memory[word] = ids
                 self._bytes += 200 + len(word) + len(ids)
-        long = {w: ids for w, ids in found.items() if len(w) > LONGEST}
+            else:
+                long[word] = ids
         get = (lambda w: long[w] if w in long else memory[w]) if long else memory.__getitem__
-        return [b"".join(map(get, words)) for words in parts]
+        whole = iter(self.encode([t for t, words in zip(texts, parts) if words is None]))
+        return [next(whole) if words is None else b"".join(map(get, words)) for words in parts]
 
 
 @lru_cache(maxsize=1)
