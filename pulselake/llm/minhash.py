@@ -237,20 +237,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
         spread.filter("doc_id != hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     )
     stars = materialise(plausible(stars, reps, percent, bins))
-    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets_of = lambda ids: materialise(shingle_sets(docs.join(ids, "doc_id", "left_semi"), width))
-    links = materialise(confirm(stars, sets_of(wanted), percent))
+    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).union(spread.filter("n > 2").select("doc_id")).distinct()
+    sets = materialise(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width))
+    links = materialise(confirm(stars, sets, percent))
 
     labels = components(links)
-    # two members have been compared as a star already
     located = materialise(
-        spread.filter("n > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+        spread.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     )
     apart = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    open_ = located.join(materialise(apart), "key")
+    # two members have been compared as a star already
+    open_ = located.filter("n > 2").join(materialise(apart), "key")
     members = block_pairs(open_, "doc_id", F.ceil(F.col("n") / BLOCK)).join(reps, "doc_id")
     left = materialise(cross_members(members, percent, bins))
-    sets = sets_of(left.select("doc_id").distinct())
     open_ = left.join(open_.drop("n"), ["key", "doc_id"]).join(reps, "doc_id")
     room = open_.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("blocks"))
     members = block_pairs(open_.join(room, "key"), "doc_id", F.col("blocks")).join(sets, "doc_id")
