@@ -36,6 +36,32 @@ def rule_factors(rows: DataFrame, rules: list[tuple[str, str, float, str]], seri
     return scored.withColumn("factors", F.array_compact(F.array(*hits))).drop(*[f"_z{k}" for k in range(len(rules))])
 
 
+def factor_texts(rows: DataFrame, series: list[str]) -> DataFrame:
+    """Adds ``factors``: the texts, with value and z-score, of the five physiological rules that hold.
+
+    Columns hrv_rmssd, resting_heart_rate, daily_avg_stress, sleep_score and total_steps; z-scores are
+    within the series; a null value has no factor.
+    """
+    names = ["hrv_rmssd", "resting_heart_rate", "daily_avg_stress", "sleep_score", "total_steps"]
+    scored = rows.withColumns({f"_{n}": F.col(n).cast("double") for n in names})
+    for n in names:
+        scored = scored.withColumn(f"_z_{n}", z_score(f"_{n}", series))
+    z = {n: F.col(f"_z_{n}") for n in names}
+    z_text = lambda n: z[n].cast("decimal(9,1)").cast("string")
+    shown = lambda n, digits: F.col(n).cast(f"decimal(18,{digits})").cast("string")
+    hits = [
+        F.when(z["hrv_rmssd"] < -1.5, F.concat(F.lit("HRV significantly suppressed ("), shown("hrv_rmssd", 1), F.lit(" ms, Z="), z_text("hrv_rmssd"), F.lit(")"))),
+        F.when(z["resting_heart_rate"] > 1.5, F.concat(F.lit("Elevated Resting HR ("), shown("resting_heart_rate", 0), F.lit(" bpm, Z=+"), z_text("resting_heart_rate"), F.lit(")"))),
+        F.when(z["daily_avg_stress"] > 1.5, F.concat(F.lit("High autonomic stress score ("), shown("daily_avg_stress", 0), F.lit(", Z=+"), z_text("daily_avg_stress"), F.lit(")"))),
+        F.when(z["sleep_score"] < -1.5, F.concat(F.lit("Poor sleep restoration score ("), shown("sleep_score", 0), F.lit(", Z="), z_text("sleep_score"), F.lit(")"))),
+        F.when(
+            F.abs(z["total_steps"]) > 2,
+            F.concat(F.lit("Extreme activity "), F.when(z["total_steps"] > 0, "Spike").otherwise("Drop"), F.lit(" ("), shown("total_steps", 0), F.lit(" steps, Z="), F.when(z["total_steps"] > 0, "+").otherwise(""), z_text("total_steps"), F.lit(")")),
+        ),
+    ]
+    return scored.withColumn("factors", F.array_compact(F.array(*hits))).drop(*[p + n for n in names for p in ("_", "_z_")])
+
+
 def severity(factors: Column, detectors: Column) -> Column:
     """Both detectors or two factors: acute; one of either: mild; else normal."""
     return F.when((detectors >= 2) | (factors >= 2), "ACUTE_ALERT").when((detectors >= 1) | (factors >= 1), "MILD_ANOMALY").otherwise("NORMAL")
@@ -102,7 +128,7 @@ def isolation_forest(rows: DataFrame, features: list[str], contamination: float
         return pd.Series(forest_scores(forest.value, x))
 
     scored = complete.withColumn("iforest_score", score(*[F.col(c).cast("double") for c in features]))
-    cut = scored.agg(F.percentile("iforest_score", F.lit(1 - contamination)).alias("cut"))
+    cut = exact_quantiles(scored, "iforest_score", [], [1 - contamination]).select(F.get("q", F.lit(0)).alias("cut"))
     return scored.join(F.broadcast(cut)).withColumn("iforest_flag", F.col("iforest_score") > F.col("cut")).drop("cut")
 
 

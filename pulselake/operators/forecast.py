@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulselake.operators.quantiles import exact_quantiles
+
 
 def holdout_metrics(rows: DataFrame, value: str, series: list[str], order: str, last: int, season: int) -> DataFrame:
     """MAE, RMSE and MAPE of the value ``season`` rows ago over the last ``last`` rows of each series."""
@@ -39,8 +41,7 @@ def bounds(value: str, by: list[str], rows: DataFrame) -> DataFrame:
 
 def heart_rate_bounds(value: str, by: list[str], rows: DataFrame) -> DataFrame:
     """Floor and cap of a resting heart rate: near the observed range, within 38 and 115, at least 5 apart."""
-    q = F.percentile(value, F.array(F.lit(0.01), F.lit(0.99)))
-    s = rows.groupBy(*by).agg(F.min(value).alias("mn"), F.max(value).alias("mx"), q.alias("q"))
+    s = rows.groupBy(*by).agg(F.min(value).alias("mn"), F.max(value).alias("mx")).join(exact_quantiles(rows, value, by, [0.01, 0.99]), by)
     floor = F.least(F.greatest(F.lit(38.0), F.col("q")[0] - 3), F.col("mn") - 0.5)
     cap = F.greatest(F.least(F.lit(115.0), F.greatest(F.col("mx") + 6, F.col("q")[1] + 4)), F.col("mx") + 0.5)
     wide = s.select(*by, floor.alias("floor"), cap.alias("cap"))
@@ -193,8 +194,8 @@ BOUND_RULES = {
 
 def metric_bounds(rows: DataFrame, metric: str, value: str) -> DataFrame:
     """(metric, floor, cap) by each metric's rule; metrics without one get the generic rule."""
-    q = F.percentile(value, F.array(F.lit(0.01), F.lit(0.99)))
-    s = rows.groupBy(metric).agg(F.min(value).alias("mn"), F.max(value).alias("mx"), q.alias("q"), F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd"))
+    s = rows.groupBy(metric).agg(F.min(value).alias("mn"), F.max(value).alias("mx"), F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd"))
+    s = s.join(exact_quantiles(rows, value, [metric], [0.01, 0.99]), metric)
     s = s.withColumn("q1", F.col("q")[0]).withColumn("q9", F.col("q")[1])
     generic_floor = "CASE WHEN mn >= 0 THEN least(greatest(0, mn * 0.8), greatest(0, mn - 0.5)) ELSE mn * 1.2 END"
     case = lambda k, other: "CASE " + " ".join(f"WHEN {metric} = '{m}' THEN CAST({r[k]} AS DOUBLE)" for m, r in BOUND_RULES.items() if r[k] is not None) + f" ELSE {other} END"

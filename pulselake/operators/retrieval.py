@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,20 @@ def rerank(candidates: DataFrame, k: int, constant: int = 60) -> DataFrame:
     return done.withColumn("rank", rank(F.desc("rerank_score"), "id")).filter(F.col("rank") <= k)
 
 
+def domain_gate(text: Column, similarity: Column, terms: list[str] | None = None, least: float = 0.52) -> list[Column]:
+    """(in_domain, score, method) of normalised texts: a term of the lexicon lifts the score to 0.7 at
+    least, else the similarity to the domain's centroid decides. Brand names are the caller's to add."""
+    lexical = F.coalesce(reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms or fixed.DOMAIN_TERMS]), F.lit(False))
+    score = F.when(lexical, F.greatest(similarity, F.lit(0.7))).otherwise(similarity)
+    method = F.when(lexical, "lexicon_match").when(similarity >= least, "semantic_similarity").otherwise("out_of_domain")
+    return [(lexical | (similarity >= least)).alias("in_domain"), F.round(score, 4).alias("score"), method.alias("method")]
+
+
+def candidate_pool(k: int, n: Column) -> Column:
+    """Candidates that a search for ``k`` takes from a collection of ``n``."""
+    return F.least(F.lit(max(3 * k, 10)).cast("bigint"), n)
+
+
 def ask_status(language: Column, attack: Column, similarity: Column, candidates: Column, least: float = 0.52) -> Column:
     """Outcome of a query in the order of the checks: language, attack, domain, evidence."""
     return (

@@ -56,3 +56,8 @@ def state_diff(current: DataFrame, stored: DataFrame, key: str, digest: str) ->
         .otherwise("unchanged")
     )
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
+
+
+def payload_field(payload: str, envelope: str, field: str) -> Column:
+    """A field of a JSON payload that comes in an envelope, bare, or as a list whose first element counts."""
+    return F.coalesce(*[F.get_json_object(payload, path) for path in (f"$.{envelope}.{field}", f"$.{field}", f"$[0].{field}")])

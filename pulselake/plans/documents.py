@@ -159,6 +159,7 @@ def j12_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_CANDIDATES}, n_cand AS (SELECT query_id, count(*) AS candidates, max(1 - distance) AS best FROM cand WHERE distance < 0.999999 GROUP BY 1),
 q AS (SELECT item_id, text, list_distinct(regexp_extract_all({_PLAIN}, '[a-z]+')) AS words FROM benchmark)
 SELECT item_id, CASE WHEN NOT regexp_matches(text, '[¿¡ñÑ]') AND len(list_intersect(words, {_list(fixed.FOREIGN_WORDS)})) > 0 THEN 'unsupported_language'
+  WHEN """ + " OR ".join(f"regexp_matches(text, {_quote(p)}) OR regexp_matches(translate({_PLAIN}, '{fixed.LEET_SIGNS}', '{fixed.LEET_LETTERS}'), {_quote(p)})" for p in fixed.ATTACK_PATTERNS.values()) + """ THEN 'rejected'
   WHEN coalesce(best, 0) < 0.52 AND candidates IS NOT NULL THEN 'out_of_domain' WHEN candidates IS NULL THEN 'no_matching_evidence' ELSE 'success' END AS status
 FROM q LEFT JOIN n_cand ON query_id = item_id * 100
 """)
@@ -166,10 +167,11 @@ def m7_ask_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome of every benchmark question in the order of the checks."""
     near = _candidates(spark, sf_dir).filter("distance < 0.999999").groupBy((F.col("query_id") / 100).cast("bigint").alias("item_id"))
     near = near.agg(F.count(F.lit(1)).alias("candidates"), F.max(1 - F.col("distance")).alias("best"))
-    questions = table(spark, sf_dir, "benchmark").select("item_id", T.query_language(F.col("text")).alias("language")).join(near, "item_id", "left")
+    text = F.col("text")
+    questions = table(spark, sf_dir, "benchmark").select("item_id", T.query_language(text).alias("language"), T.attack_category(text, T.normalise_prefix(text)).alias("attack")).join(near, "item_id", "left")
     known = F.coalesce("candidates", F.lit(0))
     similarity = F.when(known == 0, F.lit(1.0)).otherwise(F.col("best"))
-    return questions.select("item_id", retrieval.ask_status(F.coalesce("language", F.lit("es")), F.lit(None).cast("string"), similarity, known).alias("status"))
+    return questions.select("item_id", retrieval.ask_status(F.coalesce("language", F.lit("es")), F.col("attack"), similarity, known).alias("status"))
 
 
 @query("""
