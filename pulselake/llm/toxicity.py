@@ -55,7 +55,7 @@ def _fold(c: str) -> int:
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
-    return np.array([_fold(chr(k)) if chr(k).isalpha() else 0 for k in range(0x20000)], np.int64)
+    return np.array([_fold(chr(k)) if chr(k).isalpha() else 0 for k in range(0x20000)], np.int32)
 
 
 def letter_classes(text: str) -> np.ndarray:
@@ -69,8 +69,8 @@ def character_model(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SIZE**3, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                text = " ".join(t or "" for t in batch.column(0).slice(at, 400).to_pylist())
+            for at in range(0, batch.num_rows, 100):
+                text = " ".join(t or "" for t in batch.column(0).slice(at, 100).to_pylist())
                 c = letter_classes("  " + text + " ")
                 keep = np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))  # one edge between words
                 c = c[keep]
@@ -445,11 +445,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mo
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(5)
         for batch in batches:
-            sets = shingler(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([int(s[0] >> np.uint64(1)) if len(s) else 0 for s in sets], pa.int64())],
-                names=["doc_id", "text", "label", "sketch"],
-            )
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                least = [int(s[0] >> np.uint64(1)) if len(s) else 0 for s in shingler(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(least, pa.int64())], names=["doc_id", "text", "label", "sketch"])
 
     drawn = labelled_sample(docs, labels, "toxic", rows).mapInArrow(sketch, "doc_id long, text string, label int, sketch long")
     sample = materialise(drawn.withColumn("check", F.pmod(F.xxhash64(F.lit(31), "sketch"), F.lit(5)) == 0))
