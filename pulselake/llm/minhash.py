@@ -15,6 +15,8 @@ from pulselake.llm.shingles import MinHasher, Shingler, set_digest
 
 #: Members of an unresolved bucket, and bytes of their sets, that are compared with each other at once.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Members that are compared at once by signatures alone.
+SIGNED = 4096
 
 
 def _texts(batch: pa.RecordBatch, n: int = 200) -> Iterator[tuple[list, list]]:
@@ -248,7 +250,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
     apart = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
     # two members have been compared as a star already
     open_ = located.filter("n > 2").join(materialise(apart), "key")
-    members = block_pairs(open_, "doc_id", F.ceil(F.col("n") / BLOCK)).join(reps, "doc_id")
+    members = block_pairs(open_, "doc_id", F.ceil(F.col("n") / SIGNED)).join(reps, "doc_id")
     left = materialise(cross_members(members, percent, bins))
     open_ = left.join(open_.drop("n"), ["key", "doc_id"]).join(reps, "doc_id")
     room = open_.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("blocks"))

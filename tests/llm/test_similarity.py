@@ -86,6 +86,7 @@ def test_minhash_in_small_blocks_equals_all_pairs(spark, monkeypatch):
     from pulselake.llm import minhash
 
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SIGNED", 6)
     monkeypatch.setattr(minhash, "BLOCK_BYTES", 4096)
     rng = random.Random(12)
     base = [f"w{i}" for i in range(90)]
