@@ -38,3 +38,33 @@ def block_pairs(members: DataFrame, node: str, blocks: Column) -> DataFrame:
         "_pair", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("_at", k).alias("block"), F.greatest("_at", k).alias("other"))))
     )
     return placed.withColumns({"block": F.col("_pair.block"), "other": F.col("_pair.other"), "side": (F.col("_at") != F.col("_pair.block")).cast("int")}).drop("_at", "_pair")
+
+
+def cross_blocks(members: DataFrame, node: str, weight: Column, size: int) -> DataFrame:
+    """Deals the members of each bucket (``key``) so that any two of different ``component`` meet: adds (block, other, side).
+
+    Rows of one (key, block, other) are compared with each other, side 0 with side 1, or all
+    if ``block`` equals ``other``. A bucket of up to ``size`` in sum of ``weight`` (a whole
+    number) is one block. In a larger one the heaviest component, whose members need not meet
+    each other, is dealt into blocks of its own (negative ``block``), which only the blocks of
+    the rest meet; so rows grow with its size times the blocks of the rest.
+    """
+    weighed = members.withColumn("_weight", weight.cast("long"))
+    parts = weighed.groupBy("key", "component").agg(F.sum("_weight").alias("w"))
+    top = F.max(F.struct("w", "component"))
+    sums = parts.groupBy("key").agg(top.alias("top"), F.sum("w").alias("w"))
+    count = lambda w: F.greatest(F.ceil(w / F.lit(size)), F.lit(1)).cast("int")
+    counts = sums.select("key", F.col("top.component").alias("_top"), count(F.col("top.w")).alias("_main"), count(F.col("w") - F.col("top.w")).alias("_rest"), (F.col("w") <= size).alias("_one"))
+
+    spot = F.xxhash64(F.lit(5), node)
+    pair = lambda block, other, side: F.struct(block.alias("block"), other.alias("other"), side.cast("int").alias("side"))
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    u, v, zero = F.pmod(spot, "_main").cast("int"), F.pmod(spot, "_rest").cast("int"), F.lit(0)
+    main = F.transform(numbers("_rest"), lambda k: pair(-1 - u, k, zero))
+    rest = F.concat(
+        F.transform(numbers("_main"), lambda k: pair(-1 - k, v, F.lit(1))),
+        F.transform(numbers("_rest"), lambda k: pair(F.least(v, k), F.greatest(v, k), v > k)),
+    )
+    pairs = F.when(F.col("_one"), F.array(pair(zero, zero, zero))).when(F.col("component") == F.col("_top"), main).otherwise(rest)
+    placed = weighed.join(counts, "key").withColumn("_pair", F.explode(pairs))
+    return placed.select(*members.columns, "_pair.block", "_pair.other", "_pair.side")

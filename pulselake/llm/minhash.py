@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pulselake.llm.common import materialise
-from pulselake.llm.graph import block_pairs, components
+from pulselake.llm.graph import components, cross_blocks
 from pulselake.llm.shingles import MinHasher, Shingler, set_digest
 
-#: Members of an unresolved bucket, and bytes of their sets, that are compared with each other at once.
-BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Bytes of the sets of an unresolved bucket's members that are compared with each other at once, and what a member counts at least.
+BLOCK_BYTES, MEMBER_BYTES = 16 << 20, 4096
 #: Members that are compared at once by signatures alone.
 SIGNED = 4096
 
@@ -125,8 +125,8 @@ class _Block:
         self.bands = np.array([r[8] for r in rows], np.int64)
         self.signed = np.frombuffer(b"".join(r[9] for r in rows), np.uint16).reshape(len(rows), -1)
 
-    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, rows of other components that sizes and signatures do not rule out, the likeliest first).
+    def candidates(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, rows of other components that sizes and signatures do not rule out, the likeliest first, and shares of equal bins).
 
         A pair is looked at in the first band that it shares.
         """
@@ -139,9 +139,10 @@ class _Block:
             if len(js):
                 alike = (self.signed[js] == self.signed[i]).mean(axis=1)
                 order = np.argsort(-alike, kind="stable")
-                js = js[order][alike[order] >= least_agreement(np.minimum(self.n[js[order]], self.n[i]), self.percent, self.bins)]
-            if len(js):
-                yield i, js
+                js, alike = js[order], alike[order]
+                likely = alike >= least_agreement(np.minimum(self.n[js], self.n[i]), self.percent, self.bins)
+                if likely.any():
+                    yield i, js[likely], alike[likely]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], percent: int, bins: int) -> Iterator[_Block]:
@@ -160,18 +161,23 @@ def _dealt(members: DataFrame) -> DataFrame:
 
 
 def cross_members(members: DataFrame, percent: int, bins: int) -> DataFrame:
-    """(key, doc_id) of the members that have a candidate in another component, by sizes and signatures alone."""
+    """(key, doc_id, other) of the members that have a candidate in another component, by sizes and
+    signatures alone, with the likeliest one that each has in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, percent, bins):
-            some = np.zeros(len(block.rows), bool)
-            for i, js in block.candidates():
-                some[i] = some[js] = True
-            if some.any():
-                ids = np.unique(block.ids[some])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block.rows[0][0])), pa.array(ids)], names=["key", "doc_id"])
+            best, share = np.full(len(block.rows), -1), np.full(len(block.rows), -1.0)
+            for i, js, alike in block.candidates():
+                if alike[0] > share[i]:
+                    best[i], share[i] = js[0], alike[0]
+                more = alike > share[js]
+                best[js[more]], share[js[more]] = i, alike[more]
+            some = np.flatnonzero(best >= 0)
+            if len(some):
+                keys = np.full(len(some), block.rows[0][0], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(block.ids[some]), pa.array(block.ids[best[some]])], names=["key", "doc_id", "other"])
 
-    return _dealt(members.select(*_MEMBER)).mapInArrow(run, "key long, doc_id long").distinct()
+    return _dealt(members.select(*_MEMBER)).mapInArrow(run, "key long, doc_id long, other long")
 
 
 def cross_links(members: DataFrame, percent: int, bins: int) -> DataFrame:
@@ -185,7 +191,7 @@ def cross_links(members: DataFrame, percent: int, bins: int) -> DataFrame:
         for block in _blocks(batches, percent, bins):
             sets = [np.frombuffer(r[len(_MEMBER)], np.uint64) for r in block.rows]
             part, out = block.part, []
-            for i, js in block.candidates():
+            for i, js, _ in block.candidates():
                 for j in js:
                     if part[i] != part[j]:
                         both = _common(sets[i], sets[j])
@@ -210,9 +216,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
        In each bucket every member gets one edge, to the bucket's hub, so edges grow with
        the rows and not with the square of a bucket; edges are confirmed on the full sets.
     3. Buckets whose members are still in different components are searched in blocks for
-       links between components, first by signatures (``cross_members``), then, for the members
-       that have a candidate, on the full sets (``cross_links``). Blocks are bounded by members
-       and by bytes of their sets.
+       links between components, first by signatures (``cross_members``), whose likeliest pair
+       for each member is confirmed at once, then, where that leaves candidates in different
+       components, on the full sets (``cross_links``). Blocks are bounded by members and by
+       bytes of their sets; a bucket's largest component is not repeated for itself.
 
     A link is missed only if it shares no band (5e-8 at similarity 0.8 with 128 bins in bands
     of 4) or if its signatures agree five deviations less than expected (about 3e-7).
@@ -243,18 +250,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
     sets = materialise(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width))
     links = materialise(confirm(stars, sets, percent))
 
-    labels = components(links)
-    located = materialise(
-        spread.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    )
-    apart = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    # two members have been compared as a star already
-    open_ = located.filter("n > 2").join(materialise(apart), "key")
-    members = block_pairs(open_, "doc_id", F.ceil(F.col("n") / SIGNED)).join(reps, "doc_id")
-    left = materialise(cross_members(members, percent, bins))
-    open_ = left.join(open_.drop("n"), ["key", "doc_id"]).join(reps, "doc_id")
-    room = open_.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("blocks"))
-    members = block_pairs(open_.join(room, "key"), "doc_id", F.col("blocks")).join(sets, "doc_id")
+    def still_open(located: DataFrame) -> DataFrame:
+        """Members (key, band, doc_id) of buckets that more than one component has part in, with their component."""
+        labels = components(links).withColumnRenamed("node", "doc_id")
+        placed = materialise(located.join(labels, "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+        apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
+        return materialise(placed.join(apart, "key"))
+
+    open_ = still_open(spread.filter("n > 2"))  # two members have been compared as a star already
+    members = cross_blocks(open_, "doc_id", F.lit(1), SIGNED).join(reps, "doc_id")
+    found = materialise(cross_members(members, percent, bins))
+    likeliest = found.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    links = materialise(links.union(confirm(likeliest, sets, percent)))
+    open_ = still_open(found.select("key", "doc_id").distinct().join(open_.drop("component"), ["key", "doc_id"]))
+    held = open_.join(reps, "doc_id")
+    members = cross_blocks(held, "doc_id", F.greatest(F.col("n_shingles") * 8, F.lit(MEMBER_BYTES)), BLOCK_BYTES).join(sets, "doc_id")
     links = materialise(links.union(cross_links(members, percent, bins)))
 
     # a document of two sets (one id, several texts) ties their representatives together
