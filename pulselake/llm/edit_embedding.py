@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pulselake.llm.common import materialise
-from pulselake.llm.graph import block_pairs, components
+from pulselake.llm.graph import components, cross_blocks
 from pulselake.llm.shingles import scramble
 
 #: Independent walks, nibbles sampled from each, and bands of each.
@@ -33,7 +33,7 @@ _FEW = 24
 #: Texts that walk together, by characters.
 _TOGETHER = 8 << 20
 #: Members of an unresolved bucket that are compared with each other at once.
-BLOCK = 512
+BLOCK = 4096
 
 
 def embedding_length(n: np.ndarray | int):
@@ -228,7 +228,7 @@ def near_groups(printed: DataFrame) -> DataFrame:
 
     located = materialise(spread.filter("n > 2").join(labels, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")))
     apart = located.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    members = block_pairs(located.join(apart, "key"), "rep", F.ceil(F.col("n") / BLOCK)).join(reps.select("rep", "n_chars", "fingerprint"), "rep")
+    members = cross_blocks(materialise(located.join(apart, "key").drop("n")), "rep", F.lit(1), BLOCK).join(reps.select("rep", "n_chars", "fingerprint"), "rep")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:

@@ -27,19 +27,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def block_pairs(members: DataFrame, node: str, blocks: Column) -> DataFrame:
-    """Deals the members of each group into ``blocks`` (constant in a group) and repeats a member once
-    for every other block: adds (block, other, side). Rows of one (group, block, other) are compared
-    with each other, side 0 with side 1, or all if ``block`` equals ``other``; so every pair of
-    members meets once, and no task holds a group.
-    """
-    blocks = blocks.cast("int")
-    placed = members.withColumn("_at", F.pmod(F.xxhash64(F.lit(5), node), blocks).cast("int")).withColumn(
-        "_pair", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("_at", k).alias("block"), F.greatest("_at", k).alias("other"))))
-    )
-    return placed.withColumns({"block": F.col("_pair.block"), "other": F.col("_pair.other"), "side": (F.col("_at") != F.col("_pair.block")).cast("int")}).drop("_at", "_pair")
-
-
 def cross_blocks(members: DataFrame, node: str, weight: Column, size: int) -> DataFrame:
     """Deals the members of each bucket (``key``) so that any two of different ``component`` meet: adds (block, other, side).
 

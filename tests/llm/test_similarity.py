@@ -85,9 +85,8 @@ def test_minhash_in_small_blocks_equals_all_pairs(spark, monkeypatch):
     """Buckets of many components, searched in several blocks by members and by bytes."""
     from pulselake.llm import minhash
 
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 4 * minhash.MEMBER_BYTES)
     monkeypatch.setattr(minhash, "SIGNED", 6)
-    monkeypatch.setattr(minhash, "BLOCK_BYTES", 4096)
     rng = random.Random(12)
     base = [f"w{i}" for i in range(90)]
     docs = []
@@ -213,7 +212,11 @@ def test_recall_of_fingerprints_on_random_edits(n, share, pairs):
     assert (far < least_likeness(n)).all() and ((bands == np.roll(bands, -1, axis=0)) & (bands != 0)).any(axis=1).mean() < 0.1
 
 
-def test_near_documents_equal_all_pairs_of_their_buckets(spark):
+def test_near_documents_equal_all_pairs_of_their_buckets(spark, monkeypatch):
+    """Buckets of many components, searched in several blocks."""
+    from pulselake.llm import edit_embedding
+
+    monkeypatch.setattr(edit_embedding, "BLOCK", 5)
     rng = random.Random(2)
     base = ["".join(rng.choice("abcdefghij klmn") for _ in range(rng.choice([200, 900, 2500]))) for _ in range(8)]
     rows = [(k, b) for k, b in enumerate(base)] + [(100 + k, b[:150] + "Z" + b[151:]) for k, b in enumerate(base)] + [(200, base[0])]
