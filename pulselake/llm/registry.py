@@ -76,8 +76,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.collocations import collocations
+
+    return collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_edit_embedding, op2_embedding_dedup, op3_warc, op4_sharding, op5_best_fit_packing, op6_minhash, op7_mixing, op8_html_extraction, op9_quality, op10_toxicity]
+    found = [op1_edit_embedding, op2_embedding_dedup, op3_warc, op4_sharding, op5_best_fit_packing, op6_minhash, op7_mixing, op8_html_extraction, op9_quality, op10_toxicity, op11_collocations]
     return {f.__name__: f for f in found}
 
 
@@ -113,6 +119,24 @@ c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
+OP11 = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+o AS (SELECT lang, m, unnest(list_transform(range(1, len(words) - m + 2), lambda i: array_to_string(words[i:i + m - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3), (4)) t(m) WHERE len(words) >= m),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM o WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE m > 1),
+x AS (SELECT lang, u.phrase, a, k, l.f AS l, r.f AS r, (2000000 * CAST(a AS HUGEINT)) // (CAST(l.f AS HUGEINT) + r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) u JOIN f l USING (lang) JOIN f r USING (lang)
+  WHERE l.phrase = array_to_string(words[1:k], ' ') AND r.phrase = array_to_string(words[k + 1:], ' ')),
+s AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+d AS (SELECT DISTINCT s.lang, s.phrase FROM s JOIN c USING (lang)
+  WHERE c.m > len(string_split(s.phrase, ' ')) AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * CAST(c.a AS HUGEINT) >= 80 * CAST(s.a AS HUGEINT)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s ANTI JOIN d USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM k JOIN n USING (lang) WHERE rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2, "op3_warc": OP3, "op6_minhash": OP6}
+    return {"op2_embedding_dedup": OP2, "op3_warc": OP3, "op6_minhash": OP6, "op11_collocations": OP11}
