@@ -82,8 +82,21 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_documents(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.conversation_repair import damaged, repaired
+
+    return repaired(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulselake.llm.common import new_path
+    from pulselake.llm.token_counts import counted_tokens
+
+    return counted_tokens(_documents(spark, sf_dir), cache=new_path(spark, "token-counts"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_edit_embedding, op2_embedding_dedup, op3_warc, op4_sharding, op5_best_fit_packing, op6_minhash, op7_mixing, op8_html_extraction, op9_quality, op10_toxicity, op11_collocations]
+    found = [op1_edit_embedding, op2_embedding_dedup, op3_warc, op4_sharding, op5_best_fit_packing, op6_minhash, op7_mixing, op8_html_extraction, op9_quality, op10_toxicity, op11_collocations, op12_conversation_repair, op13_token_counts]
     return {f.__name__: f for f in found}
 
 
@@ -137,6 +150,40 @@ d AS (SELECT DISTINCT s.lang, s.phrase FROM s JOIN c USING (lang)
 k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s ANTI JOIN d USING (lang, phrase))
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM k JOIN n USING (lang) WHERE rank <= 2000"""
 
+def _op12() -> str:
+    """The cheapest edits by dynamic programming: per state the least (cost, audit), written as one string with the cost in nine digits."""
+    plus = lambda x, cost, letter: f"printf('%09d', CAST({x}[1:9] AS INT) + {cost}) || {x}[10:] || '{letter}'"
+    least = lambda *xs: f"least({', '.join(xs)})"
+    rest = "(CASE WHEN cut THEN 3 ELSE 0 END)"
+    keep = lambda x, role: f"CASE WHEN NOT faulty AND initial = '{role}' THEN {plus(x, rest, 'K')} END"
+    rerole = lambda x: f"CASE WHEN NOT faulty THEN {plus(x, '3 + ' + rest, 'R')} END"
+    moved = [plus("s0", 4, "D"), least(plus("s1", 4, "D"), keep("s0", "s")), least(plus("s2", 4, "D"), *[f(s) for s in ("s0", "s1", "s3") for f in (lambda x: keep(x, "u"), rerole)]), least(plus("s3", 4, "D"), keep("s2", "a"), rerole("s2"))]
+    closed = ["q0", "q1", least("q2", *[plus(q, 3, "I") for q in ("q0", "q1", "q3")]), least("q3", plus("q2", 3, "I"), plus("q0", 6, "II"), plus("q1", 6, "II"))]
+    crc = "list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda s: ascii(s)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"
+    return f"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({crc}, 4294967295) % 20 AS fault FROM conversations),
+r AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM d, (VALUES (1), (2)) c(copy) WHERE fault <> 0 AND (copy = 1 OR fault = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM r),
+g AS (SELECT conv_id, turn, role, text, i, role[1:1] AS initial, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS open FROM o),
+f AS MATERIALIZED (SELECT *, blank OR seen AS faulty, open AND NOT blank AND NOT seen AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM g),
+t AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '000000000' AS s0, NULL::VARCHAR AS s1, '000000003I' AS s2, '000000006II' AS s3 FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {", ".join(closed)} FROM (SELECT t.conv_id, f.i, {", ".join(f"{m} AS q{k}" for k, m in enumerate(moved))} FROM t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.i = t.i + 1)),
+b AS (SELECT conv_id, least(s0, s3) AS best FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+e AS (SELECT conv_id, unnest(string_split(best[10:], '')) AS letter, unnest(range(1, length(best) - 8)) AS p FROM b WHERE length(best) > 9),
+x AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM e),
+y AS (SELECT x.conv_id, p, letter, f.role, f.text, f.initial, (letter = 'K' AND f.initial = 's') AS system FROM x LEFT JOIN f ON letter <> 'I' AND f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.i WHERE letter <> 'D'),
+z AS (SELECT *, count(*) FILTER (NOT system) OVER (PARTITION BY conv_id ORDER BY p) % 2 AS odd FROM y),
+h AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN odd = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS whole FROM z GROUP BY 1),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (cut) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(best[1:9] AS BIGINT) AS cost, best[10:] AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2, "op3_warc": OP3, "op6_minhash": OP6, "op11_collocations": OP11}
+    return {"op2_embedding_dedup": OP2, "op3_warc": OP3, "op6_minhash": OP6, "op11_collocations": OP11, "op12_conversation_repair": _op12()}
