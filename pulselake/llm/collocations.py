@@ -117,7 +117,7 @@ def key_filter(keys: DataFrame) -> np.ndarray:
 class Tally:
     """Counts of (key, part), summed within a task as far as ``room`` entries."""
 
-    def __init__(self, room: int = 1 << 22):
+    def __init__(self, room: int = 1 << 20):
         self.room, self.held, self.open = room, [], 0
 
     def add(self, keys: np.ndarray, parts: np.ndarray, counts: np.ndarray) -> None:
@@ -252,10 +252,10 @@ def count_phrases(docs: DataFrame, widths: tuple[int, ...], frequent_words: np.n
                     phrase = words.phrases(where, width).cast(pa.large_string()).cast(pa.string())
                     lang = langs.take(pa.array(codes[words.document[where]])).cast(pa.string())
                     held.append(pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(where), width, np.int32)), pa.array(count)], schema=schema))
-            if sum(b.num_rows for b in held) > last + (1 << 20):
+            if sum(b.num_rows for b in held) > last + (1 << 19):
                 held = summed(held)
                 last = sum(b.num_rows for b in held)
-                if last > 1 << 21:
+                if last > 1 << 20:
                     yield from held
                     held, last = [], 0
         yield from summed(held)
