@@ -13,6 +13,8 @@ from pulselake.llm.common import materialise
 
 #: Bytes of text that a task works on at once (one document at least).
 SLICE_BYTES = 2 << 20
+#: Sums that a task holds, about, and bytes of text whose sums may meet in one group.
+TALLY, GROUP_BYTES = 1 << 20, 16 << 20
 #: Bits of the broadcast filters at most; 16 bits a key below that.
 FILTER_BITS = 1 << 27
 LONGEST = 4
@@ -114,34 +116,6 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-class Tally:
-    """Counts of (key, part), summed within a task as far as ``room`` entries."""
-
-    def __init__(self, room: int = 1 << 20):
-        self.room, self.held, self.open = room, [], 0
-
-    def add(self, keys: np.ndarray, parts: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys ^ mixed(parts.astype(np.uint64)))
-        keys, parts, counts = keys[order], parts[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])))) if len(keys) else np.zeros(0, np.int64)
-        self.held.append((keys[first], parts[first], np.add.reduceat(counts, first) if len(keys) else counts))
-        self.open += len(first)
-        if self.open > self.room and len(self.held) > 1:
-            held, self.held, self.open = self.held, [], 0
-            self.add(*map(np.concatenate, zip(*held)))
-
-    def full(self) -> bool:
-        return self.open > self.room
-
-    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        held, self.held, self.open = self.held, [], 0
-        if not held:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.add(*map(np.concatenate, zip(*held)))
-        [found], self.held, self.open = self.held, [], 0
-        return found
-
-
 def _languages(rows: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(names, code of each row, hash of each row's name) of the column ``lang``."""
     coded = rows.column("lang").dictionary_encode()
@@ -168,38 +142,47 @@ def count_words(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word").agg(F.first("key").alias("key"), F.sum("n").alias("n"))
 
 
-def mine_shards(docs: DataFrame, supports: DataFrame, widths: tuple[int, ...], frequent_words: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
-    """(key): phrases of ``widths`` words that reach the support of a shard in it.
+def _summed(keys: np.ndarray, shards: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(keys, shards, n, supports): n summed per key and shard."""
+    n, supports = columns
+    order = np.argsort(keys ^ mixed(shards.astype(np.uint64)))
+    keys, shards, n, supports = keys[order], shards[order], n[order], supports[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (shards[1:] != shards[:-1]))))
+    return keys[first], shards[first], np.add.reduceat(n, first) if len(keys) else n, supports[first]
+
+
+_KINDS = (np.uint64, np.uint16, np.int64, np.int64)
+_PACKED = pa.schema([("range", pa.int64()), *[(c, pa.binary()) for c in ("keys", "shards", "n", "supports")]])
+
+
+def mine_shards(docs: DataFrame, ranges: int, widths: tuple[int, ...], frequent_words: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
+    """(key): phrases of ``widths`` words that reach the ``support`` of a shard in it.
 
     A shard is mined completely: runs with a word that is not frequent, or (where ``pairs``
     are given) with a pair that is frequent in no shard, cannot be frequent themselves. A task
-    sums what it reads of each shard, and the sums of all tasks are added per shard and key.
+    sums what it reads of each shard as far as ``TALLY`` allows and packs its sums by range
+    of the keys; there are as many ranges (a power of two) as keep what meets in one bounded.
     """
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((frequent_words, pairs))
+    shared = docs.sparkSession.sparkContext.broadcast((frequent_words, pairs))
+    shift = np.uint64(65 - ranges.bit_length())
+
+    def pack(held: list[tuple]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held)] if held else [np.zeros(0, k) for k in _KINDS]
+        columns = _summed(*columns)
+        order = np.argsort(columns[0])
+        columns = [c[order].astype(k) for c, k in zip(columns, _KINDS)]
+        of = (columns[0] >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(order), np.int64)
+        edges = np.concatenate((np.flatnonzero(np.diff(of, prepend=-1)), [len(of)])).tolist()
+        cut = [[c[i:j].tobytes() for i, j in zip(edges, edges[1:])] for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(of[edges[:-1]]), *[pa.array(c, pa.binary()) for c in cut]], schema=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_words, pairs = shared.value
-        tally, parts, names = Tally(), {}, []
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            keys, part, n = tally.take()
-            for at in range(0, len(keys), 1 << 18):
-                some = slice(at, at + (1 << 18))
-                lang, shard = pa.array([p[0] for p in names], pa.string()), pa.array([p[1] for p in names], pa.int32())
-                which = pa.array(part[some])
-                yield pa.RecordBatch.from_arrays([lang.take(which), shard.take(which), pa.array(keys[some].view(np.int64)), pa.array(n[some])], names=["lang", "shard", "key", "n"])
-
+        held, size = [], 0
         for texts, rows in slices(batches):
             words = Words(texts)
-            langs, codes, seeds = _languages(rows)
-            mine = list(zip(langs.take(pa.array(codes)).to_pylist(), rows.column("shard").to_pylist()))
-            for p in mine:
-                if p not in parts:
-                    parts[p] = len(names)
-                    names.append(p)
-            part = np.array([parts[p] for p in mine], np.int64)[words.document]
-            keys = words.keys(seeds)
+            keys = words.keys(_languages(rows)[2])
+            shard, support = rows.column("shard").to_numpy()[words.document], rows.column("support").to_numpy()[words.document]
             usable = among(frequent_words, keys)
             if pairs is not None:
                 pair, inside = words.grams(keys, 2)
@@ -209,14 +192,21 @@ def mine_shards(docs: DataFrame, supports: DataFrame, widths: tuple[int, ...], f
                 gram, inside = words.grams(keys, width)
                 for k in range(width) if pairs is None else range(width - 1):
                     inside &= (usable if pairs is None else paired)[k : k + len(gram)]
-                tally.add(gram[inside], part[: len(gram)][inside], np.ones(int(inside.sum()), np.int64))
-            if tally.full():
-                yield from emit()
-        yield from emit()
+                at = np.flatnonzero(inside)
+                held.append(_summed(gram[at], shard[at], np.ones(len(at), np.int64), support[at]))
+                size += len(held[-1][0])
+            if size > TALLY:
+                yield pack(held)
+                held, size = [], 0
+        yield pack(held)
+
+    def add(_: tuple, table: pa.Table) -> pa.Table:
+        columns = [np.frombuffer(b"".join(table[n].to_pylist()), k) for n, k in zip(("keys", "shards", "n", "supports"), _KINDS)]
+        keys, _, n, supports = _summed(*columns)
+        return pa.table({"key": pa.array(np.unique(keys[n >= supports]).view(np.int64))})
 
-    found = docs.select(F.col("text").cast("binary").alias("text"), "lang", "shard").mapInArrow(run, "lang string, shard int, key long, n long")
-    summed = found.groupBy("lang", "shard", "key").agg(F.sum("n").alias("n"))
-    return summed.join(supports, ["lang", "shard"]).filter("n >= support").select("key").distinct()
+    packed = docs.select(F.col("text").cast("binary").alias("text"), "lang", "shard", "support").mapInArrow(run, "range long, keys binary, shards binary, n binary, supports binary")
+    return packed.groupBy("range").applyInArrow(add, "key long")
 
 
 def count_phrases(docs: DataFrame, widths: tuple[int, ...], frequent_words: np.ndarray, candidates: np.ndarray) -> DataFrame:
@@ -276,17 +266,20 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST, s
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
     bytes_ = rows.groupBy("lang", "shard").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
-    rows_of = bytes_.withColumn("total", F.greatest(F.sum("bytes").over(Window.partitionBy("lang")), F.lit(1)))
+    in_all = bytes_.withColumn("total", F.greatest(F.sum("bytes").over(Window.partitionBy("lang")), F.lit(1)))
     support = F.expr(f"greatest((cast(bytes as decimal(20,0)) * {int(least)} + total - 1) div total, 1)")
-    supports = materialise(rows_of.select("lang", "shard", support.alias("support")))
+    supports = materialise(in_all.select("lang", "shard", "bytes", support.alias("support")))
+    size = supports.agg(F.sum("bytes")).first()[0] or 0
+    ranges = 1 << int(size // GROUP_BYTES).bit_length()
+    dealt = rows.join(supports.drop("bytes"), ["lang", "shard"])
     words = materialise(count_words(rows))
     common = words.filter(F.col("n") >= least)
     usable = key_filter(common)
-    mined = materialise(mine_shards(rows, supports, (2,), usable))
+    mined = materialise(mine_shards(dealt, ranges, (2,), usable))
     if longest > 2:
-        pairs = key_filter(mined)
-        mined = mined.union(materialise(mine_shards(rows, supports, tuple(range(3, longest + 1)), usable, pairs)))
-    counted = count_phrases(rows, tuple(range(2, longest + 1)), usable, key_filter(mined)).filter(F.col("n") >= least)
+        pairs = key_filter(mined.distinct())
+        mined = mined.union(materialise(mine_shards(dealt, ranges, tuple(range(3, longest + 1)), usable, pairs)))
+    counted = count_phrases(rows, tuple(range(2, longest + 1)), usable, key_filter(mined.distinct())).filter(F.col("n") >= least)
     phrases = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("width"), "n").union(counted)
     return materialise(phrases), materialise(words.groupBy("lang").agg(F.sum("n").alias("n")))
 
