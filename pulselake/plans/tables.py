@@ -11,7 +11,7 @@ from pulselake.plans.registry import query
 from pulselake.session import table
 from pulselake.sources import versioned
 from pulselake.sources.tables import append, scratch
-from pulselake.streaming import repair
+from pulselake.streaming import limits, repair
 
 _TOTALS = """t AS (SELECT CAST(ts AS DATE) AS day, event_type AS metric, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2),
 c AS (SELECT CAST(ts AS DATE) AS day, event_type AS metric, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events
@@ -61,10 +61,10 @@ _LANDED = """e AS (SELECT *, CAST(ts AS DATE) AS day, CAST(floor((date_diff('day
 m AS (SELECT run, max(max(day)) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest, max(max(ts)) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 15 DAY AS mark FROM e GROUP BY run)"""
 
 
-def _runs(spark: SparkSession, sf_dir: str, folder: str):
-    """Lands the events run by run; yields after each."""
+def _runs(spark: SparkSession, sf_dir: str, folder: str, longest: int = 20):
+    """Lands the events run by run, those that come late up to ``longest`` days after they happened; yields after each."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    lag = F.when(F.col("event_id") % 40 == 7, 20).when(F.col("event_id") % 10 == 3, 5).otherwise(0)
+    lag = F.when(F.col("event_id") % 40 == 7, longest).when(F.col("event_id") % 10 == 3, 5).otherwise(0)
     run = F.floor((F.datediff(F.col("ts").cast("date"), F.to_date(F.lit("2024-01-01"))) + lag) / 10).cast("int")
     first, last = events.agg(F.min(run), F.max(run)).first()
     for k in range(first, last + 1) if first is not None else []:
@@ -99,3 +99,35 @@ def l1_closed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in _runs(spark, sf_dir, f"{base}/landing"):
         repair.close_days(spark, f"{base}/landing", _EVENTS, f"{base}/closed", f"{base}/checkpoint")
     return versioned.read(spark, f"{base}/closed")
+
+
+#: Limits that the events' few calls a user reach: one in six hours, two a day, six a week.
+_LIMITS = (("quarter", 6 * 3600, 1), ("day", 86400, 2), ("week", 7 * 86400, 6))
+
+
+@query("""
+WITH c AS (SELECT user_id, list({'id': event_id, 'at': epoch_us(ts), 'took': 0::BIGINT, 'outcome': ''} ORDER BY ts, event_id) AS calls FROM events WHERE ts IS NOT NULL GROUP BY 1),
+f AS (SELECT user_id, list_reduce(list_transform(calls, lambda c: [c]), lambda done, next: list_append(done, struct_pack(id := next[1].id, at := next[1].at, took := 0::BIGINT, outcome :=
+  CASE WHEN len(list_filter(done, lambda d: d.outcome = 'ok' AND d.at > next[1].at - 21600000000)) >= 1 THEN 'quarter'
+    WHEN len(list_filter(done, lambda d: d.outcome = 'ok' AND d.at > next[1].at - 86400000000)) >= 2 THEN 'day'
+    WHEN len(list_filter(done, lambda d: d.outcome = 'ok' AND d.at > next[1].at - 604800000000)) >= 6 THEN 'week' ELSE 'ok' END)), [calls[1]][1:0]) AS done FROM c)
+SELECT user_id, unnest(done).id AS event_id, unnest(done).outcome AS outcome FROM f
+""")
+def l5_three_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls limited in three windows, by a stream with list state and timers that is run after each landing."""
+    base = scratch(spark, "limits")
+    out, landing = f"{base}/decided", f"{base}/landing"
+    versioned.create(spark, out, "user_id long, event_id long, ts timestamp, outcome string", "outcome")
+
+    def run() -> None:
+        with limits.keyed_state(spark):
+            decided = limits.limited_stream(repair.landed(spark, landing, _EVENTS), "user_id", _LIMITS, lateness="15 days")
+            repair.catch_up(decided, f"{base}/checkpoint", repair.closing_sink(out, "limits"))
+
+    for _ in _runs(spark, sf_dir, landing, longest=5):
+        run()
+    # a row of nobody, long after the others, lets the watermark pass them all
+    last = table(spark, sf_dir, "events").agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("interval 60 days")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("event_type", "string"), ("value", "double"), ("props", "string"))])
+    append(last, landing)
+    run()
+    return versioned.read(spark, out).filter("event_id >= 0").select("user_id", "event_id", "outcome")

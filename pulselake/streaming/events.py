@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, functions as F
 
-from pulselake.operators.store import merge_latest
-from pulselake.sources.tables import read_or_empty, replace
+from pulselake.sources import versioned
+from pulselake.streaming.limits import OK, SECOND, fold, limited_stream, limited_table
 
 
 def closed_days(events: DataFrame, lateness: str = "15 days") -> DataFrame:
@@ -33,77 +30,31 @@ def sessions(events: DataFrame, gap: str = "6 hours", lateness: str = "1 day") -
     )
 
 
-def upsert_into(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that merges each batch into the table at ``path``; replays change nothing."""
+def upsert_into(path: str, keys: list[str], order: list[str], part: str, stream: str = "upserts") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that merges each batch into the versioned table at ``path``: the batch's partitions only.
 
-    def write(batch: DataFrame, _: int) -> None:
-        stored = read_or_empty(batch.sparkSession, path, batch.schema)
-        replace(merge_latest(stored.unionByName(batch), keys, order), path)
+    ``keys`` hold ``part``. The table keeps the stream's last batch, so replays change nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        versioned.create(batch.sparkSession, path, batch.schema, part)
+        versioned.upsert(batch, path, keys, order, (stream, number))
 
     return write
 
 
 def budget_fold(times: list[float], hour: int, day: int, accepted: list[float]) -> tuple[list[bool], list[float]]:
-    """Accept a call while fewer than ``hour`` (``day``) accepted calls lie in the last 3600 (86400) seconds."""
-    out = []
-    for t in times:
-        accepted = [a for a in accepted if a > t - 86400]
-        ok = len(accepted) < day and sum(a > t - 3600 for a in accepted) < hour
-        if ok:
-            accepted.append(t)
-        out.append(ok)
-    return out, accepted
-
-
-def _fold_stretches(rows: DataFrame, user: str, hour: int, day: int, schema: str) -> DataFrame:
-    second = 1_000_000
-    ts = F.col("ts").cast("timestamp")
-    rows = rows.select(F.col(user).cast("long").alias(user), F.col("event_id").cast("long").alias("event_id"), ts.alias("ts"), F.unix_micros(ts).alias("_at"))
-    rows = rows.withColumn("_date", F.floor(F.col("_at") / (86400 * second)))
-    # a gap of a day lies between two dates, so dates and their ends tell where stretches begin
-    dates = rows.filter("_at is not null").groupBy(user, "_date").agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"))
-    by_date = Window.partitionBy(user).orderBy("_date")
-    begins = F.when(F.col("lo") - F.lag("hi").over(by_date) >= 86400 * second, F.col("_date"))
-    first = F.last(F.col("_begins"), ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, 0))
-    cut = dates.withColumn("_begins", begins).select(F.col(user).alias("_user"), F.col("_date").alias("_on"), first.alias("_stretch"))
-    placed = rows.join(cut, F.col(user).eqNullSafe(F.col("_user")) & (F.col("_date") == F.col("_on")), "left").select(user, "event_id", "ts", "_at", "_stretch")
-    placed = placed.repartition(user, "_stretch").sortWithinPartitions(user, "_stretch", F.col("_at").asc_nulls_last(), "event_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, accepted = None, []
-        for batch in batches:
-            out = []
-            for u, at, stretch in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4))):
-                if key != (u, stretch):
-                    key, accepted = (u, stretch), []
-                if at is None:  # no time, no limit
-                    out.append(True)
-                    continue
-                ok, accepted = budget_fold([at / second], hour, day, accepted)
-                out += ok
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.bool_())], names=[user, "event_id", "ts", "accepted"])
-
-    return placed.mapInArrow(run, schema)
+    """Accepts a call (seconds) while fewer than ``hour`` (``day``) accepted calls lie in the last 3600 (86400) seconds."""
+    micros = lambda some: [round(t * SECOND) for t in some]
+    outcomes, left = fold(micros(times), micros(accepted), (("hour", 3600, hour), ("day", 86400, day)))
+    return [o == OK for o in outcomes], [a / SECOND for a in left]
 
 
 def call_budget(calls: DataFrame, user: str, hour: int = 60, day: int = 100) -> DataFrame:
-    """(user, event_id, ts, accepted): rejected calls do not count, so each user's calls are folded in order.
+    """(user, event_id, ts, accepted): calls of an hourly and a daily budget; rejected ones do not count, those without a time have no limit.
 
-    On a stream the accepted times of the last day are the state, kept per user. A table is
-    cut into stretches of a user's calls that lie a day or more apart, which do not depend on
-    each other; a stretch is sorted in its partition and folded batch by batch with the same state.
+    Streams (inside ``limits.keyed_state``) and tables alike; ``streaming.limits`` has the fold, its state and its stretches.
     """
-    names = [user, "event_id", "ts"]
-    schema = f"{user} long, event_id long, ts timestamp, accepted boolean"
-    rows = calls.select(*names)
-    if not calls.isStreaming:
-        return _fold_stretches(rows, user, hour, day, schema)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted = list(state.get[0]) if state.exists else []
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        ok, accepted = budget_fold([t.timestamp() for t in frame["ts"]], hour, day, accepted)
-        state.update((accepted,))
-        yield frame.assign(accepted=ok)
-
-    return rows.groupBy(user).applyInPandasWithState(step, schema, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    windows = (("hour", 3600, hour), ("day", 86400, day))
+    found = limited_stream(calls, user, windows) if calls.isStreaming else limited_table(calls, user, windows)
+    return found.select(user, "event_id", "ts", (F.col("outcome") == OK).alias("accepted"))
