@@ -14,7 +14,7 @@ from pulselake.llm.common import materialise
 #: Bytes of text that a task works on at once (one document at least).
 SLICE_BYTES = 2 << 20
 #: Sums that a task holds, about, and bytes of text whose sums may meet in one group.
-TALLY, GROUP_BYTES = 1 << 20, 16 << 20
+TALLY, GROUP_BYTES = 1 << 20, 8 << 20
 #: Bits of the broadcast filters at most; 16 bits a key below that.
 FILTER_BITS = 1 << 27
 LONGEST = 4
@@ -142,21 +142,20 @@ def count_words(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word").agg(F.first("key").alias("key"), F.sum("n").alias("n"))
 
 
-def _summed(keys: np.ndarray, shards: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(keys, shards, n, supports): n summed per key and shard."""
-    n, supports = columns
+def _summed(keys: np.ndarray, shards: np.ndarray, n: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The columns with ``n`` summed per key and shard; the others are the same for all rows of a key and shard."""
     order = np.argsort(keys ^ mixed(shards.astype(np.uint64)))
-    keys, shards, n, supports = keys[order], shards[order], n[order], supports[order]
+    keys, shards, n = keys[order], shards[order], n[order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (shards[1:] != shards[:-1]))))
-    return keys[first], shards[first], np.add.reduceat(n, first) if len(keys) else n, supports[first]
+    return keys[first], shards[first], np.add.reduceat(n, first) if len(keys) else n, *[c[order[first]] for c in rest]
 
 
-_KINDS = (np.uint64, np.uint16, np.int64, np.int64)
-_PACKED = pa.schema([("range", pa.int64()), *[(c, pa.binary()) for c in ("keys", "shards", "n", "supports")]])
+_PACKED = {"keys": np.uint64, "shards": np.uint16, "n": np.int64, "supports": np.int32, "slacks": np.int32}
+_SCHEMA = pa.schema([("range", pa.int64()), *[(c, pa.binary()) for c in _PACKED]])
 
 
-def mine_shards(docs: DataFrame, ranges: int, widths: tuple[int, ...], frequent_words: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
-    """(key): phrases of ``widths`` words that reach the ``support`` of a shard in it.
+def mine_shards(docs: DataFrame, least: int, ranges: int, widths: tuple[int, ...], frequent_words: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
+    """(key): phrases of ``widths`` words that reach the ``support`` of a shard in it, and may reach ``least`` in all.
 
     A shard is mined completely: runs with a word that is not frequent, or (where ``pairs``
     are given) with a pair that is frequent in no shard, cannot be frequent themselves. A task
@@ -167,14 +166,14 @@ def mine_shards(docs: DataFrame, ranges: int, widths: tuple[int, ...], frequent_
     shift = np.uint64(65 - ranges.bit_length())
 
     def pack(held: list[tuple]) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*held)] if held else [np.zeros(0, k) for k in _KINDS]
+        columns = [np.concatenate(c) for c in zip(*held)] if held else [np.zeros(0, k) for k in _PACKED.values()]
         columns = _summed(*columns)
         order = np.argsort(columns[0])
-        columns = [c[order].astype(k) for c, k in zip(columns, _KINDS)]
+        columns = [c[order].astype(k) for c, k in zip(columns, _PACKED.values())]
         of = (columns[0] >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(order), np.int64)
         edges = np.concatenate((np.flatnonzero(np.diff(of, prepend=-1)), [len(of)])).tolist()
         cut = [[c[i:j].tobytes() for i, j in zip(edges, edges[1:])] for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(of[edges[:-1]]), *[pa.array(c, pa.binary()) for c in cut]], schema=_PACKED)
+        return pa.RecordBatch.from_arrays([pa.array(of[edges[:-1]]), *[pa.array(c, pa.binary()) for c in cut]], schema=_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_words, pairs = shared.value
@@ -182,7 +181,7 @@ def mine_shards(docs: DataFrame, ranges: int, widths: tuple[int, ...], frequent_
         for texts, rows in slices(batches):
             words = Words(texts)
             keys = words.keys(_languages(rows)[2])
-            shard, support = rows.column("shard").to_numpy()[words.document], rows.column("support").to_numpy()[words.document]
+            shard, support, slack = (rows.column(c).to_numpy()[words.document] for c in ("shard", "support", "slack"))
             usable = among(frequent_words, keys)
             if pairs is not None:
                 pair, inside = words.grams(keys, 2)
@@ -193,7 +192,7 @@ def mine_shards(docs: DataFrame, ranges: int, widths: tuple[int, ...], frequent_
                 for k in range(width) if pairs is None else range(width - 1):
                     inside &= (usable if pairs is None else paired)[k : k + len(gram)]
                 at = np.flatnonzero(inside)
-                held.append(_summed(gram[at], shard[at], np.ones(len(at), np.int64), support[at]))
+                held.append(_summed(gram[at], shard[at], np.ones(len(at), np.int64), support[at], slack[at]))
                 size += len(held[-1][0])
             if size > TALLY:
                 yield pack(held)
@@ -201,11 +200,15 @@ def mine_shards(docs: DataFrame, ranges: int, widths: tuple[int, ...], frequent_
         yield pack(held)
 
     def add(_: tuple, table: pa.Table) -> pa.Table:
-        columns = [np.frombuffer(b"".join(table[n].to_pylist()), k) for n, k in zip(("keys", "shards", "n", "supports"), _KINDS)]
-        keys, _, n, supports = _summed(*columns)
-        return pa.table({"key": pa.array(np.unique(keys[n >= supports]).view(np.int64))})
-
-    packed = docs.select(F.col("text").cast("binary").alias("text"), "lang", "shard", "support").mapInArrow(run, "range long, keys binary, shards binary, n binary, supports binary")
+        columns = [np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in _PACKED.items()]
+        keys, _, n, supports, slacks = _summed(*columns)
+        found = np.flatnonzero(n >= supports)
+        keys, at, shard = np.unique(keys[found], return_index=True, return_inverse=True)
+        most = np.zeros(len(keys), np.int64)
+        np.add.at(most, shard, (n - supports + 1)[found])
+        return pa.table({"key": pa.array(keys[most + slacks[found][at] >= least].view(np.int64))})
+
+    packed = docs.select(F.col("text").cast("binary").alias("text"), "lang", "shard", "support", "slack").mapInArrow(run, "range long, " + ", ".join(f"{c} binary" for c in _PACKED))
     return packed.groupBy("range").applyInArrow(add, "key long")
 
 
@@ -242,7 +245,7 @@ def count_phrases(docs: DataFrame, widths: tuple[int, ...], frequent_words: np.n
                     phrase = words.phrases(where, width).cast(pa.large_string()).cast(pa.string())
                     lang = langs.take(pa.array(codes[words.document[where]])).cast(pa.string())
                     held.append(pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(where), width, np.int32)), pa.array(count)], schema=schema))
-            if sum(b.num_rows for b in held) > last + (1 << 19):
+            if sum(b.num_rows for b in held) > last + (1 << 18):
                 held = summed(held)
                 last = sum(b.num_rows for b in held)
                 if last > 1 << 20:
@@ -268,18 +271,19 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST, s
     bytes_ = rows.groupBy("lang", "shard").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
     in_all = bytes_.withColumn("total", F.greatest(F.sum("bytes").over(Window.partitionBy("lang")), F.lit(1)))
     support = F.expr(f"greatest((cast(bytes as decimal(20,0)) * {int(least)} + total - 1) div total, 1)")
-    supports = materialise(in_all.select("lang", "shard", "bytes", support.alias("support")))
+    slack = F.sum(F.col("support") - 1).over(Window.partitionBy("lang"))
+    supports = materialise(in_all.select("lang", "shard", "bytes", support.cast("int").alias("support")).withColumn("slack", slack.cast("int")))
     size = supports.agg(F.sum("bytes")).first()[0] or 0
     ranges = 1 << int(size // GROUP_BYTES).bit_length()
     dealt = rows.join(supports.drop("bytes"), ["lang", "shard"])
     words = materialise(count_words(rows))
     common = words.filter(F.col("n") >= least)
     usable = key_filter(common)
-    mined = materialise(mine_shards(dealt, ranges, (2,), usable))
+    mined = materialise(mine_shards(dealt, least, ranges, (2,), usable))
     if longest > 2:
-        pairs = key_filter(mined.distinct())
-        mined = mined.union(materialise(mine_shards(dealt, ranges, tuple(range(3, longest + 1)), usable, pairs)))
-    counted = count_phrases(rows, tuple(range(2, longest + 1)), usable, key_filter(mined.distinct())).filter(F.col("n") >= least)
+        pairs = key_filter(mined)
+        mined = mined.union(materialise(mine_shards(dealt, least, ranges, tuple(range(3, longest + 1)), usable, pairs)))
+    counted = count_phrases(rows, tuple(range(2, longest + 1)), usable, key_filter(mined)).filter(F.col("n") >= least)
     phrases = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("width"), "n").union(counted)
     return materialise(phrases), materialise(words.groupBy("lang").agg(F.sum("n").alias("n")))
 
