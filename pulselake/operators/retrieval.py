@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulselake.functions import fixed_values as fixed
+from pulselake.operators import vector_index
+from pulselake.sources.tables import scratch
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,55 +21,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-#: Queries that one block of the exhaustive search holds.
-QUERY_BLOCK = 4096
+def nearest(queries: DataFrame, collection: DataFrame, k: int, dimensions: int, where: Column | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank): the ``k`` nearest rows of the collection for every query, exactly, by an index for this search alone.
 
-
-def nearest(queries: DataFrame, collection: DataFrame, k: int, dimensions: int) -> DataFrame:
-    """(query_id, id, similarity, rank): the ``k`` nearest rows of the collection for every query.
-
-    Exact: queries go block by block (of bounded size) to every task of the collection; a
-    task keeps its best ``k`` for each, so what is shuffled is k rows per query and task.
-    Ties are broken by id. ``queries``: (query_id, embedding); ``collection``: (id, embedding).
+    ``queries``: (query_id, embedding); ``collection``: (id, embedding) and what ``where`` filters by.
+    See ``vector_index`` for ties and vectors of another length.
     """
-    ordered = queries.select("query_id", "embedding").toLocalIterator()
-    found: DataFrame | None = None
-    block: list = []
-
-    def search(rows: list) -> DataFrame:
-        ids = np.array([r[0] for r in rows], np.int64)
-        matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), dimensions)
-        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = collection.sparkSession.sparkContext.broadcast((ids, np.where(norm > 0, matrix / np.where(norm > 0, norm, 1), 0)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, unit = shared.value
-            best_s, best_i = np.full((len(query_ids), 0), 0.0), np.zeros((len(query_ids), 0), np.int64)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dimensions)
-                    size = np.linalg.norm(x, axis=1, keepdims=True)
-                    s = unit @ np.where(size > 0, x / np.where(size > 0, size, 1), 0).T
-                    best_s = np.concatenate((best_s, s), axis=1)
-                    best_i = np.concatenate((best_i, np.broadcast_to(part.column(0).to_numpy(), s.shape)), axis=1)
-                    order = np.lexsort((best_i, -np.round(best_s, 12)), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "id", "similarity"])
-
-        usable = collection.select(F.col("id").cast("bigint"), F.col("embedding").cast("array<double>")).filter(F.size("embedding") == dimensions)
-        return usable.mapInArrow(run, "query_id long, id long, similarity double")
-
-    for row in ordered:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found = search(block) if found is None else found.unionByName(search(block))
-            block = []
-    if block or found is None:
-        found = search(block) if found is None else found.unionByName(search(block))
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    path = scratch(queries.sparkSession, "index")
+    vector_index.build(collection, path, dimensions, keep=tuple(c for c in collection.columns if c not in ("id", "embedding")))
+    return vector_index.search(queries, path, k, dimensions, where).drop("cells_read")
 
 
 def metadata_filter(where: dict) -> Column:
@@ -87,6 +46,24 @@ def metadata_filter(where: dict) -> Column:
     return found
 
 
+def within(where: dict | None, key: str, allowed: list[str]) -> dict:
+    """A caller's filter that cannot leave the ``allowed`` values of ``key``.
+
+    A single allowed value stays; of a list the allowed ones stay, or all allowed values where
+    none is; another value, or no condition, becomes the whole list; conditions on other keys only
+    are joined to it.
+    """
+    whole = {key: {"$in": allowed}}
+    if not where:
+        return whole
+    if key not in where:
+        return {"$and": [whole, where]}
+    asked = where[key]
+    if isinstance(asked, dict) and "$in" in asked:
+        return {key: {"$in": [a for a in asked["$in"] if a in allowed] or allowed}}
+    return {key: asked} if asked in allowed else whole
+
+
 def query_tokens(query: Column) -> Column:
     """Distinct tokens that count in reranking: longer than two characters, or one of a few short ones."""
     tokens = F.regexp_extract_all(F.lower(query), F.lit("([a-z0-9áéíóúüñ]{2,})"), F.lit(1))

@@ -112,8 +112,8 @@ _KNN = """SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(CA
 def _neighbours(spark: SparkSession, sf_dir: str, k: int, where: dict | None = None) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    chosen = vectors.filter(retrieval.metadata_filter(where)) if where else vectors
-    return retrieval.nearest(queries, chosen.select(F.col("vec_id").alias("id"), "embedding"), k, 64)
+    collection = vectors.select(F.col("vec_id").alias("id"), "embedding", *["label"] * bool(where))
+    return retrieval.nearest(queries, collection, k, 64, retrieval.metadata_filter(where) if where else None)
 
 
 @query(f"SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM ({_KNN}) WHERE rank <= 10")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pulselake.operators import retrieval, vector_index
 from pulselake.operators.consolidate import cents
 from pulselake.plans.registry import query
 from pulselake.session import table
@@ -131,3 +132,34 @@ def l5_three_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     append(last, landing)
     run()
     return versioned.read(spark, out).filter("event_id >= 0").select("user_id", "event_id", "outcome")
+
+
+_ALIKE = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))"
+
+
+@query(f"""
+SELECT query_id, id, round(s, 6) AS similarity, rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS id, {_ALIKE} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_ALIKE}, 12) DESC, c.vec_id) AS rank FROM embeddings q, embeddings c)
+WHERE rank <= 4
+""")
+def a17_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four nearest of every vector, from a stored index."""
+    vectors, path = table(spark, sf_dir, "embeddings"), scratch(spark, "index")
+    vector_index.build(vectors.select(F.col("vec_id").alias("id"), "embedding"), path, 64)
+    found = vector_index.search(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), path, 4, 64)
+    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
+#: Filters that callers ask for, and the labels that they may see.
+_ASKED = {"none": None, "one": {"label": 2}, "foreign": {"label": 9}, "some": {"label": {"$in": [1, 9]}}, "all foreign": {"label": {"$in": [8, 9]}}, "other": {"vec_id": {"$in": [3, 4, 5, 6, 7]}}}
+
+
+@query("""
+WITH a(asked, label, ids) AS (VALUES ('none', [1, 2, 3], NULL), ('one', [2], NULL), ('foreign', [1, 2, 3], NULL), ('some', [1], NULL), ('all foreign', [1, 2, 3], NULL), ('other', [1, 2, 3], [3, 4, 5, 6, 7]))
+SELECT a.asked, vec_id, e.label FROM embeddings e JOIN a ON list_contains(a.label, e.label) AND (a.ids IS NULL OR list_contains(a.ids, vec_id))
+""")
+def c15_allowed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that filters may show, once they are kept within the allowed labels."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    one = lambda name: vectors.filter(retrieval.metadata_filter(retrieval.within(_ASKED[name], "label", [1, 2, 3]))).select(F.lit(name).alias("asked"), "vec_id", "label")
+    return reduce(DataFrame.unionByName, [one(name) for name in _ASKED])
