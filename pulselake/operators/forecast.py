@@ -1,4 +1,4 @@
-"""Forecasts per series: physiological bounds, exponential smoothing, bounded trend, ensemble, holdout errors."""
+"""Forecasts per series: physiological bounds, fixed smoothing, the ensemble of both fitted models, holdout errors."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulselake.operators.quantiles import exact_quantiles
+from pulselake.operators import smoothing, structural
+from pulselake.operators.quantiles import with_quantiles
 
 
 def holdout_metrics(rows: DataFrame, value: str, series: list[str], order: str, last: int, season: int) -> DataFrame:
@@ -41,7 +42,7 @@ def bounds(value: str, by: list[str], rows: DataFrame) -> DataFrame:
 
 def heart_rate_bounds(value: str, by: list[str], rows: DataFrame) -> DataFrame:
     """Floor and cap of a resting heart rate: near the observed range, within 38 and 115, at least 5 apart."""
-    s = rows.groupBy(*by).agg(F.min(value).alias("mn"), F.max(value).alias("mx")).join(exact_quantiles(rows, value, by, [0.01, 0.99]), by)
+    s = with_quantiles(rows.groupBy(*by).agg(F.min(value).alias("mn"), F.max(value).alias("mx")), rows, value, by, [0.01, 0.99])
     floor = F.least(F.greatest(F.lit(38.0), F.col("q")[0] - 3), F.col("mn") - 0.5)
     cap = F.greatest(F.least(F.lit(115.0), F.greatest(F.col("mx") + 6, F.col("q")[1] + 4)), F.col("mx") + 0.5)
     wide = s.select(*by, floor.alias("floor"), cap.alias("cap"))
@@ -58,24 +59,6 @@ def horizon_dates(today: Column, include_today: bool = True) -> Column:
     return F.sequence(today if include_today else F.date_add(today, 1), F.date_add(today, 13 - F.weekday(today)))
 
 
-def smooth(y: np.ndarray, horizon: int, alpha: float, beta: float, gamma: float, phi: float, season: int) -> tuple[np.ndarray, np.ndarray]:
-    """Damped additive exponential smoothing: (fitted values, forecasts)."""
-    level, trend = float(y[: max(1, season)].mean()), 0.0
-    seasonal = (y[:season] - level).tolist() if season else [0.0]
-    fitted = np.empty(len(y))
-    for t, value in enumerate(y):
-        s = seasonal[t % season] if season else 0.0
-        fitted[t] = level + phi * trend + s
-        before = level
-        level = alpha * (value - s) + (1 - alpha) * (level + phi * trend)
-        trend = beta * (level - before) + (1 - beta) * phi * trend
-        if season:
-            seasonal[t % season] = gamma * (value - level) + (1 - gamma) * s
-    steps = np.cumsum(phi ** np.arange(1, horizon + 1))
-    ahead = [seasonal[(len(y) + h) % season] if season else 0.0 for h in range(horizon)]
-    return fitted, level + steps * trend + np.array(ahead)
-
-
 def damped_steps(rows: DataFrame, series: str, day: str, value: str, alpha: float, beta: float, phi: float) -> DataFrame:
     """(series, n, next_value): the damped one-step forecast after each row of a series, to its last row.
 
@@ -104,40 +87,6 @@ def damped_steps(rows: DataFrame, series: str, day: str, value: str, alpha: floa
     return kept.mapInArrow(run, f"{series} {dict(kept.dtypes)[series]}, n long, next_value double")
 
 
-def ets_forecast(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Smoothing with parameters from a small grid; weekly season from 14 values on. (fitted, forecast, sigma)."""
-    season = 7 if len(y) >= 14 else 0
-    best = None
-    for alpha in (0.1, 0.2, 0.4, 0.6, 0.8):
-        for beta in (0.0, 0.05, 0.2):
-            for gamma in (0.05, 0.2) if season else (0.0,):
-                fitted, ahead = smooth(y, horizon, alpha, beta, gamma, 0.9, season)
-                loss = float(np.square(y - fitted).sum())
-                if best is None or loss < best[0]:
-                    best = (loss, fitted, ahead)
-    sigma = float(np.nanstd(y - best[1]))
-    return best[1], best[2], sigma if sigma > 1e-4 else 1.0
-
-
-def trend_forecast(y: np.ndarray, horizon: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Growth between floor and cap: ridge regression of the logit on a piecewise-linear trend and weekly waves."""
-    n = len(y)
-    span = max(high - low, 1e-9)
-    share = np.clip((y - low) / span, 0.01, 0.99)
-    t = np.arange(n + horizon) / max(1, n)
-    knots = np.linspace(0, 0.8, min(10, max(1, n // 7)) + 1)[1:]
-    columns = [np.ones_like(t), t] + [np.maximum(0, t - k) for k in knots]
-    if n >= 14:
-        week = 2 * np.pi * np.arange(n + horizon) / 7
-        columns += [f(k * week) for k in (1, 2, 3) for f in (np.sin, np.cos)]
-    x = np.column_stack(columns)
-    penalty = np.diag([0.0, 0.1] + [5.0] * len(knots) + [0.5] * (x.shape[1] - 2 - len(knots)))
-    weights = np.linalg.solve(x[:n].T @ x[:n] + penalty + 1e-9 * np.eye(x.shape[1]), x[:n].T @ np.log(share / (1 - share)))
-    curve = low + span / (1 + np.exp(-x @ weights))
-    sigma = float(np.std(y - curve[:n]))
-    return curve[:n], curve[n:], sigma if sigma > 1e-4 else 1.0
-
-
 def forecast_series(rows: DataFrame, series: str, day: str, value: str, horizon: int, weight: float = 0.5) -> DataFrame:
     """Ensemble of both models per series, clamped to its bounds: n + horizon rows each.
 
@@ -157,7 +106,9 @@ def forecast_series(rows: DataFrame, series: str, day: str, value: str, horizon:
         if len(y) < 3:
             one = two = (np.full(len(y), y.mean()), np.full(horizon, y.mean()), 1.0)
         else:
-            one, two = ets_forecast(y, horizon), trend_forecast(y, horizon, low, high)
+            days = frame["ds"].to_numpy().astype("datetime64[D]").astype(np.int64)
+            found = structural.structural_fit(days, y, horizon, low, high)["yhat"].to_numpy()
+            one, two = smoothing.forecast(y, horizon), (found[: len(y)], found[len(y) :], max(float(np.std(y - found[: len(y)])), 1e-4))
         curve = weight * np.concatenate(one[:2]) + (1 - weight) * np.concatenate(two[:2])
         sigma = weight * one[2] + (1 - weight) * two[2]
         fan = 1.96 * sigma * np.sqrt(np.concatenate((np.ones(len(y)), np.arange(1, horizon + 1))))
@@ -195,7 +146,7 @@ BOUND_RULES = {
 def metric_bounds(rows: DataFrame, metric: str, value: str) -> DataFrame:
     """(metric, floor, cap) by each metric's rule; metrics without one get the generic rule."""
     s = rows.groupBy(metric).agg(F.min(value).alias("mn"), F.max(value).alias("mx"), F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd"))
-    s = s.join(exact_quantiles(rows, value, [metric], [0.01, 0.99]), metric)
+    s = with_quantiles(s, rows, value, [metric], [0.01, 0.99])
     s = s.withColumn("q1", F.col("q")[0]).withColumn("q9", F.col("q")[1])
     generic_floor = "CASE WHEN mn >= 0 THEN least(greatest(0, mn * 0.8), greatest(0, mn - 0.5)) ELSE mn * 1.2 END"
     case = lambda k, other: "CASE " + " ".join(f"WHEN {metric} = '{m}' THEN CAST({r[k]} AS DOUBLE)" for m, r in BOUND_RULES.items() if r[k] is not None) + f" ELSE {other} END"

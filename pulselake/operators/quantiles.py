@@ -42,3 +42,10 @@ def exact_quantiles(rows: DataFrame, value: str, by: list[str], probabilities: l
     cell = F.struct("_i", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias("q"))
     ordered = each.groupBy(*by).agg(F.sort_array(F.collect_list(cell)).alias("_q"))
     return ordered.select(*by, F.transform("_q", lambda c: c["q"]).alias("q"))
+
+
+def with_quantiles(groups: DataFrame, rows: DataFrame, value: str, by: list[str], probabilities: list[float]) -> DataFrame:
+    """``groups`` with the column ``q`` of their rows' quantiles; a null key is a group like others, and q is null where there are no values."""
+    found = exact_quantiles(rows, value, by, probabilities).withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = [groups[c].eqNullSafe(found[f"_of_{c}"]) for c in by]
+    return groups.join(found, same, "left").drop(*[f"_of_{c}" for c in by])

@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulselake.operators import forecast
+from pulselake.operators import forecast, smoothing, structural
 from pulselake.operators.anomaly import impute, isolation_forest, local_outlier_factor, severities
 from pulselake.operators.quantiles import exact_quantiles
 from pulselake.plans.common import ORDERS, daily, order_series
@@ -76,6 +76,18 @@ def g20_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.forecast_series(order_series(spark, sf_dir), "priority", "day", "value", 14)
 
 
+@query(None)
+def g18_structural_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic growth with sparse changepoints, weekly waves and the number of orders as a regressor, four weeks on for every series."""
+    return structural.structural_forecast(order_series(spark, sf_dir), "priority", "day", "value", 28, regressors=("n",))
+
+
+@query(None)
+def g19_ets_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level, trend, weekly season and error of damped smoothing, fitted on every series whole."""
+    return smoothing.smoothing_models(order_series(spark, sf_dir), "priority", "day", "value")
+
+
 @query(None)
 def g12_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isolation forest over each day's number and value of orders."""

@@ -170,29 +170,10 @@ def g7_stationarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE {ORDERS}, y AS (SELECT priority, CAST(value AS DOUBLE) AS y, row_number() OVER (PARTITION BY priority ORDER BY day) AS i FROM series),
 s AS (SELECT priority, i, y AS level, 0.0::DOUBLE AS trend FROM y WHERE i = 1 UNION ALL
   SELECT y.priority, y.i, 0.3 * y.y + 0.7 * (s.level + 0.9 * s.trend), 0.1 * (0.3 * y.y + 0.7 * (s.level + 0.9 * s.trend) - s.level) + 0.9 * 0.9 * s.trend FROM s JOIN y ON y.priority = s.priority AND y.i = s.i + 1)
-SELECT priority, i AS n, round(level + 0.9 * trend, 4) AS next_value FROM s WHERE i <= 60
+SELECT priority, i AS n, round(level + 0.9 * trend, 4) AS next_value FROM s
 """)
-def g19_ets_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Damped smoothing with fixed parameters over each series' first sixty rows, folded in order.
-
-    A fold over a sorted array keeps the recursion in the JVM.
-    """
-    rows = order_series(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("priority").orderBy("day"))).filter("i <= 60")
-    sorted_ = rows.groupBy("priority").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.col("value").cast("double").alias("y")))), lambda r: r["y"]).alias("ys"))
-    start = F.array(F.struct(F.element_at("ys", 1).alias("level"), F.lit(0.0).alias("trend")))
-
-    def step(states, y):
-        last = F.element_at(states, -1)
-        level = 0.3 * y + 0.7 * (last["level"] + 0.9 * last["trend"])
-        return F.concat(states, F.array(F.struct(level.alias("level"), (0.1 * (level - last["level"]) + 0.9 * 0.9 * last["trend"]).alias("trend"))))
-
-    states = sorted_.select("priority", F.posexplode(F.aggregate(F.slice("ys", 2, 100), start, step)).alias("n", "s"))
-    return states.select("priority", (F.col("n") + 1).cast("bigint").alias("n"), F.round(F.col("s.level") + 0.9 * F.col("s.trend"), 4).alias("next_value"))
-
-
-@query(None)
 def g19_ets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smoothing of ``g19_ets_fixed`` over every series to its last row."""
+    """The damped one-step forecast after every row of a series, at fixed weights, to its last row."""
     steps = forecast.damped_steps(order_series(spark, sf_dir), "priority", "day", "value", 0.3, 0.1, 0.9)
     return steps.withColumn("next_value", F.round("next_value", 4))
 
@@ -245,20 +226,11 @@ def k2_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.explode(F.sequence(F.min(day), F.max(day))).alias("day"))
 
 
-@query("""
-SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]{3,}')[1:3] AS words, len(list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]{3,}'))) AS distinct_words FROM documents
-""")
-def k6_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Array functions over a document's first words."""
-    words = F.regexp_extract_all(F.lower(F.substring("text", 1, 200)), F.lit("([a-z]{3,})"), F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", F.slice(words, 1, 3).alias("words"), F.size(F.array_distinct(words)).cast("bigint").alias("distinct_words"))
-
-
 @query("""
 SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}')[1:3] AS words, len(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS distinct_words FROM documents
 """)
 def k6_arrays_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Array functions over all words of a document; ``k6_arrays`` reads its first 200 characters only."""
+    """Array functions over all words of a document."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))
     return table(spark, sf_dir, "documents").select("doc_id", F.slice(words, 1, 3).alias("words"), F.size(F.array_distinct(words)).cast("bigint").alias("distinct_words"))
 

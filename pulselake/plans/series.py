@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulselake.operators import stats, windows
 from pulselake.operators.consolidate import cents
-from pulselake.operators.quantiles import exact_quantiles
+from pulselake.operators.quantiles import with_quantiles
 from pulselake.plans.common import DAILY, ORDERS, daily, order_series
 from pulselake.plans.registry import query
 from pulselake.session import table
@@ -112,7 +112,7 @@ def e10_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = "o_totalprice"
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), c)
     found = rows.groupBy("priority").agg(F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("least"), F.max(c).alias("greatest"))
-    return found.join(exact_quantiles(rows, c, ["priority"], [0.5]), "priority").withColumn("median", F.round(F.col("q")[0], 6)).drop("q")
+    return with_quantiles(found, rows, c, ["priority"], [0.5]).withColumn("median", F.round(F.col("q")[0], 6)).drop("q")
 
 
 def _tukey_sql(table_: str, value: str, by: str, k: float) -> str:
