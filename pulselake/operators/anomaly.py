@@ -8,8 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulselake.operators.neighbours import nearest_points
 from pulselake.operators.quantiles import exact_quantiles
 from pulselake.operators.stats import z_score
+from pulselake.operators.vector_index import settled
 from pulselake.operators.windows import fill_both
 
 
@@ -138,31 +140,37 @@ def local_outlier_factor(rows: DataFrame, key: str, features: list[str], series:
     Every row is scored, missing features are imputed. A row is flagged if its factor is
     above the (1 - ``contamination``) quantile of the factors that the series' rows have as
     neighbours of each other; the only row of a series has factor 1 and no flag. Neighbours
-    are sought within a series only, in Arrow groups; a series is a bounded stretch of days.
+    are sought within a series only (``neighbours``: cells with bounds, so a series is never
+    held whole); densities come to a point by joins on its ``k`` neighbours.
     """
-    names = [*series, key, *features]
-
-    def per_series(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key)
-        x = frame[features].to_numpy(float)
-        if len(x) == 1:
-            return frame[[*series, key]].assign(lof=1.0, lof_flag=False)
-        near = min(k, max(2, len(x) - 1), max(1, len(x) - 1))
-        distance = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-        others = distance + np.where(np.eye(len(x), dtype=bool), np.inf, 0)
-        order = np.argsort(others, axis=1, kind="stable")[:, :near]
-        k_distance = np.take_along_axis(others, order[:, -1:], axis=1)[:, 0]
-        density = 1 / (np.maximum(k_distance[order], np.take_along_axis(others, order, axis=1)).mean(axis=1) + 1e-10)
-        own = np.argsort(distance, axis=1, kind="stable")[:, :near]
-        reach = np.maximum(k_distance[own], np.take_along_axis(distance, own, axis=1))
-        new = 1 / (reach.mean(axis=1) + 1e-10)
-        factor = (density[own] / new[:, None]).mean(axis=1)
-        cut = np.percentile((density[order] / density[:, None]).mean(axis=1), 100 * (1 - contamination))
-        return frame[[*series, key]].assign(lof=factor, lof_flag=factor > cut)
-
-    kept = impute(rows, features, series, key).select(*names)
-    types = dict(kept.dtypes)
-    return kept.groupBy(*series).applyInPandas(per_series, ", ".join(f"{c} {types[c]}" for c in [*series, key]) + ", lof double, lof_flag boolean")
+    kept = impute(rows, features, series, key).select(*series, key, *features)
+    # ids in order of the key, which decides between equal distances
+    numbered = kept.repartitionByRange(*series, key).sortWithinPartitions(*series, key).withColumn("_id", F.monotonically_increasing_id())
+    named = settled(numbered, "rows")
+    groups = settled(named.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_g")).withColumnsRenamed({c: f"_of_{c}" for c in series}), "groups")
+    named = named.join(groups, [named[c].eqNullSafe(groups[f"_of_{c}"]) for c in series]).drop(*[f"_of_{c}" for c in series])
+    points = named.select(F.col("_id").alias("id"), F.col("_g").alias("g"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    near = settled(nearest_points(points, k, len(features)), "near")
+
+    reach = settled(near.groupBy("id").agg(F.max("distance").alias("k_distance")), "reach")
+    of_near = reach.select(F.col("id").alias("near"), "k_distance")
+    edges = near.select("id", "near", "distance").join(of_near, "near")
+    dense = 1 / (F.avg(F.greatest("k_distance", "distance")) + 1e-10)
+    density = settled(edges.groupBy("id").agg(dense.alias("density")), "density")
+    of_density = density.select(F.col("id").alias("near"), F.col("density").alias("near_density"))
+    met = edges.join(of_density, "near")
+    itself = reach.join(density, "id").select(F.col("id").alias("near"), "id", F.lit(0.0).alias("distance"), "k_distance", F.col("density").alias("near_density"))
+    # the point itself is among its neighbours, in place of the last of them
+    count = near.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
+    order = Window.partitionBy("id").orderBy("distance", "near")
+    own = met.unionByName(itself).withColumn("_place", F.row_number().over(order)).join(count, "id").filter(F.col("_place") <= F.col("size"))
+    lof = own.groupBy("id").agg((F.avg("near_density") * (F.avg(F.greatest("k_distance", "distance")) + 1e-10)).alias("lof"))
+    mutual = met.join(density, "id").groupBy("id").agg(F.avg(F.col("near_density") / F.col("density")).alias("mutual"))
+    names = named.select(F.col("_id").alias("id"), F.col("_g").alias("g"), *series, key)
+    scored = settled(names.join(lof, "id", "left").join(mutual, "id", "left"), "scored")
+    cuts = exact_quantiles(scored, "mutual", ["g"], [1 - contamination]).select("g", F.get("q", F.lit(0)).alias("cut"))
+    flagged = scored.join(cuts, "g", "left")
+    return flagged.select(*series, key, F.coalesce("lof", F.lit(1.0)).alias("lof"), F.coalesce(F.col("lof") > F.col("cut"), F.lit(False)).alias("lof_flag"))
 
 
 def severities(rows: DataFrame, key: str, rules: list[tuple[str, str, float, str]], series: list[str]) -> DataFrame:
