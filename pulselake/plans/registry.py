@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ["daily", "store", "series", "models", "documents", "more", "extra", "rules", "tables", "folders"]
+_MODULES = ["daily", "store", "series", "models", "documents", "more", "extra", "rules", "tables", "folders", "catalog", "asked"]
 
 
 def query(sql: str | None) -> Callable[[Query], Query]:
