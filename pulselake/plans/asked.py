@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulselake.functions import table_functions
-from pulselake.operators import payloads
+from pulselake.operators import language, payloads
 from pulselake.operators.store import merge_latest
 from pulselake.plans.common import DAILY, NAIVE, daily, naive
 from pulselake.plans.registry import query
@@ -74,3 +74,28 @@ def b3_variant_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = payloads.parsed(_payloads(spark, sf_dir), "payload", "hrvSummary", {"weekly": ("$.k", "bigint")}).filter("shape is not null")
     rows = found.select("user_id", F.to_date("ts").alias("day"), "weekly", "shape", "ts", "event_id")
     return merge_latest(rows, ["user_id", "day"], ["ts", "event_id"]).drop("ts", "event_id")
+
+
+#: Texts whose id ends in 0 or 5 are not learnt from.
+_GRAMS = r"""w AS (SELECT doc_id, lang, doc_id % 5 = 0 AS held, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')) AS word FROM documents),
+o AS (SELECT doc_id, lang, held, word, count(*) AS n FROM w GROUP BY ALL),
+g AS (SELECT doc_id, lang, held, n, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i, 3))) AS gram FROM o),
+c AS (SELECT lang, gram, sum(n) AS n FROM g WHERE NOT held AND lang IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT gram FROM c GROUP BY 1 ORDER BY sum(n) DESC, gram LIMIT 20000),
+l AS (SELECT DISTINCT lang FROM documents WHERE doc_id % 5 <> 0 AND lang IS NOT NULL),
+t AS (SELECT l.lang, (SELECT count(*) FROM k) + coalesce((SELECT sum(n) FROM c JOIN k USING (gram) WHERE c.lang = l.lang), 0) AS total FROM l),
+m AS (SELECT k.gram, t.lang, CAST(floor(1000 * ln((coalesce(c.n, 0) + 1)::DOUBLE / total::DOUBLE)) AS BIGINT) AS weight FROM k CROSS JOIN t LEFT JOIN c ON c.gram = k.gram AND c.lang = t.lang),
+s AS (SELECT doc_id, m.lang, sum(n * weight) AS score FROM g JOIN m USING (gram) GROUP BY 1, 2),
+b AS (SELECT doc_id, lang FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1),
+u AS (SELECT lang FROM documents WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT 1)"""
+
+
+@query(f"""
+WITH {_GRAMS} SELECT d.doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '\\P{{L}}', '', 'g')) >= 10 AND b.lang IS NOT NULL THEN b.lang ELSE u.lang END AS language,
+  CASE WHEN length(regexp_replace(coalesce(text, ''), '\\P{{L}}', '', 'g')) >= 10 AND b.lang IS NOT NULL THEN 'model' ELSE 'default' END AS method
+FROM documents d LEFT JOIN b USING (doc_id) CROSS JOIN u
+""")
+def j8_detected_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by letter trigrams, learnt from four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.detect(docs, "doc_id", language.fit(docs.filter("doc_id % 5 <> 0")))
