@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulselake.functions import fixed_values as fixed
 from pulselake.operators import vector_index
 from pulselake.sources.tables import scratch
+from pulselake.streaming.limits import LIMITS, OK, Windows, limited_table
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -116,3 +117,26 @@ def ask_status(language: Column, attack: Column, similarity: Column, candidates:
         .when(candidates == 0, "no_matching_evidence")
         .otherwise("success")
     )
+
+
+#: Outcomes of the checks that stand before the budget; questions that got further are counted (``ask_status``).
+_BEFORE_BUDGET = ("unsupported_language", "rejected", "out_of_domain")
+
+
+def within_budget(checked: DataFrame, key: str, at: Column, limits: Windows = LIMITS, stored: int | None = None, client: Column | None = None) -> DataFrame:
+    """(key, status, budget) of questions with a ``status`` of the earlier checks, asked at a time by a client.
+
+    An empty collection (``stored`` is 0) answers ``empty_knowledge_base`` before the budget is
+    looked at. The others use up their client's budget in order of time; one that finds a window
+    full is ``budget_exceeded``, and does not count itself. ``budget`` is the full window,
+    ``ok``, or ``not asked``. Keys are whole numbers, one a question.
+    """
+    rows = checked.select(F.col(key), "status", at.alias("_at"), (client if client is not None else F.lit(0)).cast("long").alias("_client"))
+    passed = ~F.col("status").isin(*_BEFORE_BUDGET)
+    if stored == 0:
+        return rows.select(key, F.when(passed, "empty_knowledge_base").otherwise(F.col("status")).alias("status"), F.lit("not asked").alias("budget"))
+    calls = rows.filter(passed).select(F.col("_client"), F.col(key).alias("event_id"), F.col("_at").alias("ts"))
+    used = limited_table(calls, "_client", limits).select(F.col("event_id").alias("_id"), "outcome")
+    told = rows.join(used, F.col(key) == F.col("_id"), "left")
+    full = F.coalesce(F.col("outcome") != OK, F.lit(False))
+    return told.select(key, F.when(full, "budget_exceeded").otherwise(F.col("status")).alias("status"), F.coalesce("outcome", F.lit("not asked")).alias("budget"))

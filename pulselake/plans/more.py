@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pulselake.functions import text as T
-from pulselake.operators import causality, forecast, sft, store, windows
+from pulselake.operators import causality, forecast, records, sft, store, windows
 from pulselake.operators.consolidate import pivot_metrics
 from pulselake.operators.quantiles import exact_quantiles
 from pulselake.plans.common import DAILY, KINDS, NAIVE, ORDERS, daily, naive, order_series
@@ -179,16 +179,18 @@ def g19_ets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE WHEN value IS NULL THEN 'NULL' WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE 'x' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END AS shown,
+SELECT event_id, CASE WHEN value IS NULL THEN 'NULL' WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE printf('%.4g', value) END AS shown, printf('%.4g', value / 70000) AS small, printf('%.4g', value * 1234.567) AS large,
+  '<BLOB ' || octet_length(encode(props)) || 'B: 0x' || lower(hex(encode(props)[1:4])) || '...>' AS blob,
   CASE WHEN length(replace(trim(props), chr(10), ' ')) > 42 THEN '''' || substr(replace(trim(props), chr(10), ' '), 1, 39) || '...''' ELSE '''' || replace(trim(props), chr(10), ' ') || '''' END AS quoted FROM events
 """)
 def j16_sample_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample values as text: whole numbers without decimals, long strings cut and quoted."""
     v = F.col("value")
-    shown = F.when(v.isNull(), "NULL").when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(F.concat(F.lit("x"), F.round(v * 100).cast("bigint").cast("string")))
     text = F.translate(F.trim("props"), "\n", " ")
     quoted = F.when(F.length(text) > 42, F.concat(F.lit("'"), F.substring(text, 1, 39), F.lit("...'"))).otherwise(F.concat(F.lit("'"), text, F.lit("'")))
-    return table(spark, sf_dir, "events").select("event_id", shown.alias("shown"), quoted.alias("quoted"))
+    number = lambda x, name: records.sample_number(x).alias(name)
+    shown = [number(v, "shown"), number(v / 70_000, "small"), number(v * 1234.567, "large"), records.sample_binary(F.col("props").cast("binary")).alias("blob")]
+    return table(spark, sf_dir, "events").select("event_id", *shown, quoted.alias("quoted"))
 
 
 @query(r"""

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ["daily", "store", "series", "models", "documents", "more", "extra", "rules", "tables", "folders", "catalog", "asked"]
+_MODULES = ["daily", "store", "series", "models", "documents", "more", "extra", "rules", "tables", "folders", "catalog", "asked", "records"]
 
 
 def query(sql: str | None) -> Callable[[Query], Query]:
@@ -28,6 +28,12 @@ def query(sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query, for use inside another's."""
+    _load()
+    return _SQL[name]
+
+
 def _load() -> None:
     for name in _MODULES:
         importlib.import_module(f"pulselake.plans.{name}")
