@@ -132,7 +132,9 @@ def plan_best_fit(counts: dict[int, int], window: int = 1024) -> list[tuple[int,
     """Best-fit decreasing over counts: rows (length, first rank, n, first sequence, offset).
 
     Items of one length are placed together: into the open sequences with the least
-    sufficient room, one each, then into new sequences, as many per sequence as fit.
+    sufficient room, then into new sequences, in each case as many per sequence as fit. That is
+    what placing one item after the other gives, as a sequence that has just taken an item has
+    the least sufficient room if it has any.
     The work and the number of rows depend on the window, not on the number of items.
     """
     plan: list[tuple[int, int, int, int, int]] = []
@@ -157,11 +159,19 @@ def plan_best_fit(counts: dict[int, int], window: int = 1024) -> list[tuple[int,
             first, n = open_[room].pop()
             if not open_[room]:
                 del open_[room], rooms[at]
-            used = min(n, left)
-            plan.append((length, rank, used, first, window - room))
-            put(room - length, first, used)
-            put(room, first + used, n - used)
-            rank, left = rank + used, left - used
+            each = room // length
+            full = min(n, left // each)
+            for k in range(each if full else 0):
+                plan.append((length, rank, full, first, window - room + k * length))
+                rank += full
+            put(room - each * length, first, full)
+            left -= full * each
+            over = left if full < n else 0  # too few for one more sequence to take all it can
+            for k in range(over):
+                plan.append((length, rank + k, 1, first + full, window - room + k * length))
+            put(room - over * length, first + full, 1 if over else 0)
+            put(room, first + full + (over > 0), n - full - (over > 0))
+            rank, left = rank + over, left - over
         if left:
             each = window // length
             full, rest = divmod(left, each)
