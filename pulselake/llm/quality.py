@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from pulselake.llm.learning import FIT_ROWS, Network, emit_blocks, held_out, labelled_sample, sum_blocks
@@ -21,6 +22,16 @@ _IDS = WORDS + SHAPES
 _rng = np.random.default_rng(99)
 _PLACES = _rng.integers(0, DIMENSIONS, (_IDS, _SPARSE))
 _SIGNS = _rng.choice([-1.0, 1.0], (_IDS, _SPARSE))
+#: Kinds of last bytes: letters, points, marks of exclamation and question, digits, others.
+_KIND = np.full(256, 4)
+_KIND[list(b".,;:)'\"")], _KIND[list(b"!?")], _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[128:] = 1, 2, 3, 0, 0, 0
+#: Index vectors as rows. Sums over a window fit a byte.
+_INDEX = np.zeros((_IDS, DIMENSIONS), np.int8)
+np.add.at(_INDEX, (np.arange(_IDS)[:, None], _PLACES), _SIGNS.astype(np.int8))
+#: Two sums share a float: the second is counted in lanes, which no sum over a block of words fills by half.
+_LANE, _BLOCK = float(1 << 26), 1 << 20
+#: Bytes of text that are read at once (one document at least), so that the arrays stay in a core's cache.
+SLICE_BYTES = 128 << 10
 
 
 @dataclass
@@ -52,20 +63,33 @@ class Reader:
         n_upper, n_lower = count(upper), count(lower)
         case = np.where((n_upper >= 2) & (n_lower == 0), 2, (n_upper > 0).astype(int))
         last = data[end - 1] if len(end) else np.zeros(0, np.uint8)
-        kind = np.full(len(last), 4)
-        kind[np.isin(last, np.frombuffer(b".,;:)'\"", np.uint8))] = 1
-        kind[np.isin(last, np.frombuffer(b"!?", np.uint8))] = 2
-        kind[(last >= 48) & (last <= 57)] = 3
-        kind[(last >= 128) | ((last | 32) >= 97) & ((last | 32) <= 122)] = 0
+        kind = _KIND[last]
         size = np.searchsorted([2, 4, 7, 11, 21], end - start, side="right")
         same = np.concatenate(([False], (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])))[: len(hashes)]
         shapes = ((case * 5 + kind) * 6 + size) * 2 + same
         return Words((hashes >> np.uint64(51)).astype(np.int64), shapes, of, hashes)
 
 
-def _chunks(batch: pa.RecordBatch, n: int = 200) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, n):
-        yield batch.slice(at, n)
+def _chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, some ``SLICE_BYTES`` of the column ``text`` at a time; a document is never cut."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    of = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    edges = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), batch.num_rows]
+    for at, end in zip(edges, edges[1:]):
+        yield batch.slice(at, end - at)
+
+
+def _surroundings(words: Words) -> np.ndarray:
+    """A row per word: the sum of the index vectors of the words and shapes up to two words away in its text."""
+    index = _INDEX.take(words.ids, axis=0) + _INDEX.take(words.shapes + WORDS, axis=0)
+    around = np.zeros_like(index)
+    for step in range(1, _WINDOW + 1):
+        around[:-step] += index[step:]
+        around[step:] += index[:-step]
+        apart = np.flatnonzero(words.of[step:] != words.of[:-step])
+        around[apart] -= index[apart + step]
+        around[apart + step] -= index[apart]
+    return around
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -76,21 +100,20 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, total = Reader(), np.zeros(_IDS * DIMENSIONS)
+        read, total, half = Reader(), np.zeros((DIMENSIONS, _IDS)), DIMENSIONS // 2
         for batch in batches:
-            for part in _chunks(batch):
+            for part in _chunks(batch, 0):
                 words = read(part.column(0).to_pylist())
-                both = (words.ids, words.shapes + WORDS)
-                for step in range(1, _WINDOW + 1):
-                    near = words.of[step:] == words.of[:-step]
-                    left, right = ([x[:-step][near] for x in both], [x[step:][near] for x in both])
-                    for here, there in ((left, right), (right, left)):
-                        for context in there:
-                            for k in range(_SPARSE):
-                                place, sign = _PLACES[context, k], _SIGNS[context, k]
-                                for row in here:
-                                    np.add.at(total, row * DIMENSIONS + place, sign)
-        yield emit_blocks(np.rint(total).astype(np.int64).reshape(_IDS, DIMENSIONS))
+                around = _surroundings(words)
+                for at in range(0, len(around), _BLOCK):
+                    some = slice(at, at + _BLOCK)
+                    lanes = np.ascontiguousarray(around[some].T).astype(np.float64)
+                    lanes = lanes[:half] + lanes[half:] * _LANE
+                    sums = np.array([np.concatenate((np.bincount(words.ids[some], v, WORDS), np.bincount(words.shapes[some], v, SHAPES))) for v in lanes])
+                    high = np.rint(sums / _LANE)
+                    total[:half] += sums - high * _LANE
+                    total[half:] += high
+        yield emit_blocks(np.rint(total.T).astype(np.int64))
 
     partials = docs.select(F.col("text").cast("string")).mapInArrow(run, "block int, values binary")
     sums = sum_blocks(partials, (_IDS, DIMENSIONS)).astype(np.float64)
@@ -107,14 +130,16 @@ def pooled(read: Reader, texts: list[str | None], vectors: np.ndarray) -> np.nda
     if not len(words.of):
         return out
     first = np.flatnonzero(np.concatenate(([True], words.of[1:] != words.of[:-1])))
-    at = words.of[first]
-    for k, ids in enumerate((words.ids, words.shapes + WORDS)):
-        out[at, k * DIMENSIONS : (k + 1) * DIMENSIONS] = np.add.reduceat(vectors[ids], first, axis=0) / n[at, None]
-    distinct = np.unique(np.stack((words.of.astype(np.uint64), words.hashes)), axis=1)[0].astype(np.int64)
-    share = lambda mask: np.bincount(words.of, mask, len(texts))[at] / n[at]
-    case, kind, same = words.shapes // 60, words.shapes // 12 % 5, words.shapes % 2
-    extra = [np.log1p(n[at]), np.bincount(distinct, minlength=len(texts))[at] / n[at], share(same), share(case == 1), share(case == 2)]
-    extra += [share(kind == k) for k in range(5)] + [np.bincount(distinct, minlength=len(texts))[at] / np.sqrt(n[at]), share(words.shapes // 2 % 6 >= 4)]
+    at, edges = words.of[first], [*first.tolist(), len(words.of)]
+    counts = np.bincount(words.of * SHAPES + words.shapes, minlength=len(texts) * SHAPES).reshape(-1, SHAPES)[at]
+    out[at, :DIMENSIONS] = [vectors.take(words.ids[i:j], axis=0).sum(axis=0) for i, j in zip(edges, edges[1:])] / n[at, None]
+    out[at, DIMENSIONS : 2 * DIMENSIONS] = counts @ vectors[WORDS:].astype(np.float64) / n[at, None]
+    distinct = np.array([1 + np.count_nonzero(np.diff(np.sort(words.hashes[i:j]))) for i, j in zip(edges, edges[1:])])
+    shape = np.arange(SHAPES)
+    case, kind, same = shape // 60, shape // 12 % 5, shape % 2
+    share = lambda mask: counts[:, mask].sum(axis=1) / n[at]
+    extra = [np.log1p(n[at]), distinct / n[at], share(same == 1), share(case == 1), share(case == 2)]
+    extra += [share(kind == k) for k in range(5)] + [distinct / np.sqrt(n[at]), share(shape // 2 % 6 >= 4)]
     out[at, 2 * DIMENSIONS :] = np.stack(extra, axis=1)
     return out
 
@@ -128,7 +153,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader()
         for batch in batches:
-            for part in _chunks(batch):
+            for part in _chunks(batch, 1):
                 features = pooled(read, part.column(1).to_pylist(), shared.value).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([f.tobytes() for f in features], pa.binary())], names=["doc_id", "label", "features"])
 
@@ -145,7 +170,7 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, Network], threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, (vectors, network) = Reader(), shared.value
         for batch in batches:
-            for part in _chunks(batch):
+            for part in _chunks(batch, 1):
                 scores = network.score(pooled(read, part.column(1).to_pylist(), vectors))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=["doc_id", "score"])
 

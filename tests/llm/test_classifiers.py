@@ -2,17 +2,19 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from pulselake.llm import registry
 from pulselake.llm.learning import Network
 from pulselake.llm.mixing import mixed_copies
-from pulselake.llm.quality import classify_quality
+from pulselake.llm.quality import _IDS, _INDEX, DIMENSIONS, SLICE_BYTES, WORDS, Reader, _chunks, classify_quality, pooled, word_vectors
 from pulselake.llm.toxicity import STRETCH, CharacterModel, Evidence, Trie, character_model, classify_toxicity, found_splits, lattice, plain_word, plain_words, spaced_runs, split_words
 
 DATA = "/root/testdata/sf0.01"
@@ -151,6 +153,46 @@ def _accuracy(spark, found, label):
     return np.mean([r.predicted == labels[r.doc_id] for r in held]), held, labels
 
 
+def test_word_vectors_equal_sums_word_by_word(spark):
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice(["a", "the", "Word!", "NOT", "x1", "été", "word word"]) for _ in range(draw.randrange(12))) for _ in range(60)] + [None, "", " \n", "one"]
+    words, sums = Reader()(texts), np.zeros((_IDS, DIMENSIONS), np.int64)
+    pairs = list(zip(words.ids, words.shapes + WORDS))
+    for here, there in ((i, j) for i in range(len(pairs)) for j in range(max(0, i - 2), min(len(pairs), i + 3)) if i != j and words.of[i] == words.of[j]):
+        for row in pairs[here]:
+            sums[row] += _INDEX[list(pairs[there])].sum(axis=0)
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    unit = sums / np.maximum(norm, 1)
+    wanted = unit - unit[norm[:, 0] > 0].mean(axis=0) * (norm > 0)
+    found = word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert np.allclose(found, wanted, atol=1e-6) and norm.any()
+
+
+def test_slices_are_bounded_by_bytes_and_keep_all_rows():
+    texts = ["x" * SLICE_BYTES, None, "y" * 10, "", "z" * (3 * SLICE_BYTES), "end"] + ["w" * 1000] * 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = [part.column(1).to_pylist() for part in _chunks(batch, 1)]
+    assert [t for part in parts for t in part] == texts
+    assert all(sum(len(t or "") for t in part[:-1]) <= SLICE_BYTES for part in parts) and not list(_chunks(batch.slice(0, 0), 1))
+
+
+def test_pooling_takes_little_more_time_than_reading():
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("etaoin shrdlu ") for _ in range(4000)) for _ in range(100)]
+    read, vectors = Reader(), np.ones((_IDS, DIMENSIONS), np.float32)
+
+    def seconds(call):
+        call()
+        times = []
+        for _ in range(3):
+            begin = time.process_time()
+            call()
+            times.append(time.process_time() - begin)
+        return min(times)
+
+    assert seconds(lambda: pooled(read, texts, vectors)) < 4 * seconds(lambda: read(texts))
+
+
 def test_quality_on_held_out_labels(spark):
     accuracy, _, _ = _accuracy(spark, registry.op9_quality(spark, DATA).collect(), "quality")
     assert accuracy > 0.93
