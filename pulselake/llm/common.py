@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 _own_dirs: dict[str, str] = {}
@@ -37,6 +41,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_slices(batch: pa.RecordBatch, text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, some ``size`` bytes of the column ``text`` at a time; a document is never cut."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    of = (np.cumsum(sizes) - sizes) // size
+    edges = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), batch.num_rows]
+    for at, end in zip(edges, edges[1:]):
+        yield batch.slice(at, end - at)
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int | Column = 64) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... without gaps inside each group, in no particular order.
 

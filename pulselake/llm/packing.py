@@ -12,25 +12,66 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pulselake.llm.common import materialise, ranked
+from pulselake.llm.common import materialise, ranked, text_slices
 
 #: Bytes of remembered words, about, after which a worker forgets them all; longer words are not remembered.
 MEMORY_BYTES, LONGEST = 128 << 20, 48
+#: Bytes of text whose words are looked up together (one document at least).
+SLICE_BYTES = 2 << 20
 #: Pieces of one length that a task ranks, about.
 RANK_ROWS = 1 << 18
 #: A word with the space before it, or blanks up to the one that a word follows.
 _PARTS = re.compile(r" ?\S+|\s+?(?=\s\S|\Z)|\s")
-#: Signs that are blanks in Python only.
+#: Signs that are blanks in Python only, and with them all blanks outside ASCII.
 _ODD = re.compile("[\x1c-\x1f]")
+_RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\v\f\r")] = True
+_SIGN, _LETTER, _LATIN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+_LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True  # second bytes of letters after 0xC3
+
+
+def split_parts(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The parts (``_PARTS``) of all texts one after the other, and how many each text has.
+
+    Joined, they are the texts. Bounds come from the bytes; signs of ASCII after a letter of ASCII or
+    Latin-1 begin a part of their own. Texts with blanks outside ASCII are cut by the pattern alone.
+    """
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    edges = np.cumsum([0, *map(len, raw)])
+    blank = _BLANK[data]
+    begins, ends = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    begins[edges[:-1]] = True
+    ends[edges[1:] - 1] = True  # -1, for empty texts in front, is the place after all
+    begins, ends = begins[:-1], ends[:-1]
+    after_blank, after_space = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    after_blank[1:], after_space[1:] = blank[:-1], data[:-1] == 0x20
+    before_word = np.zeros(len(data), bool)
+    before_word[:-1] = ~blank[1:]
+    starts = begins | blank & (~after_blank | before_word & ~ends) | ~blank & after_blank & ~after_space
+    letter = _LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+    starts[1:] |= letter[:-1] & _SIGN[data[1:]]
+    for k, text in enumerate(texts):
+        if not text.isascii() and _RARE.search(text):
+            sizes = [len(part.encode()) for part in _PARTS.findall(text)]
+            starts[edges[k] : edges[k + 1]] = False
+            starts[edges[k] + np.cumsum([0, *sizes[:-1]])] = True
+    at = np.flatnonzero(starts)
+    parts = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)])
+    return parts, np.diff(np.searchsorted(at, edges))
 
 
 class WordTokenizer:
     """Token ids of whole texts by a byte-level BPE tokenizer, with a memory of words.
 
     Pre-tokens of such a vocabulary never reach from a visible sign to a blank, nor from a
-    blank other than a space to a visible sign, so a text may be cut there, and each part is
-    looked up or encoded alone. Texts that hold an added token's content are encoded whole.
-    The ids are those of ``encode(text, add_special_tokens=False)``.
+    blank other than a space to a visible sign, nor from a letter to a sign, so a text may be
+    cut there. The distinct parts of several texts are looked up or encoded alone. Texts that
+    hold an added token's content are encoded whole. The ids are those of ``encode(text, add_special_tokens=False)``.
     """
 
     def __init__(self, path: str):
@@ -39,6 +80,9 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         [self._line_end] = self._tokenizer.encode("\n", add_special_tokens=False).ids
+        vocabulary = self._tokenizer.get_vocab()
+        self._spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._spaced[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # a space, as such vocabularies write it
         self._memory: dict[str, bytes] = {}
         self._bytes = 0
 
@@ -47,34 +91,41 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words and blanks; words are encoded many at a time, one a line, where a line's end is a token of its own."""
-        found: dict[str, bytes] = {}
-        plain, blank = [w for w in words if not w.isspace()], [w for w in words if w.isspace()]
-        lines = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
-        for line, joined in zip(lines, self._tokenizer.encode_batch_fast(["\n".join(line) + "\n" for line in lines], add_special_tokens=False)):
-            ids = np.array(joined.ids, "<u4")
-            data, last = ids.tobytes(), 0
-            for word, end in zip(line, (4 * np.flatnonzero(ids == self._line_end)).tolist()):
-                found[word] = data[last:end]
-                last = end + 4
-        return found | dict(zip(blank, self.encode(blank)))
+        """Ids of words and blanks. Words are encoded many at a time: where they begin with a space, the tokens
+        that do so tell them apart; others are put one a line, where a line's end is a token of its own."""
+        blank = [w for w in words if w.isspace()]
+        found = dict(zip(blank, self.encode(blank)))
+        for end, some in (("", [w for w in words if w[0] == " " and not w.isspace()]), ("\n", [w for w in words if w[0] != " " and not w.isspace()])):
+            lines = [some[k : k + 1000] for k in range(0, len(some), 1000)]
+            for line, joined in zip(lines, self._tokenizer.encode_batch_fast([end.join(line) + end for line in lines], add_special_tokens=False)):
+                ids = np.array(joined.ids, "<u4")
+                edges = 4 * np.flatnonzero(np.append(ids == self._line_end, False) if end else np.append(self._spaced[ids], True))
+                starts, ends = ([0, *(edges[:-1] + 4).tolist()], edges.tolist()) if end else (edges[:-1].tolist(), edges[1:].tolist())
+                data = ids.tobytes()
+                found.update((word, data[i:j]) for word, i, j in zip(line, starts, ends, strict=True))
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self._bytes > MEMORY_BYTES:
             self._memory, self._bytes = {}, 0
         memory = self._memory
-        parts = [None if any(a in t for a in self._added) or _ODD.search(t) else _PARTS.findall(t) for t in texts]
-        new = [w for w in {w for words in parts if words for w in words} if w not in memory]
-        long = {}
-        for word, ids in self.encode_words(new).items():
+        odd = [any(a in t for a in self._added) or _ODD.search(t) is not None for t in texts]
+        whole = iter(self.encode([t for t, o in zip(texts, odd) if o]))
+        parts, counts = split_parts(["" if o else t for t, o in zip(texts, odd)])
+        coded = parts.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = [memory.get(w) for w in words]
+        new = self.encode_words([w for w, ids in zip(words, known) if ids is None])
+        for word, ids in new.items():
             if len(word) <= LONGEST:
                 memory[word] = ids
                 self._bytes += 200 + len(word) + len(ids)
-            else:
-                long[word] = ids
-        get = (lambda w: long[w] if w in long else memory[w]) if long else memory.__getitem__
-        whole = iter(self.encode([t for t, words in zip(texts, parts) if words is None]))
-        return [next(whole) if words is None else b"".join(map(get, words)) for words in parts]
+        found = pa.array([new[w] if ids is None else ids for w, ids in zip(words, known)], pa.large_binary()).take(coded.indices)
+        if not len(found):
+            return [next(whole) if o else b"" for o in odd]
+        data, bounds = memoryview(found.buffers()[2] or b""), np.frombuffer(found.buffers()[1], np.int64)
+        edges = bounds[np.cumsum([0, *counts])].tolist()
+        return [next(whole) if o else bytes(data[i:j]) for o, i, j in zip(odd, edges, edges[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -107,8 +158,7 @@ def tokenize_pieces(docs: DataFrame, window: int = 1024, end_id: int = 2, vocabu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_tokenizer(vocabulary), end_id.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for part in text_slices(batch, 1, SLICE_BYTES):
                 out: dict[str, list] = {n: [] for n in ("row", "piece", "start", "length", "ids_crc32", "ids")}
                 for row, ids in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
                     ids += end

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from pulselake.llm.common import text_slices
 from pulselake.llm.learning import FIT_ROWS, Network, emit_blocks, held_out, labelled_sample, sum_blocks
 from pulselake.llm.shingles import Shingler
 
@@ -70,15 +70,6 @@ class Reader:
         return Words((hashes >> np.uint64(51)).astype(np.int64), shapes, of, hashes)
 
 
-def _chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch, some ``SLICE_BYTES`` of the column ``text`` at a time; a document is never cut."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    of = (np.cumsum(sizes) - sizes) // SLICE_BYTES
-    edges = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), batch.num_rows]
-    for at, end in zip(edges, edges[1:]):
-        yield batch.slice(at, end - at)
-
-
 def _surroundings(words: Words) -> np.ndarray:
     """A row per word: the sum of the index vectors of the words and shapes up to two words away in its text."""
     index = _INDEX.take(words.ids, axis=0) + _INDEX.take(words.shapes + WORDS, axis=0)
@@ -102,7 +93,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, total, half = Reader(), np.zeros((DIMENSIONS, _IDS)), DIMENSIONS // 2
         for batch in batches:
-            for part in _chunks(batch, 0):
+            for part in text_slices(batch, 0, SLICE_BYTES):
                 words = read(part.column(0).to_pylist())
                 around = _surroundings(words)
                 for at in range(0, len(around), _BLOCK):
@@ -153,7 +144,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader()
         for batch in batches:
-            for part in _chunks(batch, 1):
+            for part in text_slices(batch, 1, SLICE_BYTES):
                 features = pooled(read, part.column(1).to_pylist(), shared.value).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([f.tobytes() for f in features], pa.binary())], names=["doc_id", "label", "features"])
 
@@ -170,7 +161,7 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, Network], threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, (vectors, network) = Reader(), shared.value
         for batch in batches:
-            for part in _chunks(batch, 1):
+            for part in text_slices(batch, 1, SLICE_BYTES):
                 scores = network.score(pooled(read, part.column(1).to_pylist(), vectors))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=["doc_id", "score"])
 

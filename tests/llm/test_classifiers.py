@@ -12,9 +12,10 @@ import pytest
 
 import corpus_pipeline
 from pulselake.llm import registry
+from pulselake.llm.common import text_slices
 from pulselake.llm.learning import Network
 from pulselake.llm.mixing import mixed_copies
-from pulselake.llm.quality import _IDS, _INDEX, DIMENSIONS, SLICE_BYTES, WORDS, Reader, _chunks, classify_quality, pooled, word_vectors
+from pulselake.llm.quality import _IDS, _INDEX, DIMENSIONS, SLICE_BYTES, WORDS, Reader, classify_quality, pooled, word_vectors
 from pulselake.llm.toxicity import STRETCH, CharacterModel, Evidence, Trie, character_model, classify_toxicity, found_splits, lattice, plain_word, plain_words, spaced_runs, split_words
 
 DATA = "/root/testdata/sf0.01"
@@ -171,9 +172,9 @@ def test_word_vectors_equal_sums_word_by_word(spark):
 def test_slices_are_bounded_by_bytes_and_keep_all_rows():
     texts = ["x" * SLICE_BYTES, None, "y" * 10, "", "z" * (3 * SLICE_BYTES), "end"] + ["w" * 1000] * 1000
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
-    parts = [part.column(1).to_pylist() for part in _chunks(batch, 1)]
+    parts = [part.column(1).to_pylist() for part in text_slices(batch, 1, SLICE_BYTES)]
     assert [t for part in parts for t in part] == texts
-    assert all(sum(len(t or "") for t in part[:-1]) <= SLICE_BYTES for part in parts) and not list(_chunks(batch.slice(0, 0), 1))
+    assert all(sum(len(t or "") for t in part[:-1]) <= SLICE_BYTES for part in parts) and not list(text_slices(batch.slice(0, 0), 1, SLICE_BYTES))
 
 
 def test_pooling_takes_little_more_time_than_reading():

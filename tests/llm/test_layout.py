@@ -18,7 +18,7 @@ from hypothesis import given, settings, strategies as st
 from pulselake.llm import warc
 from pulselake.llm.html_text import extract_text, page_text
 from pulselake.llm.mixing import fair_targets, mix, mixed_copies
-from pulselake.llm.packing import WordTokenizer, pack, piece_bounds, plan_best_fit, tokenize_pieces
+from pulselake.llm.packing import WordTokenizer, pack, piece_bounds, plan_best_fit, split_parts, tokenize_pieces
 from pulselake.llm.sharding import rendezvous_shard, shard_slots
 from pyspark.sql import functions as F
 
@@ -158,6 +158,27 @@ def test_word_memory_gives_the_tokenizers_ids(tokenizers, text):
     assert mine([text, "other " + text]) == [b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids) for t in (text, "other " + text)]
 
 
+_SIGNS = st.sampled_from(["a", "Z", "é", "ß", "×", "÷", "Ã", "漢", "e\u0301", "7", "'s", "'", ",", ".", "!?", "»", "_", " ", "  ", "\n", " \n", "\x1c", "\xa0", "\u3000", "<|endoftext|>"])
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.lists(_SIGNS, max_size=12).map("".join), max_size=5))
+def test_several_texts_get_the_tokenizers_ids(tokenizers, texts):
+    whole, mine = tokenizers
+    assert mine(texts) == [b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    parts, counts = split_parts(texts)
+    found = iter(parts.to_pylist())
+    assert ["".join(next(found) for _ in range(n)) for n in counts] == texts and next(found, None) is None
+
+
+def test_signs_after_a_word_make_no_new_word():
+    import public_tokenizers
+
+    tokenizer = WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer(["".join(f" {word}{sign}" for word in ("one", "été", "Straße") for sign in ("", ".", ",", "!", "?", ";", ":", ")", "..."))])
+    assert len(tokenizer._memory) <= 3 + 8
+
+
 def test_added_tokens_are_one_id(tokenizers):
     assert len(tokenizers[1](["a <|endoftext|> b"])[0]) == 4 * 4
 
