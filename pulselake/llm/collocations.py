@@ -150,27 +150,32 @@ def _summed(keys: np.ndarray, shards: np.ndarray, n: np.ndarray, *rest: np.ndarr
     return keys[first], shards[first], np.add.reduceat(n, first) if len(keys) else n, *[c[order[first]] for c in rest]
 
 
-_PACKED = {"keys": np.uint64, "shards": np.uint16, "n": np.int64, "supports": np.int32, "slacks": np.int32}
+def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of the equal ranges of the keys (a power of two) each is in."""
+    return (keys >> np.uint64(65 - ranges.bit_length())).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
+
+
+_PACKED = {"keys": np.uint64, "shards": np.uint16, "n": np.int64, "supports": np.int32}
 _SCHEMA = pa.schema([("range", pa.int64()), *[(c, pa.binary()) for c in _PACKED]])
 
 
 def mine_shards(docs: DataFrame, least: int, ranges: int, widths: tuple[int, ...], frequent_words: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
-    """(key): phrases of ``widths`` words that reach the ``support`` of a shard in it, and may reach ``least`` in all.
+    """(key): phrases of ``widths`` words that reach the ``support`` of a shard in it, and ``least`` in all shards together.
 
     A shard is mined completely: runs with a word that is not frequent, or (where ``pairs``
-    are given) with a pair that is frequent in no shard, cannot be frequent themselves. A task
+    are given) with a pair that was not found, cannot be frequent themselves. A task
     sums what it reads of each shard as far as ``TALLY`` allows and packs its sums by range
     of the keys; there are as many ranges (a power of two) as keep what meets in one bounded.
+    A range meets the sums of all shards, so the total of each key is known there.
     """
     shared = docs.sparkSession.sparkContext.broadcast((frequent_words, pairs))
-    shift = np.uint64(65 - ranges.bit_length())
 
     def pack(held: list[tuple]) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*held)] if held else [np.zeros(0, k) for k in _PACKED.values()]
         columns = _summed(*columns)
         order = np.argsort(columns[0])
         columns = [c[order].astype(k) for c, k in zip(columns, _PACKED.values())]
-        of = (columns[0] >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(order), np.int64)
+        of = _ranges(columns[0], ranges)
         edges = np.concatenate((np.flatnonzero(np.diff(of, prepend=-1)), [len(of)])).tolist()
         cut = [[c[i:j].tobytes() for i, j in zip(edges, edges[1:])] for c in columns]
         return pa.RecordBatch.from_arrays([pa.array(of[edges[:-1]]), *[pa.array(c, pa.binary()) for c in cut]], schema=_SCHEMA)
@@ -181,7 +186,7 @@ def mine_shards(docs: DataFrame, least: int, ranges: int, widths: tuple[int, ...
         for texts, rows in slices(batches):
             words = Words(texts)
             keys = words.keys(_languages(rows)[2])
-            shard, support, slack = (rows.column(c).to_numpy()[words.document] for c in ("shard", "support", "slack"))
+            shard, support = (rows.column(c).to_numpy()[words.document] for c in ("shard", "support"))
             usable = among(frequent_words, keys)
             if pairs is not None:
                 pair, inside = words.grams(keys, 2)
@@ -192,7 +197,7 @@ def mine_shards(docs: DataFrame, least: int, ranges: int, widths: tuple[int, ...
                 for k in range(width) if pairs is None else range(width - 1):
                     inside &= (usable if pairs is None else paired)[k : k + len(gram)]
                 at = np.flatnonzero(inside)
-                held.append(_summed(gram[at], shard[at], np.ones(len(at), np.int64), support[at], slack[at]))
+                held.append(_summed(gram[at], shard[at], np.ones(len(at), np.int64), support[at]))
                 size += len(held[-1][0])
             if size > TALLY:
                 yield pack(held)
@@ -201,25 +206,38 @@ def mine_shards(docs: DataFrame, least: int, ranges: int, widths: tuple[int, ...
 
     def add(_: tuple, table: pa.Table) -> pa.Table:
         columns = [np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in _PACKED.items()]
-        keys, _, n, supports, slacks = _summed(*columns)
-        found = np.flatnonzero(n >= supports)
-        keys, at, shard = np.unique(keys[found], return_index=True, return_inverse=True)
-        most = np.zeros(len(keys), np.int64)
-        np.add.at(most, shard, (n - supports + 1)[found])
-        return pa.table({"key": pa.array(keys[most + slacks[found][at] >= least].view(np.int64))})
-
-    packed = docs.select(F.col("text").cast("binary").alias("text"), "lang", "shard", "support", "slack").mapInArrow(run, "range long, " + ", ".join(f"{c} binary" for c in _PACKED))
+        keys, _, n, supports = _summed(*columns)
+        found = np.unique(keys[n >= supports])
+        at = np.searchsorted(found, keys)
+        same = np.flatnonzero(found[np.minimum(at, len(found) - 1)] == keys) if len(found) else np.zeros(0, np.int64)
+        total = np.bincount(at[same], n[same], len(found))
+        return pa.table({"key": pa.array(found[total >= least].view(np.int64))})
+
+    packed = docs.select(F.col("text").cast("binary").alias("text"), "lang", "shard", "support").mapInArrow(run, "range long, " + ", ".join(f"{c} binary" for c in _PACKED))
     return packed.groupBy("range").applyInArrow(add, "key long")
 
 
-def count_phrases(docs: DataFrame, widths: tuple[int, ...], frequent_words: np.ndarray, candidates: np.ndarray) -> DataFrame:
-    """(lang, phrase, width, n): exact counts over all of ``docs`` of the phrases that ``candidates`` may hold."""
+def count_phrases(docs: DataFrame, least: int, ranges: int, widths: tuple[int, ...], frequent_words: np.ndarray, candidates: np.ndarray) -> DataFrame:
+    """(lang, phrase, width, n): exact counts over all of ``docs``, from ``least``, of the phrases that ``candidates`` may hold.
+
+    Tasks sum phrases, not keys, and hand over their sums of a language in lists by range of the keys.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((frequent_words, candidates))
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("width", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("range", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def summed(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts, schema).group_by(["lang", "phrase", "width"]).aggregate([("n", "sum")])
-        return table.rename_columns(schema.names).cast(schema).combine_chunks().to_batches(max_chunksize=1 << 17)
+        table = pa.Table.from_batches(parts, schema).group_by(["range", "lang", "phrase"]).aggregate([("n", "sum")])
+        return table.rename_columns(schema.names).cast(schema).combine_chunks().to_batches()
+
+    def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sums in (part for part in held if part.num_rows):
+            sums = sums.sort_by([("range", "ascending"), ("lang", "ascending")])
+            lang = sums.column("lang").dictionary_encode().indices.to_numpy()
+            of = sums.column("range").to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (lang[1:] != lang[:-1]))))
+            edges = pa.array(np.append(first, len(of)), pa.int32())
+            lists = [pa.ListArray.from_arrays(edges, sums.column(c)) for c in ("phrase", "n")]
+            yield pa.RecordBatch.from_arrays([*[sums.column(c).take(pa.array(first)) for c in ("range", "lang")], *lists], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_words, candidates = shared.value
@@ -244,17 +262,23 @@ def count_phrases(docs: DataFrame, widths: tuple[int, ...], frequent_words: np.n
                 for where, count in ((at[first], n), (odd, np.ones(len(odd), np.int64))):
                     phrase = words.phrases(where, width).cast(pa.large_string()).cast(pa.string())
                     lang = langs.take(pa.array(codes[words.document[where]])).cast(pa.string())
-                    held.append(pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(where), width, np.int32)), pa.array(count)], schema=schema))
+                    held.append(pa.RecordBatch.from_arrays([pa.array(_ranges(gram[where], ranges)), lang, phrase, pa.array(count)], schema=schema))
             if sum(b.num_rows for b in held) > last + (1 << 18):
                 held = summed(held)
                 last = sum(b.num_rows for b in held)
                 if last > 1 << 20:
-                    yield from held
+                    yield from pack(held)
                     held, last = [], 0
-        yield from summed(held)
+        yield from pack(summed(held))
+
+    def add(keys: tuple, table: pa.Table) -> pa.Table:
+        sums = pa.table({c: pc.list_flatten(table[c]) for c in ("phrase", "n")}).group_by("phrase").aggregate([("n", "sum")])
+        sums = sums.filter(pc.greater_equal(sums["n_sum"], least))
+        width = pc.add(pc.count_substring(sums["phrase"], " "), 1).cast(pa.int32())
+        return pa.table({"lang": pa.array([keys[1].as_py()] * len(sums), pa.string()), "phrase": sums["phrase"], "width": width, "n": sums["n_sum"]})
 
-    found = docs.select(F.col("text").cast("binary").alias("text"), "lang").mapInArrow(run, "lang string, phrase string, width int, n long")
-    return found.groupBy("lang", "phrase", "width").agg(F.sum("n").alias("n"))
+    packed = docs.select(F.col("text").cast("binary").alias("text"), "lang").mapInArrow(run, "range long, lang string, phrase array<string>, n array<long>")
+    return packed.groupBy("range", "lang").applyInArrow(add, "lang string, phrase string, width int, n long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST, shards: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -262,8 +286,8 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST, s
 
     Documents are dealt to ``shards`` by a hash of their text. A phrase that is frequent
     overall reaches, in one shard at least, the support that falls to that shard by its share
-    of its language's bytes; so the phrases that do so in some shard hold all wanted ones, and
-    are counted exactly in all documents. Pairs are mined first, and longer phrases only where
+    of its language's bytes; so the phrases that do so in some shard hold all wanted ones. Those
+    whose hashed counts of all shards reach ``least`` are counted exactly in all documents. Pairs are mined first, and longer phrases only where
     all their pairs were found.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
@@ -271,8 +295,7 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST, s
     bytes_ = rows.groupBy("lang", "shard").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
     in_all = bytes_.withColumn("total", F.greatest(F.sum("bytes").over(Window.partitionBy("lang")), F.lit(1)))
     support = F.expr(f"greatest((cast(bytes as decimal(20,0)) * {int(least)} + total - 1) div total, 1)")
-    slack = F.sum(F.col("support") - 1).over(Window.partitionBy("lang"))
-    supports = materialise(in_all.select("lang", "shard", "bytes", support.cast("int").alias("support")).withColumn("slack", slack.cast("int")))
+    supports = materialise(in_all.select("lang", "shard", "bytes", support.cast("int").alias("support")))
     size = supports.agg(F.sum("bytes")).first()[0] or 0
     ranges = 1 << int(size // GROUP_BYTES).bit_length()
     dealt = rows.join(supports.drop("bytes"), ["lang", "shard"])
@@ -283,7 +306,7 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST, s
     if longest > 2:
         pairs = key_filter(mined)
         mined = mined.union(materialise(mine_shards(dealt, least, ranges, tuple(range(3, longest + 1)), usable, pairs)))
-    counted = count_phrases(rows, tuple(range(2, longest + 1)), usable, key_filter(mined)).filter(F.col("n") >= least)
+    counted = count_phrases(rows, least, ranges, tuple(range(2, longest + 1)), usable, key_filter(mined))
     phrases = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("width"), "n").union(counted)
     return materialise(phrases), materialise(words.groupBy("lang").agg(F.sum("n").alias("n")))
 

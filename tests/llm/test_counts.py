@@ -9,8 +9,10 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
-from pulselake.llm.collocations import SLICE_BYTES, collocations, frequent_phrases
+from pulselake.llm import collocations as found_collocations
+from pulselake.llm.collocations import SLICE_BYTES, collocations, frequent_phrases, key_filter
 from pulselake.llm.common import new_path
 from pulselake.llm.conversation_repair import cheapest_edits, damaged, edits, repaired
 from pulselake.llm.token_counts import PieceCounter, counted_tokens, tokenizer_digest
@@ -76,6 +78,34 @@ def test_every_frequent_phrase_is_found_for_any_shards(spark, shards):
     assert {r.lang: r.n for r in totals.collect()} == {k: v for k, v in n.items() if v}
 
 
+def test_only_phrases_frequent_in_all_shards_together_are_counted(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(9)), "en") for _ in range(2000)]
+    sizes = []
+    monkeypatch.setattr(found_collocations, "key_filter", lambda keys: sizes.append(keys.count()) or key_filter(keys))
+    phrases, _ = frequent_phrases(spark.createDataFrame(rows, "text string, lang string").repartition(3), least=45, shards=8)
+    counts = {p: a for p, a in plain_counts(rows)[0]["en"].items() if a >= 45}
+    assert {r.phrase: r.n for r in phrases.collect()} == {" ".join(p): a for p, a in counts.items()}
+    assert sizes == [20, sum(len(p) == 2 for p in counts), sum(len(p) > 1 for p in counts)] and 0 < sizes[1] < 200
+
+
+def test_many_ranges_of_keys_give_the_same_counts(spark, monkeypatch):
+    monkeypatch.setattr(found_collocations, "GROUP_BYTES", 1000)
+    rows = corpus(11) + [("", "fr"), ("nothing twice", "fr")]
+    found = sorted(tuple(r) for r in collocations(spark.createDataFrame(rows, "text string, lang string").repartition(40), least=6, top=25, shards=4).collect())
+    assert found == plain_collocations(rows, 6, 25) and len(found) > 30
+
+
+def test_exact_counts_leave_tasks_in_lists(spark, monkeypatch):
+    handed = []
+    whole = DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, schema: handed.append(found := whole(self, run, schema)) or found)
+    rows = [("a b c d e f g h i j k l m n", "en")] * 40
+    phrases, _ = frequent_phrases(spark.createDataFrame(rows, "text string, lang string").repartition(2), least=30)
+    assert phrases.filter("width > 1").count() == 13 + 12 + 11
+    assert handed[-1].count() <= 4
+
+
 def test_collocations_of_edge_rows(spark, edge_docs, no_docs):
     rows = [(r.text, r.lang) for r in edge_docs.collect()]
     found = sorted(tuple(r) for r in collocations(edge_docs, least=2, top=50).collect())
