@@ -1,12 +1,15 @@
 """The stored vector index against exhaustive search."""
 
 import math
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pulselake.operators import retrieval, vector_index
+from pulselake.sources import tables
 
 D = 8
 
@@ -94,6 +97,86 @@ def test_odd_vectors_find_nothing_and_are_not_found(spark, tmp_path):
     assert retrieval.nearest(asked.limit(0), frame, 5, D).collect() == []
 
 
+@pytest.fixture
+def written(spark, tmp_path, monkeypatch):
+    """Bytes that Spark has put into the shared folder and its own folders since."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv
+    own = lambda: {f: f.stat().st_size for d in env.get().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("*.data")}
+    before = own()
+    monkeypatch.setitem(tables._own, spark.sparkContext.applicationId, f"file://{tmp_path}")
+    return lambda: sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) + sum(n for f, n in own().items() if f not in before)
+
+
+def test_queries_that_see_all_cells_are_not_written_for_each(spark, written):
+    x = np.random.default_rng(4).normal(size=(6000, D))
+    rows = [(k, [float(v) for v in row], 0) for k, row in enumerate(x)]
+    frame = spark.createDataFrame([r[:2] for r in rows], "id long, embedding array<double>").repartition(4).cache()
+    frame.count()
+    path = tables.scratch(spark, "index")
+    vector_index.build(frame, path, D, cells=300)
+    found = vector_index.search(frame.withColumnRenamed("id", "query_id"), path, 4, D).cache()
+    assert found.agg(F.avg("cells_read")).first()[0] > 30
+    assert written() < 6 * x.nbytes, (written(), x.nbytes)
+    equal({q: f for q, f in shown(found.filter("query_id < 200")).items()}, exhaustive(rows[:200], rows, 4))
+
+
+def test_copies_beyond_k_and_single_precision(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    kinds = rng.normal(size=(6, D)).astype(np.float32)
+    kinds[0] = 0
+    rows = [(int(k), [float(v) for v in kinds[k % 11 % 6]], 0) for k in rng.permutation(700)]
+    frame = spark.createDataFrame([r[:2] for r in rows], "id long, embedding array<float>").repartition(3)
+    asked = [(q, x) for q, x, _ in rows[:90]]
+    vector_index.build(frame, str(tmp_path / "i"), D, cells=4)
+    found = vector_index.search(spark.createDataFrame(asked, "query_id long, embedding array<float>"), str(tmp_path / "i"), 3, D)
+    equal(shown(found), exhaustive(asked, rows, 3))
+
+
+@pytest.mark.parametrize("k", [1, 4, 60])
+def test_best_are_found_where_single_precision_cannot_tell(monkeypatch, k):
+    monkeypatch.setattr(vector_index, "ROWS", 7)
+    monkeypatch.setattr(vector_index, "PAIRS", 5)
+    rng = np.random.default_rng(k)
+    unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+    middle = unit(rng.normal(size=(3, D)))
+    x = unit(middle[rng.integers(0, 3, 40)] + rng.normal(scale=1e-5, size=(40, D)))
+    x[5] = 0
+    vectors = unit(middle[rng.integers(0, 3, 50)] + rng.normal(scale=1e-5, size=(50, D)))
+    vectors[20:32] = vectors[20]
+    vectors[40] = 0
+    ids, best = rng.permutation(1000)[:50].astype(np.int64), vector_index.Best(40, k)
+    queries = np.delete(np.arange(40), 9)
+    for at in (0, 17, 34):
+        vector_index.compare(best, queries, x, ids[at : at + 17], vectors[at : at + 17])
+    similar = np.einsum("qd,vd->qv", x, vectors)
+    for q in queries:
+        order = np.lexsort((ids, -np.round(similar[q], 12)))[:k]
+        assert best.id[q, : len(order)].tolist() == ids[order].tolist()
+        assert np.allclose(best.similarity[q, : len(order)], similar[q, order], atol=1e-14)
+        assert np.isneginf(best.similarity[q, len(order) :]).all()
+    assert np.isneginf(best.similarity[9]).all()
+
+
+def test_tasks_read_the_row_groups_of_their_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "ROW_GROUP", 1024)
+    frame = spark.createDataFrame(clustered(1500, 3), "id long, embedding array<double>, tag int")
+    vector_index.build(frame, str(tmp_path), D, keep=("tag",), cells=20)
+    rows = spark.read.parquet(f"{tmp_path}/vectors")
+    stored = vector_index.Stored(rows.inputFiles(), D)
+    groups = [g for *_, ranges in stored.files for g in ranges]
+    assert len(groups) > 3 and groups == sorted(groups)
+    want = {(r.cell, r.id): r.unit for r in rows.filter("cell in (-1, 4, 15)").collect()}
+    found = {(cell, int(i)): u.tolist() for cell, ids, units in stored.of(np.array([vector_index.NOWHERE, 4, 15])) for i, u in zip(ids, units)}
+    assert found == want and len({cell for cell, _ in found}) == 3
+
+
+def test_queries_are_held_in_groups():
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(a, b))}) for a, b in ((0, 5), (5, 5), (5, 18), (18, 20))]
+    for size in (1, 5, 7, 20, 50):
+        found = [t["n"].to_pylist() for t in vector_index.grouped(iter(batches), size)]
+        assert sum(found, []) == list(range(20)) and all(len(n) == size for n in found[:-1]) and 0 < len(found[-1]) <= size
+
+
 def test_callers_stay_within_allowed_sources():
     allowed, within = ["a", "b"], retrieval.within
     assert within(None, "s", allowed) == within({}, "s", allowed) == within({"s": "x"}, "s", allowed) == within({"s": {"$in": ["x"]}}, "s", allowed) == {"s": {"$in": allowed}}
